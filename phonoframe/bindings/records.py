@@ -508,3 +508,9 @@ def g6_slice_bounds(spark, sf):
     rows = S.slice_bounds(
         V.li_indexed(spark, sf), 0.1, F.lit(42.5), F.col("start_s") - 0.02)
     return rows.select("utterance_id", "token_index", "first_sample", "last_sample", "reject_reason")
+
+
+#: columns a record needs beyond the view before it is written as JSON
+LI_ROUNDTRIP = {
+    "verdict": F.lit("uncertain"), "confidence": F.lit(0.0), "wall_ms": F.col("wall_ms"),
+}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.operators.ranks import row_index, running
+from phonoframe.operators.storage import settle
 
 TARGET = "ð"
 CONFUSIONS = ["z", "d", "v"]
@@ -123,7 +124,7 @@ LI_INDEXED_SPLIT_CTE = LI_INDEXED_CTE + ", " + SPLIT_CTE
 
 CONT_SQL = """
 SELECT user_id AS clip, event_id, ts,
-  CASE WHEN event_type <> 'error' THEN 60.0e0 + 1.5e0 * value
+  CASE WHEN event_type <> 'error' THEN 60.0e0 + 1.4142135e0 * value
        * CASE WHEN event_id % 37 = 0 THEN 2.0e0 WHEN event_id % 41 = 0 THEN 0.5e0 ELSE 1.0e0 END END AS hz,
   CASE user_id % 3 WHEN 0 THEN 'fall' WHEN 1 THEN 'rise' ELSE 'fall_rise' END AS tone,
   user_id % 11 AS block
@@ -135,9 +136,9 @@ def cont(spark: SparkSession, sf: str) -> DataFrame:
     """Frames (clip, i, t, hz, tone, block); hz is null on unvoiced frames."""
     rows = view(spark, sf, CONT_SQL, "events")
     ranked = row_index(rows, ["clip"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "_n")
-    return ranked.select(
+    return settle(ranked.select(
         "clip", (F.col("_n") - 1).alias("i"), ((F.col("_n") - 1) * F.lit(0.01)).alias("t"),
-        "hz", "tone", "block", "event_id")
+        "hz", "tone", "block", "event_id"))
 
 
 CONT_CTE = (

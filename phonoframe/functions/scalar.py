@@ -80,8 +80,7 @@ def is_tier_silence(c: Column) -> Column:
 def clean_tier_label(c: Column | str) -> Column:
     """Annotation label with its junk tail removed, never shorter than one character."""
     trimmed = F.trim(col(c))
-    junk = "".join("\\" + ch for ch in K.JUNK_TAIL)
-    return F.regexp_replace(trimmed, f"(?<=.)[{junk}]+$", "")
+    return F.regexp_replace(trimmed, f"(?<=.)[{K.JUNK_TAIL}]+$", "")
 
 
 def tier_phone(c: Column | str) -> Column:
@@ -113,7 +112,7 @@ def parse_contrast(c: Column | str) -> Column:
     spec = col(c)
     parts = F.split(spec, ":", 2)
     names = F.filter(
-        F.transform(F.split(F.get(parts, F.lit(1)), ","), F.trim), lambda name: name != ""
+        F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda s: F.trim(s)), lambda name: name != ""
     )
     ok = F.struct(F.trim(F.get(parts, F.lit(0))).alias("target"), names.alias("confusions"))
     fail = F.raise_error(F.concat(F.lit("contrast needs target:confusions, got "), spec))

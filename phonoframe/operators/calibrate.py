@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe import tables as K
 from phonoframe.functions.scalar import col, count_if, num, sigmoid
 from phonoframe.operators.ranks import join_keys
+from phonoframe.operators.storage import settle
 
 VARIANTS = {
     "mean": "score", "spike": "spike_score", "vote": "vote_fraction", "gop": "gop",
@@ -18,17 +18,6 @@ VARIANTS = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the session names, a local one only in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="phonoframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def fit_platt(
     df: DataFrame, score: str, label: Column, by: list[str] | None = None,
     max_iter: int = 25, tol: float = 1e-10,
@@ -41,33 +30,28 @@ def fit_platt(
     all labels are true and (0, -1) when none is.
     """
     by = by or []
-    spark = df.sparkSession
-    shared_folder(spark)
-    data = (
+    data = settle(
         df.filter(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("_x"))
         .agg(F.count("*").cast("double").alias("_n"),
              count_if(label).cast("double").alias("_y"))
-        .persist()
     )
     sizes = data.groupBy(*by).agg(F.sum("_n").alias("_size"), F.sum("_y").alias("_true"))
     single = (F.col("_true") == 0) | (F.col("_true") == F.col("_size"))
-    state = sizes.filter(F.col("_size") > 0).select(
+    state = settle(sizes.filter(F.col("_size") > 0).select(
         *by,
         F.col("_size").cast("bigint").alias("n"),
         F.lit(0.0).alias("a"),
         F.when(single & (F.col("_true") == 0), F.lit(-1.0)).otherwise(F.lit(0.0)).alias("b"),
         single.alias("converged"),
-    ).checkpoint(eager=True)
+    ))
     if not by and state.isEmpty():
-        data.unpersist()
         raise ValueError("cannot fit a calibration on an empty pool")
     for _ in range(max_iter):
         open_groups = state.filter(~F.col("converged"))
         if open_groups.isEmpty():
             break
-        state = _newton_pass(data, state, by, tol).checkpoint(eager=True)
-    data.unpersist()
+        state = settle(_newton_pass(data, state, by, tol))
     return state
 
 

@@ -103,20 +103,24 @@ def token_sequence(tagged: DataFrame, key: str, order: str) -> DataFrame:
     return ranked.withColumn("token_index", F.col("_n") - 1).drop("_n")
 
 
-def expert_votes(experts: Column, position: Column, expected: Column) -> Column:
-    """How many expert strings bracket the phone at a 0-based position.
+def expert_votes(experts: Column, position: Column) -> Column:
+    """How many expert phone lists bracket the phone at a 0-based position.
 
-    An expert counts only when the number of phones, braces removed, is the expected one.
+    ``experts`` holds the word lists of :func:`voting_experts`.
     """
-    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    def bracketed(raw: Column) -> Column:
+        word = F.get(raw, position)
+        hit = word.startswith("{") | word.startswith("}") | word.endswith("{") | word.endswith("}")
+        return F.coalesce(hit, F.lit(False))
 
-    def votes(line: Column) -> Column:
-        raw = F.get(words(line), position)
-        agrees = F.size(words(F.translate(line, "{}", "  "))) == expected
-        bracketed = raw.startswith("{") | raw.startswith("}") | raw.endswith("{") | raw.endswith("}")
-        return agrees & F.coalesce(bracketed, F.lit(False))
+    return F.size(F.filter(experts, bracketed))
 
-    return F.size(F.filter(experts, votes))
+
+def voting_experts(lines: Column, expected: Column) -> Column:
+    """Expert strings as word lists, without experts who disagree on the phone count."""
+    words = lambda s: F.filter(F.split(F.translate(s, "\t\r\n", "   "), " "), lambda w: w != "")
+    agrees = lambda s: F.size(words(F.translate(s, "{}", "  "))) == expected
+    return F.transform(F.filter(lines, agrees), words)
 
 
 def is_error(votes: Column, threshold: int = 3) -> Column:
@@ -137,7 +141,7 @@ def bind_vocab(table: DataFrame, vocab: DataFrame, required: DataFrame) -> DataF
     shared = required.join(table, "canonical").groupBy("token").agg(F.count("*").alias("n")).filter(
         "n > 1").select(F.lit("shared token").alias("kind"), F.col("token").alias("item"),
                         none.alias("token_id"))
-    preference = F.array_position(F.array(*[F.lit(b) for b in ("<pad>", "[PAD]", "pad")]), "token")
+    preference = F.array_position(F.array(*[F.lit(b) for b in ("<pad>", "[PAD]", "pad")]), F.col("token"))
     blank = vocab.filter(preference > 0).agg(
         F.coalesce(F.min_by("token_id", preference), F.lit(0)).cast("bigint").alias("token_id"),
     ).select(F.lit("blank").alias("kind"), F.lit("").alias("item"), "token_id")

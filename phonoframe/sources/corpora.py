@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe import schemas
+from phonoframe.operators.labels import voting_experts
 
 
 
@@ -29,7 +30,7 @@ def _field(text: Column, key: str) -> Column:
 def parse_textgrid_long(df: DataFrame) -> DataFrame:
     """(path, value) of long TextGrids -> (path, tier, idx, xmin, xmax, text)."""
     head = F.substring_index("value", "\n", 1)
-    other = F.col("value").rlike(r'(?m)^\s*class =\s*"?(?!IntervalTier)')
+    other = F.col("value").rlike(r'(?m)^\s*class =\s*+"?+(?!IntervalTier)')
     checked = (
         F.when(~head.contains("ooTextFile"), _stop("not a long TextGrid", F.col("path"), "string"))
         .when(~F.col("value").contains("tiers?"), _stop("no tiers? marker", F.col("path"), "string"))
@@ -63,7 +64,7 @@ def parse_textgrid_short(df: DataFrame) -> DataFrame:
     Interval tiers take three lines per record and point tiers two (xmin = xmax). The
     tier headers are found by one fold over the tier count; records by position.
     """
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     head = F.substring_index("value", "\n", 1)
     marker = F.array_position(F.col("lines"), "<exists>")
     ready = df.select("path", lines.alias("lines"), head.alias("head")).select(
@@ -113,8 +114,8 @@ def parse_phone_scores(scores: DataFrame, detail: DataFrame) -> DataFrame:
     """Canonical phones with their expert strings.
 
     Both inputs have a JSON object per ``value``: utterance -> words -> phones. Returns
-    (utterance_id, word_index, position, token_index, label, expected, experts) with
-    token_index running over the words.
+    (utterance_id, token_index, word_index, position, label, experts) with token_index
+    running over the words and ``experts`` as the word lists of the voting experts.
     """
     def words(df: DataFrame, name: str) -> DataFrame:
         parsed = F.from_json("value", schemas.SCORES, {"mode": "FAILFAST"})
@@ -122,12 +123,14 @@ def parse_phone_scores(scores: DataFrame, detail: DataFrame) -> DataFrame:
             "utterance_id", F.col("u.words").alias(name))
 
     pairs = words(detail, "expert").join(words(scores, "canonical"), "utterance_id")
-    tokens = F.flatten(F.transform(F.col("canonical"), lambda w, wi: F.transform(
-        w["phones"], lambda p, pi: F.struct(
-            wi.alias("word_index"), pi.alias("position"), p.alias("label"),
-            F.size(w["phones"]).alias("expected"),
-            F.coalesce(F.get(F.col("expert"), wi)["phones"],
-                       F.array().cast("array<string>")).alias("experts")))))
+    none = F.array().cast("array<string>")
+    split = F.transform(F.col("canonical"), lambda w, wi: F.struct(
+        wi.alias("word_index"), w["phones"].alias("phones"),
+        voting_experts(F.coalesce(F.get(F.col("expert"), wi)["phones"], none),
+                       F.size(w["phones"])).alias("experts")))
+    tokens = F.flatten(F.transform(split, lambda w: F.transform(w["phones"], lambda p, pi: F.struct(
+        w["word_index"].alias("word_index"), pi.alias("position"), p.alias("label"),
+        w["experts"].alias("experts")))))
     return pairs.select("utterance_id", F.posexplode(tokens).alias("token_index", "t")).select(
         "utterance_id", "token_index", "t.*")
 
