@@ -145,6 +145,12 @@ def to_semitones(hz: Column | str, median: Column | str) -> Column:
 # -- array helpers -----------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once: lambdas re-evaluate what they capture for every element,
+    so anything dearer than a column reference is passed in as a bound variable."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
@@ -156,13 +162,13 @@ def mean(values: Column) -> Column:
 def zscore(c: Column | str) -> Column:
     """Array shifted to mean 0 and scaled by sqrt(population variance + 1e-7)."""
     xs = col(c)
-    mu = mean(xs)
-    var = F.try_divide(
-        F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.pow(x.cast("double") - mu, F.lit(2.0))),
-        F.size(xs).cast("double"),
-    )
-    scale = F.sqrt(var + F.lit(1e-7))
-    return F.transform(xs, lambda x: (x.cast("double") - mu) / scale)
+
+    def scaled(mu: Column) -> Column:
+        spread = mean(F.transform(xs, lambda x: F.pow(x.cast("double") - mu, F.lit(2.0))))
+        return let(F.sqrt(spread + F.lit(1e-7)), lambda s: F.transform(
+            xs, lambda x: (x.cast("double") - mu) / s))
+
+    return let(mean(xs), scaled)
 
 
 def first_argmax(values: Column) -> Column:

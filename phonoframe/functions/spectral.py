@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FLOOR = 1e-9
 COLUMNS = ["sibilance", "centroid", "rolloff", "flatness"]
@@ -30,7 +31,7 @@ def _cues(signal: np.ndarray, rate: float) -> tuple[float, float, float, float]:
     )
 
 
-@F.pandas_udf("sibilance double, centroid double, rolloff double, flatness double")
+@F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in COLUMNS]))
 def spectral_features(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
     rows = [_cues(np.asarray(s, dtype=np.float64), float(r)) for s, r in zip(samples, rate)]
     return pd.DataFrame(rows, columns=COLUMNS)

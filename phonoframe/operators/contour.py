@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phonoframe.functions.scalar import col, to_semitones
+from phonoframe.functions.scalar import col, let, to_semitones
+from phonoframe.functions.warp import dtw_distance  # noqa: F401
 from phonoframe.operators.storage import settle
 from phonoframe.operators.ranks import (
     chunked,
@@ -34,10 +35,12 @@ def _semitone_gap(hz: Column, local: Column) -> Column:
 
 def _median_of(values: Column) -> Column:
     """Median of the non-null entries of a short array."""
-    known = F.array_sort(F.array_compact(values))
-    n = F.size(known)
-    pick = lambda k: F.get(known, F.floor(k / 2).cast("int"))
-    return F.when(n > 0, (pick(n - 1) + pick(n)) / 2.0)
+    def middle(known: Column) -> Column:
+        n = F.size(known)
+        pick = lambda k: F.get(known, F.floor(k / 2).cast("int"))
+        return F.when(n > 0, (pick(n - 1) + pick(n)) / 2.0)
+
+    return let(F.array_sort(F.array_compact(values)), middle)
 
 
 def rolling_median(df: DataFrame, value: str = "hz", width: int = 7, name: str = "local") -> DataFrame:
@@ -156,15 +159,13 @@ def theil_sen(points: Column) -> Column:
     The array is one analysis window (0.35 s, about 36 frames), so the pairs stay inside
     one row and are bounded by the window, not by the clip.
     """
-    pairs = F.flatten(F.transform(points, lambda p, i: F.transform(
-        F.filter(F.slice(points, i + 2, F.size(points)), lambda q: q["t"] - p["t"] > TINY),
+    pairs = lambda pts: F.flatten(F.transform(pts, lambda p, i: F.transform(
+        F.filter(F.slice(pts, i + 2, F.size(pts)), lambda q: q["t"] - p["t"] > TINY),
         lambda q: (q["v"] - p["v"]) / (q["t"] - p["t"]))))
-    slopes = F.array_sort(pairs)
-    n = F.size(slopes)
-    mid = lambda k: F.get(slopes, F.floor(k / 2).cast("int"))
-    times = F.transform(points, lambda p: p["t"])
-    enough = (F.size(points) >= 3) & (F.array_max(times) - F.array_min(times) >= 1e-3)
-    return F.when(enough, (mid(n - 1) + mid(n)) / 2.0)
+    times = lambda pts: F.transform(pts, lambda p: p["t"])
+    wide = lambda ts: F.array_max(ts) - F.array_min(ts) >= 1e-3
+    return let(points, lambda pts: F.when(
+        (F.size(pts) >= 3) & let(times(pts), wide), _median_of(pairs(pts))))
 
 
 def terminal_points(df: DataFrame, value: str = "st", end: DataFrame | None = None) -> DataFrame:
@@ -198,7 +199,8 @@ def terminal_points(df: DataFrame, value: str = "st", end: DataFrame | None = No
 def halves(points: Column) -> tuple[Column, Column]:
     t = lambda k: F.get(points, k)["t"]
     mid = t(F.lit(0)) + (t(F.size(points) - 1) - t(F.lit(0))) / 2.0
-    return F.filter(points, lambda p: p["t"] <= mid), F.filter(points, lambda p: p["t"] > mid)
+    half = lambda keep: let(mid, lambda m: F.filter(points, lambda p: keep(p["t"], m)))
+    return half(lambda t, m: t <= m), half(lambda t, m: t > m)
 
 
 def terminal_slopes(df: DataFrame, value: str = "st", end: DataFrame | None = None) -> DataFrame:
@@ -307,29 +309,6 @@ def glide_extremes(
 # -- contour distance ------------------------------------------------------------------------
 
 
-def dtw_distance(a: Column | str, b: Column | str) -> Column:
-    """Warping distance of two voiced contours: squared cost over the summed lengths.
-
-    The fold keeps one row of the cost table. Null when a side has under three frames.
-    """
-    xs, ys = col(a), col(b)
-    inf = F.lit(float("inf"))
-    top = F.concat(F.array(F.lit(0.0)), F.transform(ys, lambda _: inf))
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            gap = x - F.get(ys, j)
-            best = F.least(F.get(prev, j + 1), F.get(prev, j), acc["left"])
-            here = gap * gap + best
-            return F.struct(F.concat(acc["out"], F.array(here)).alias("out"), here.alias("left"))
-
-        start = F.struct(F.array(inf).alias("out"), inf.alias("left"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(ys) - 1), start, cell, lambda acc: acc["out"])
-
-    cost = F.element_at(F.aggregate(xs, top, row), -1)
-    return F.when((F.size(xs) >= 3) & (F.size(ys) >= 3), cost / (F.size(xs) + F.size(ys)))
-
-
 def contour_match(distance: Column | str, scale: float = 4.0) -> Column:
     return F.exp(-F.sqrt(col(distance)) / scale)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from phonoframe.functions.scalar import col, hash_bucket, mean, total
+from phonoframe.functions.scalar import col, hash_bucket, let, mean, total
 
 TINY = 1e-9
 
@@ -79,25 +79,30 @@ def time_features(samples: Column | str, rate: int = 16_000) -> Column:
         lambda a, b: F.when((a < 0) != (b < 0), 1.0).otherwise(0.0))
     crossings = _clip(mean(flips) * (rate / 1000.0) / 16.0, 0.0, 1.0)
     frames = frame_slices(xs, int(0.010 * rate), int(0.005 * rate))
-    levels = F.transform(frames, lambda f: F.sqrt(_power(f) + TINY))
-    low, high, mid = F.array_min(levels), F.array_max(levels), mean(levels) + TINY
-    dip = _clip(F.log10((low + TINY) / (mid + TINY)), -3.0, 0.0) / -3.0
-    contrast = _clip(F.log10((high + TINY) / (low + TINY)), 0.0, 3.0) / 3.0
-    rises = F.zip_with(
-        F.slice(levels, F.lit(1), F.size(levels) - 1), F.slice(levels, F.lit(2), F.size(levels) - 1),
-        lambda a, b: b - a)
-    sharp = F.when(F.size(levels) > 1, _clip(F.array_max(rises) / (mid + TINY) / 3.0, 0.0, 1.0)).otherwise(0.0)
-    framed = F.size(levels) > 0
-    centred = F.transform(xs, lambda x: x - mean(xs))
-    base = _shifted_product(centred, F.lit(0)) + TINY
-    lags = F.sequence(F.lit(rate // 400), F.lit(rate // 70 - 1))
-    peak = F.array_max(F.transform(lags, lambda k: _shifted_product(centred, k)))
-    voicing = F.when(n > rate // 70, _clip(peak / base, 0.0, 1.0)).otherwise(0.5)
-    return F.struct(
-        loud.alias("rms_db"), crossings.alias("zero_crossing"),
-        F.when(framed, dip).otherwise(0.0).alias("closure_dip"),
-        F.when(framed, sharp).otherwise(0.0).alias("burst_sharpness"),
-        F.when(framed, contrast).otherwise(0.0).alias("burst_contrast"), voicing.alias("voicing"))
+
+    def bursts(levels: Column) -> Column:
+        low, high, mid = F.array_min(levels), F.array_max(levels), mean(levels) + TINY
+        rises = F.zip_with(
+            F.slice(levels, F.lit(1), F.size(levels) - 1), F.slice(levels, F.lit(2), F.size(levels) - 1),
+            lambda a, b: b - a)
+        sharp = F.when(F.size(levels) > 1, _clip(F.array_max(rises) / (mid + TINY) / 3.0, 0.0, 1.0))
+        framed = lambda value: F.when(F.size(levels) > 0, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+        return F.struct(
+            framed(_clip(F.log10((low + TINY) / (mid + TINY)), -3.0, 0.0) / -3.0).alias("dip"),
+            framed(sharp).alias("sharp"),
+            framed(_clip(F.log10((high + TINY) / (low + TINY)), 0.0, 3.0) / 3.0).alias("contrast"))
+
+    def periodicity(centred: Column) -> Column:
+        base = _shifted_product(centred, F.lit(0)) + TINY
+        lags = F.sequence(F.lit(rate // 400), F.lit(rate // 70 - 1))
+        return _clip(F.array_max(F.transform(lags, lambda k: _shifted_product(centred, k))) / base, 0.0, 1.0)
+
+    centred = let(mean(xs), lambda mu: F.transform(xs, lambda x: x - mu))
+    voicing = F.when(n > rate // 70, let(centred, periodicity)).otherwise(0.5)
+    return let(let(F.transform(frames, lambda f: F.sqrt(_power(f) + TINY)), bursts), lambda burst: F.struct(
+        loud.alias("rms_db"), crossings.alias("zero_crossing"), burst["dip"].alias("closure_dip"),
+        burst["sharp"].alias("burst_sharpness"), burst["contrast"].alias("burst_contrast"),
+        voicing.alias("voicing")))
 
 
 # -- augmentation ----------------------------------------------------------------------------
@@ -110,30 +115,33 @@ def _uniform(key: Column, seed: int, draw: str) -> Column:
 
 def stretch(samples: Column, factor: Column) -> Column:
     """Speed change by linear interpolation at an unchanged length, padded with zeros."""
-    n = F.size(samples)
-    m = F.floor(n / factor).cast("int")
-    last = F.greatest(m - 1, F.lit(1))
+    def moved(m: Column) -> Column:
+        n = F.size(samples)
+
+        def value(k: Column) -> Column:
+            at = k * (n - 1) / F.greatest(m - 1, F.lit(1))
+            low = F.floor(at).cast("int")
+            a = F.get(samples, low)
+            b = F.coalesce(F.get(samples, low + 1), a)
+            return F.when(k < m, a + (b - a) * (at - low)).otherwise(0.0)
 
-    def value(k: Column) -> Column:
-        at = k * (n - 1) / last
-        low = F.floor(at).cast("int")
-        a = F.get(samples, low)
-        b = F.coalesce(F.get(samples, low + 1), a)
-        return F.when(k < m, a + (b - a) * (at - low)).otherwise(0.0)
+        return F.transform(F.sequence(F.lit(0), n - 1), value)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), value)
+    return let(F.floor(F.size(samples) / factor).cast("int"), moved)
 
 
 def add_noise(samples: Column, key: Column, snr_db: Column, seed: int) -> Column:
     """Gaussian noise at a signal-to-noise ratio, drawn from hashes of key and position."""
-    spread = F.sqrt(_power(samples) + TINY) / F.pow(F.lit(10.0), snr_db / 20.0)
+    def noisy(xs: Column, spread: Column) -> Column:
+        def value(x: Column, k: Column) -> Column:
+            place = F.concat_ws("/", key.cast("string"), k.cast("string"))
+            radius = F.sqrt(-2.0 * F.ln(_uniform(place, seed, "radius")))
+            return x + spread * radius * F.cos(F.lit(6.283185307179586) * _uniform(place, seed, "angle"))
 
-    def noisy(x: Column, k: Column) -> Column:
-        place = F.concat_ws("/", key.cast("string"), k.cast("string"))
-        radius = F.sqrt(-2.0 * F.ln(_uniform(place, seed, "radius")))
-        return x + spread * radius * F.cos(F.lit(6.283185307179586) * _uniform(place, seed, "angle"))
+        return F.transform(xs, value)
 
-    return F.transform(samples, noisy)
+    return let(samples, lambda xs: let(
+        F.sqrt(_power(xs) + TINY) / F.pow(F.lit(10.0), snr_db / 20.0), lambda spread: noisy(xs, spread)))
 
 
 def augment(samples: Column | str, key: Column | str, is_target: Column, seed: int = 42) -> Column:

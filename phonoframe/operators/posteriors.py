@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe import tables as K
-from phonoframe.functions.scalar import col, first_argmax, lookup, mean, total
+from phonoframe.functions.scalar import col, first_argmax, let, lookup, mean, total
 
 FLOOR = -1e9
 
@@ -20,9 +20,9 @@ def log_softmax(logits: Column | str) -> Column:
     """Log-probabilities of every frame."""
 
     def frame(xs: Column) -> Column:
-        top = F.array_max(xs)
-        lse = top + F.ln(total(F.transform(xs, lambda x: F.exp(x - top))))
-        return F.transform(xs, lambda x: x - lse)
+        return let(F.array_max(xs), lambda top: let(
+            top + F.ln(total(F.transform(xs, lambda x: F.exp(x - top)))),
+            lambda lse: F.transform(xs, lambda x: x - lse)))
 
     return F.transform(col(logits), frame)
 
@@ -56,18 +56,28 @@ def _mass(selected: Column, token: Column) -> Column:
     return mean(F.transform(selected, lambda f: F.exp(F.get(f, token))))
 
 
+def _normal(mass: Column) -> Column:
+    """Mass divided by its sum, dust kept back."""
+    return let(mass, lambda m: let(total(m) + K.EPS, lambda z: F.transform(m, lambda x: x / z)))
+
+
+def _closed_share(chosen: Column, closed: Column) -> Column:
+    return _normal(F.transform(closed, lambda c: _mass(chosen, c)))
+
+
 def contrast_mean(frames: Column, indices: Column, target: Column, confusions: Column) -> Column:
     """struct(posteriors, score, best): mean probability mass over the label frames,
     renormalised on target and confusions; posteriors follow [target, *confusions]."""
-    chosen = _at(frames, indices)
+
+    def scores(share: Column) -> Column:
+        rivals = F.slice(share, F.lit(2), F.size(confusions))
+        score = F.ln((F.array_max(rivals) + K.EPS) / (F.get(share, F.lit(0)) + K.EPS))
+        return F.struct(
+            share.alias("posteriors"), score.alias("score"),
+            F.get(confusions, first_argmax(rivals).cast("int")).alias("best"))
+
     closed = F.concat(F.array(target), confusions)
-    mass = F.transform(closed, lambda c: _mass(chosen, c))
-    share = F.transform(mass, lambda m: m / (total(mass) + K.EPS))
-    rivals = F.slice(share, F.lit(2), F.size(confusions))
-    best = first_argmax(rivals).cast("int")
-    score = F.ln((F.array_max(rivals) + K.EPS) / (F.get(share, F.lit(0)) + K.EPS))
-    return F.struct(
-        share.alias("posteriors"), score.alias("score"), F.get(confusions, best).alias("best"))
+    return let(_at(frames, indices), lambda chosen: let(_closed_share(chosen, closed), scores))
 
 
 def _frame_odds(frames: Column, indices: Column, target: Column, confusions: Column) -> Column:
@@ -76,12 +86,10 @@ def _frame_odds(frames: Column, indices: Column, target: Column, confusions: Col
 
     def odds(f: Column) -> Column:
         logp = F.transform(closed, lambda c: F.get(f, c))
-        top = F.array_max(logp)
-        p = F.transform(logp, lambda x: F.exp(x - top))
-        whole = total(p)
-        return F.struct(
-            (F.array_max(F.slice(p, F.lit(2), F.size(confusions))) / whole).alias("rival"),
-            (F.get(p, F.lit(0)) / whole).alias("own"))
+        weights = lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top)))
+        return let(let(logp, weights), lambda p: F.struct(
+            (F.array_max(F.slice(p, F.lit(2), F.size(confusions))) / total(p)).alias("rival"),
+            (F.get(p, F.lit(0)) / total(p)).alias("own")))
 
     return F.transform(_at(frames, indices), odds)
 
@@ -105,27 +113,34 @@ def heard(
 
     A winner outside the phone table falls back to the closed set.
     """
-    chosen = _at(frames, indices)
     vocab = F.sequence(F.lit(0), F.size(F.get(frames, F.lit(0))) - 1)
-    full = F.transform(vocab, lambda v: F.when(v == blank, 0.0).otherwise(_mass(chosen, v)))
-    winner = first_argmax(full).cast("int")
-    known = F.array_contains(table, winner) & (F.array_max(full) > 0)
-    closed = contrast_mean(frames, indices, target, confusions)["posteriors"]
     names = F.concat(F.array(target), confusions)
-    token = F.when(known, winner).otherwise(F.get(names, first_argmax(closed).cast("int")))
-    p = F.when(known, F.array_max(full) / (total(full) + K.EPS)).otherwise(F.array_max(closed))
-    return F.struct(
-        token.alias("token"), F.ln((p + K.EPS) / (1.0 - p + K.EPS)).alias("hearing_score"))
+
+    def pick(full: Column, share: Column) -> Column:
+        winner = first_argmax(full).cast("int")
+        known = F.array_contains(table, winner) & (F.array_max(full) > 0)
+        token = F.when(known, winner).otherwise(F.get(names, first_argmax(share).cast("int")))
+        p = F.when(known, F.array_max(full) / (total(full) + K.EPS)).otherwise(F.array_max(share))
+        return F.struct(
+            token.alias("token"), F.ln((p + K.EPS) / (1.0 - p + K.EPS)).alias("hearing_score"))
+
+    return let(_at(frames, indices), lambda chosen: let(
+        F.transform(vocab, lambda v: F.when(v == blank, 0.0).otherwise(_mass(chosen, v))),
+        lambda full: let(_closed_share(chosen, names), lambda share: pick(full, share))))
 
 
 def gop(frames: Column, indices: Column, target: Column) -> Column:
     """struct(gop, confidence) of one phone over its label frames."""
     pairs = F.transform(_at(frames, indices), lambda f: F.struct(
         F.array_max(f).alias("best"), (F.get(f, target) - F.array_max(f)).alias("gap")))
-    sure = F.exp(mean(F.transform(pairs, lambda p: p["best"])))
-    return F.struct(
-        mean(F.transform(pairs, lambda p: p["gap"])).alias("gop"),
-        F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+    def scores(p: Column) -> Column:
+        sure = F.exp(mean(F.transform(p, lambda x: x["best"])))
+        return F.struct(
+            mean(F.transform(p, lambda x: x["gap"])).alias("gop"),
+            F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+    return let(pairs, scores)
 
 
 def realized_class(
@@ -139,13 +154,14 @@ def realized_class(
     def shifted(f: Column) -> Column:
         logp = F.transform(classes, lambda c: F.coalesce(
             F.array_max(F.transform(c["tokens"], lambda k: F.get(f, k))), F.lit(FLOOR)))
-        return F.transform(logp, lambda x: F.exp(x - F.array_max(logp)))
+        return let(logp, lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top))))
+
+    def winner(share: Column) -> Column:
+        name = F.get(classes, first_argmax(share).cast("int"))["name"]
+        return F.when((F.size(indices) > 0) & (F.array_max(share) >= min_mass), name)
 
-    per_frame = F.transform(_at(frames, indices), shifted)
-    mass = F.transform(classes, lambda _, i: mean(F.transform(per_frame, lambda p: F.get(p, i))))
-    share = F.transform(mass, lambda m: m / (total(mass) + K.EPS))
-    name = F.get(classes, first_argmax(share).cast("int"))["name"]
-    return F.when((F.size(indices) > 0) & (F.array_max(share) >= min_mass), name)
+    return let(F.transform(_at(frames, indices), shifted), lambda per_frame: let(
+        _normal(F.transform(classes, lambda _, i: mean(F.transform(per_frame, lambda p: F.get(p, i))))), winner))
 
 
 # -- forced alignment -----------------------------------------------------------------------
@@ -178,36 +194,39 @@ def forced_align(frames: Column, targets: Column, blank: int = 0) -> Column:
     states = F.sequence(F.lit(0), 2 * F.size(targets))
     symbol = F.transform(states, lambda s: F.when(s % 2 == 0, F.lit(blank)).otherwise(
         F.get(targets, F.floor((s - 1) / 2).cast("int"))))
-    skips = F.transform(symbol, lambda z, s: (s >= 2) & (s % 2 == 1) & (z != blank) & F.coalesce(
-        z != F.get(symbol, s - 2), F.lit(False)))
-    first = F.transform(symbol, lambda z, s: F.when(s <= 1, F.get(F.get(frames, F.lit(0)), z)).otherwise(none))
-    start = F.struct(first.alias("dp"), F.array().cast("array<array<int>>").alias("back"))
-
-    def step(acc: Column, f: Column) -> Column:
-        dp = acc["dp"]
-        moves = F.transform(symbol, lambda z, s: F.struct(
-            F.get(dp, s).alias("stay"),
-            F.when(s >= 1, F.get(dp, s - 1)).otherwise(none).alias("one"),
-            F.when(F.get(skips, s), F.get(dp, s - 2)).otherwise(none).alias("two"),
-            F.get(f, z).alias("emit")))
-        back = F.transform(moves, lambda m: F.when(
-            (m["stay"] >= m["one"]) & (m["stay"] >= m["two"]), 0).when(m["one"] >= m["two"], 1).otherwise(2))
-        best = F.transform(moves, lambda m: F.greatest(m["stay"], m["one"], m["two"]) + m["emit"])
-        return F.struct(best.alias("dp"), F.concat(acc["back"], F.array(back)).alias("back"))
-
-    folded = F.aggregate(F.slice(frames, F.lit(2), F.size(frames)), start, step)
-    last = F.size(states) - 1
-
-    def finish(acc: Column) -> Column:
-        a, b = F.get(acc["dp"], last), F.get(acc["dp"], last - 1)
-        end = F.when(b > a, last - 1).otherwise(last)
-        path = F.aggregate(
-            F.reverse(acc["back"]), F.array(end),
-            lambda walked, back: F.concat(
-                F.array(F.get(walked, F.lit(0)) - F.get(back, F.get(walked, F.lit(0)))), walked))
-        return F.when(F.greatest(a, b) > none, path)
-
-    return finish(folded)
+    skip = lambda zs: F.transform(zs, lambda z, s: F.struct(
+        z.alias("z"), ((s % 2 == 1) & (z != blank) & F.coalesce(z != F.get(zs, s - 2), F.lit(False))).alias("skip")))
+    last = 2 * F.size(targets)
+
+    def viterbi(lattice: Column) -> Column:
+        first = F.transform(lattice, lambda x, s: F.when(
+            s <= 1, F.get(F.get(frames, F.lit(0)), x["z"])).otherwise(none))
+        start = F.struct(first.alias("dp"), F.array().cast("array<array<int>>").alias("back"))
+
+        def step(acc: Column, f: Column) -> Column:
+            moves = F.transform(lattice, lambda x, s: F.struct(
+                F.get(acc["dp"], s).alias("stay"),
+                F.when(s >= 1, F.get(acc["dp"], s - 1)).otherwise(none).alias("one"),
+                F.when(x["skip"], F.get(acc["dp"], s - 2)).otherwise(none).alias("two"),
+                F.get(f, x["z"]).alias("emit")))
+            back = lambda m: F.when(
+                (m["stay"] >= m["one"]) & (m["stay"] >= m["two"]), 0).when(m["one"] >= m["two"], 1).otherwise(2)
+            best = lambda m: F.greatest(m["stay"], m["one"], m["two"]) + m["emit"]
+            return let(moves, lambda ms: F.struct(
+                F.transform(ms, best).alias("dp"),
+                F.concat(acc["back"], F.array(F.transform(ms, back))).alias("back")))
+
+        def finish(acc: Column) -> Column:
+            a, b = F.get(acc["dp"], last), F.get(acc["dp"], last - 1)
+            end = F.when(b > a, last - 1).otherwise(last)
+            path = F.aggregate(
+                F.reverse(acc["back"]), F.array(end), lambda walked, back: F.concat(
+                    F.array(F.get(walked, F.lit(0)) - F.get(back, F.get(walked, F.lit(0)))), walked))
+            return F.when(F.greatest(a, b) > none, path)
+
+        return F.aggregate(F.slice(frames, F.lit(2), F.size(frames)), start, step, finish)
+
+    return let(let(symbol, skip), viterbi)
 
 
 def phone_segments(path: Column, n_phones: Column) -> Column:
@@ -217,18 +236,22 @@ def phone_segments(path: Column, n_phones: Column) -> Column:
     blanks stay outside.
     """
     labels = F.sequence(F.lit(0), n_phones - 1)
-    positions = F.sequence(F.lit(0), F.size(path) - 1)
-    own = F.transform(labels, lambda i: F.filter(positions, lambda t: F.get(path, t) == 2 * i + 1))
+    times = F.transform(path, lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    own = lambda pairs: F.transform(labels, lambda i: F.transform(
+        F.filter(pairs, lambda p: p["s"] == 2 * i + 1), lambda p: p["t"]))
     head = lambda xs: F.get(xs, F.lit(0))
     tail = lambda xs: F.get(xs, F.size(xs) - 1)
-    edge = lambda i: F.floor((tail(F.get(own, i - 1)) + head(F.get(own, i))) / 2).cast("int") + 1
-    starts = F.transform(labels, lambda i: F.when(i == 0, head(F.get(own, i))).otherwise(edge(i)))
-    ends = F.transform(labels, lambda i: F.when(
-        i == n_phones - 1, tail(F.get(own, i)) + 1).otherwise(F.get(starts, i + 1)))
-    return F.transform(labels, lambda i: F.struct(
-        i.alias("index"), F.get(starts, i).alias("start_frame"),
-        F.greatest(F.get(ends, i), F.get(starts, i) + 1).alias("end_frame"),
-        F.get(own, i).alias("frames")))
+
+    def tile(spans: Column) -> Column:
+        middle = lambda a, b: F.floor((tail(a) + head(b)) / 2).cast("int") + 1
+        start = lambda xs, i: F.when(i == 0, head(xs)).otherwise(middle(F.get(spans, i - 1), xs))
+        end = lambda xs, i: F.when(i == F.size(spans) - 1, tail(xs) + 1).otherwise(
+            middle(xs, F.get(spans, i + 1)))
+        return F.transform(spans, lambda xs, i: F.struct(
+            i.alias("index"), start(xs, i).alias("start_frame"),
+            F.greatest(end(xs, i), start(xs, i) + 1).alias("end_frame"), xs.alias("frames")))
+
+    return let(let(times, own), tile)
 
 
 def clip_time(frame: Column, hop: Column, offset: Column, duration: Column) -> Column:
