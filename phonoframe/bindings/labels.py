@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phonoframe import schemas
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
-from phonoframe.bindings.records import LI_ROUNDTRIP, POS, sig
+from phonoframe.bindings.records import POS, sig, with_verdicts
 from phonoframe.functions import scalar as S
 from phonoframe.operators import content as X
 from phonoframe.operators import labels as L
@@ -391,7 +391,7 @@ def a6_scan_media(spark, sf):
 @query(f"WITH {V.LI_INDEXED_SPLIT_CTE} SELECT split, label, count(*) AS n, count(score) AS scored, "
        f"round(sum(score), 4) AS total, count(*) FILTER (audio_problem) AS problems FROM lis GROUP BY ALL")
 def a7_read_records(spark, sf):
-    lines = V.li_split(spark, sf, indexed=True).withColumns(LI_ROUNDTRIP).select(
+    lines = with_verdicts(V.li_split(spark, sf, indexed=True)).select(
         F.to_json(F.struct(*[f.name for f in schemas.TOKEN_RECORD])).alias("value"))
     rows = C.records_from_json(lines)
     return rows.groupBy("split", "label").agg(

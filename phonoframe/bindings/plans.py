@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
 from phonoframe.bindings.contours import semis
-from phonoframe.bindings.records import EXPORT_CTE, LI_ROUNDTRIP, VERDICT, exported, sig
+from phonoframe.bindings.records import EXPORT_CTE, VERDICT, exported, sig, with_verdicts
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
@@ -232,7 +232,7 @@ def l3_stream_status(spark, sf):
 @query(f"WITH {V.LI_SPLIT_CTE} SELECT split, count(*) AS n FROM lis GROUP BY split")
 def a8_append_records(spark, sf):
     path = scratch(spark, "records")
-    rows = V.li_split(spark, sf, indexed=True).withColumns(LI_ROUNDTRIP).select(*[f.name for f in schemas.TOKEN_RECORD])
+    rows = with_verdicts(V.li_split(spark, sf, indexed=True)).select(*[f.name for f in schemas.TOKEN_RECORD])
     for part in ("split = 'train'", "split <> 'train'"):
         sinks.append_records(rows.filter(part), path)
     return corpora.read_records(spark, path).groupBy("split").agg(F.count("*").alias("n"))

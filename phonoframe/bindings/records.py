@@ -510,7 +510,6 @@ def g6_slice_bounds(spark, sf):
     return rows.select("utterance_id", "token_index", "first_sample", "last_sample", "reject_reason")
 
 
-#: columns a record needs beyond the view before it is written as JSON
-LI_ROUNDTRIP = {
-    "verdict": F.lit("uncertain"), "confidence": F.lit(0.0), "wall_ms": F.col("wall_ms"),
-}
+def with_verdicts(rows):
+    """The columns a record needs beyond the view before it is written."""
+    return rows.withColumns({"verdict": F.lit("uncertain"), "confidence": F.lit(0.0)})

@@ -30,7 +30,10 @@ def scored(spark, sf):
     return V.post(spark, sf).withColumn("frames", P.log_softmax("logits"))
 
 
-ARGS = [F.col(c) for c in ("frames", "label_frames", "target", "confusions")]
+def args():
+    return [F.col(c) for c in ("frames", "label_frames", "target", "confusions")]
+
+
 LABEL = "t IN (1, 2, 3, 4, 5)"
 CLOSED_CTE = V.POST_CTE + f""", closed AS (SELECT utt, klass, target, label, k, CASE WHEN k = 0 THEN target ELSE 1 + (klass % 7 + k) % 7 END AS token FROM post0, (SELECT unnest([0, 1, 2, 3]) AS k)),
   cm AS (SELECT c.utt, c.k, c.token, avg(exp(logp)) AS m FROM closed c JOIN logp l ON l.utt = c.utt AND l.token = c.token AND {LABEL} GROUP BY ALL),
@@ -46,7 +49,7 @@ def e1_log_softmax(spark, sf):
 
 @query(f"WITH {CLOSED_CTE} SELECT utt, round(ln((rival + 1e-12) / (own + 1e-12)), 6) AS score, best, round(own, 6) AS p_target FROM cs")
 def e2_contrast_mean(spark, sf):
-    rows = scored(spark, sf).withColumn("c", P.contrast_mean(*ARGS))
+    rows = scored(spark, sf).withColumn("c", P.contrast_mean(*args()))
     return rows.select("utt", F.round("c.score", 6).alias("score"), "c.best",
                        F.round(F.get("c.posteriors", F.lit(0)), 6).alias("p_target"))
 
@@ -58,12 +61,12 @@ FRAME_CTE = CLOSED_CTE + f""", fm AS (SELECT l.utt, t, max(logp) AS mx FROM clos
 
 @query(f"WITH {FRAME_CTE} SELECT utt, round(max(ln((rv / z + 1e-12) / (ow / z + 1e-12))), 6) AS spike FROM fp GROUP BY utt")
 def e3_contrast_spike(spark, sf):
-    return scored(spark, sf).select("utt", F.round(P.contrast_spike(*ARGS), 6).alias("spike"))
+    return scored(spark, sf).select("utt", F.round(P.contrast_spike(*args()), 6).alias("spike"))
 
 
 @query(f"WITH {FRAME_CTE} SELECT utt, round(avg(CASE WHEN rv / z > ow / z THEN 1.0e0 ELSE 0.0e0 END), 6) AS vote FROM fp GROUP BY utt")
 def e4_contrast_vote(spark, sf):
-    return scored(spark, sf).select("utt", F.round(P.contrast_vote(*ARGS), 6).alias("vote"))
+    return scored(spark, sf).select("utt", F.round(P.contrast_vote(*args()), 6).alias("vote"))
 
 
 TABLE = [1, 2, 3, 4, 5, 6]
@@ -76,14 +79,14 @@ HEARD_CTE = CLOSED_CTE + f""", fu AS (SELECT utt, token, CASE WHEN token = 0 THE
 @query(f"WITH {HEARD_CTE} SELECT utt, heard, round(hearing_score, 6) AS hearing_score FROM ph")
 def e5_heard(spark, sf):
     table = F.array(*[F.lit(k) for k in TABLE])
-    rows = scored(spark, sf).withColumn("h", P.heard(*ARGS, 0, table))
+    rows = scored(spark, sf).withColumn("h", P.heard(*args(), 0, table))
     return rows.select("utt", F.col("h.token").alias("heard"), F.round("h.hearing_score", 6).alias("hearing_score"))
 
 
 def mirror_rows(spark, sf):
     """Posterior utterances as mirror records; phones are token numbers as text."""
     table = F.array(*[F.lit(k) for k in TABLE])
-    rows = scored(spark, sf).withColumn("h", P.heard(*ARGS, 0, table))
+    rows = scored(spark, sf).withColumn("h", P.heard(*args(), 0, table))
     return rows.select(
         "utt", "l1", "label", F.col("target").cast("string").alias("target"),
         F.col("substituted_with").cast("string").alias("substituted_with"),
