@@ -127,7 +127,7 @@ CODE_SQL = "(['" + "', '".join(CODES) + "'][1 + CAST(c.event_id % 9 AS INT)])"
 
 
 @query(f"WITH {GATHER_CTE.format(v='c.hz', a=0.05, b=0.1)} SELECT event_id, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, "
-       "round(sum(v), 6) AS total FROM g GROUP BY event_id")
+       "round(sum(v), 4) AS total FROM g GROUP BY event_id")
 def c7_gather_points(spark, sf):
     frames, w = words(spark, sf)
     pts = frames.filter("hz IS NOT NULL").select("clip", "t", F.col("hz").alias("v"))
@@ -136,7 +136,7 @@ def c7_gather_points(spark, sf):
     return rows.select(
         "event_id", F.size(p).cast("bigint").alias("n"), F.round(F.get(p, F.lit(0))["t"], 6).alias("first_t"),
         F.round(F.get(p, F.size(p) - 1)["t"], 6).alias("last_t"),
-        F.round(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x["v"]), 6).alias("total"))
+        F.round(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x["v"]), 4).alias("total"))
 
 
 RANKS = "CASE {0} WHEN 'L' THEN -1 WHEN 'B' THEN 0 WHEN 'S' THEN 1 WHEN 'D' THEN 1 WHEN 'M' THEN 2 WHEN 'U' THEN 3 WHEN 'T' THEN 4 WHEN 'H' THEN 5 END"
