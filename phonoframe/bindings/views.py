@@ -170,10 +170,10 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     sums = {"_upto": F.col("l_quantity"), "_n": F.lit(1).cast("bigint")}
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     laid = running(rows, ["path"], order, sums, bucket)
-    return laid.select(
+    return settle(laid.select(
         "path", (F.col("_n") - 1).alias("idx"),
         ((F.col("_upto") - F.col("l_quantity")) / 20.0).alias("xmin"),
-        (F.col("_upto") / 20.0).alias("xmax"), "text", "l_orderkey", "l_partkey", "l_suppkey")
+        (F.col("_upto") / 20.0).alias("xmax"), "text", "l_orderkey", "l_partkey", "l_suppkey"))
 
 
 GRID_CTE = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.functions import scalar as S
 from phonoframe.operators.ranks import row_index
+from phonoframe.operators.storage import settle
 
 
 def quarantine(
@@ -67,38 +68,45 @@ def parse_tags(df: DataFrame, text: str) -> DataFrame:
     single comma or an unmappable tag target is an error and carries a reason that
     starts with ``error``.
     """
-    raw = F.trim(F.col(text))
-    commas = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit("")))
-    part = lambda k: F.trim(F.get(F.split(raw, ","), F.lit(k)))
-    tagged = commas == 2
-    silent = S.is_tier_silence(raw)
-    code = S.lookup(K.TAG_CODES, F.lower(part(2)))
-    inserted = (code == "a") | F.lower(part(0)).isin("sil", "sp")
-    phone = F.when(tagged, S.tier_phone(part(0))).otherwise(S.tier_phone(raw))
-    dropped = silent | (tagged & code.isNotNull() & inserted)
+    part = lambda k: F.trim(F.get(F.split("_raw", ","), F.lit(k)))
+    commas = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","), F.lit("")))
+    read = df.withColumn("_raw", F.trim(F.col(text))).withColumn("_commas", commas)
+    tagged = F.col("_commas") == 2
+    split = read.withColumns({
+        "_code": F.when(tagged, S.lookup(K.TAG_CODES, F.lower(part(2)))),
+        "_said": F.when(tagged, part(0)).otherwise(F.col("_raw"))})
+    code = F.col("_code")
+    # the label tables are consulted once per name: staged columns are not re-evaluated
+    mapped = split.withColumns({
+        "_phone": S.tier_phone("_said"), "_silent": S.is_tier_silence(F.col("_raw")),
+        "_real": F.when(code == "s", S.tier_phone(part(1))),
+        "_inserted": F.coalesce((code == "a") | F.lower(F.col("_said")).isin("sil", "sp"), F.lit(False))})
+    silent, inserted, unmapped = F.col("_silent"), F.col("_inserted"), F.col("_phone").isNull()
     reason = (
         F.when(silent, F.lit(None).cast("string"))
-        .when((commas > 0) & ~tagged, F.lit("error: unparsable annotation"))
+        .when((F.col("_commas") > 0) & ~tagged, F.lit("error: unparsable annotation"))
         .when(tagged & code.isNull(), F.lit("unparsable tag code"))
-        .when(tagged & ~inserted & phone.isNull(), F.lit("error: tag target is not a phone"))
-        .when(~tagged & phone.isNull(), F.lit("unmappable label"))
+        .when(tagged & ~inserted & unmapped, F.lit("error: tag target is not a phone"))
+        .when(~tagged & unmapped, F.lit("unmappable label"))
     )
-    kept = ~dropped & reason.isNull()
+    dropped = silent | (tagged & code.isNotNull() & inserted)
+    state = F.when(dropped, F.lit("dropped")).when(F.col("reason").isNotNull(), F.lit("bad")).otherwise(F.lit("kept"))
+    judged = mapped.withColumn("reason", reason).withColumn("state", state)
+    kept = F.col("state") == "kept"
     label = F.when(~tagged, F.lit("correct")).when(code == "s", F.lit("substituted")).otherwise(
         F.lit("deleted"))
-    return df.withColumns({
-        "state": F.when(dropped, F.lit("dropped")).when(reason.isNotNull(), F.lit("bad")).otherwise(
-            F.lit("kept")),
-        "phone": F.when(kept, phone),
-        "label": F.when(kept, label),
-        "substituted_with": F.when(kept & tagged & (code == "s"), S.tier_phone(part(1))),
-        "reason": reason,
-    })
+    return judged.withColumns({
+        "phone": F.when(kept, F.col("_phone")), "label": F.when(kept, label),
+        "substituted_with": F.when(kept, F.col("_real")),
+    }).drop("_raw", "_commas", "_code", "_said", "_phone", "_silent", "_real", "_inserted")
 
 
 def token_sequence(tagged: DataFrame, key: str, order: str) -> DataFrame:
-    """Kept tokens with ``token_index`` counted after the drops, per utterance."""
-    kept = tagged.filter(F.col("state") == "kept").drop("state", "reason")
+    """Kept tokens with ``token_index`` counted after the drops, per utterance.
+
+    The mapped tokens are written once: the index reads them twice.
+    """
+    kept = settle(tagged.filter(F.col("state") == "kept").drop("state", "reason"))
     ranked = row_index(kept, [key], [order], F.expr(f"{order} div 1024"), "_n")
     return ranked.withColumn("token_index", F.col("_n") - 1).drop("_n")
 
