@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the session names, a local one only where it is unset."""
+    """Folder for checkpoints: the one the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder serves a ``local`` master, whose executors live in the
+    driver's process; any other master raises, because executors could not read such a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="phonoframe-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
