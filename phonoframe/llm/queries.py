@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.llm import jaccard
+import public_tokenizers
+
+from phonoframe.llm import jaccard, lines, pieces
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,3 +54,30 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(root) AS ro
 def op1_ngram_jaccard(spark, sf):
     found = jaccard.jaccard_join(utterances(table(spark, sf, "documents")))
     return found.withColumnRenamed("utterance_id", "doc_id")
+
+
+@query()
+def op2_sentencepiece(spark, sf):
+    found = pieces.encode_transcripts(
+        utterances(table(spark, sf, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        F.col("utterance_id").alias("doc_id"), "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+k AS (SELECT doc_id, p, line, {LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (top <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY 1
+""")
+def op8_line_dedup(spark, sf):
+    docs = utterances(table(spark, sf, "documents"))
+    kept = lines.apply_bitmaps(docs, lines.line_bitmaps(docs))
+    return kept.select(
+        F.col("utterance_id").alias("doc_id"), "n_lines", "n_dropped",
+        F.sha2(F.coalesce("transcript", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
