@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from phonoframe.llm import jaccard, lines, pieces
+from phonoframe.llm import jaccard, leaks, lines, pieces
 
 QUERIES, ORACLE = {}, {}
 
@@ -56,6 +56,10 @@ def op1_ngram_jaccard(spark, sf):
     return found.withColumnRenamed("utterance_id", "doc_id")
 
 
+def items(spark, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
 @query()
 def op2_sentencepiece(spark, sf):
     found = pieces.encode_transcripts(
@@ -81,3 +85,30 @@ def op8_line_dedup(spark, sf):
     return kept.select(
         F.col("utterance_id").alias("doc_id"), "n_lines", "n_dropped",
         F.sha2(F.coalesce("transcript", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(f"""
+WITH i AS (SELECT item_id, {PLAIN_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, m, array_to_string(w[p:p+m-1], ' ') AS g FROM (
+    SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM i WHERE len(w) > 0)),
+m AS (SELECT DISTINCT m FROM win),
+d AS (SELECT doc_id, coalesce({PLAIN_WORDS}, []) AS w FROM documents),
+occ AS (
+  SELECT doc_id, p, x.m, item_id FROM (
+    SELECT doc_id, m, p, array_to_string(w[p:p+m-1], ' ') AS g FROM (
+      SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, m WHERE len(w) >= m)) x
+  JOIN win ON win.g = x.g AND win.m = x.m),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM occ) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def op10_decontaminate(spark, sf):
+    found = leaks.find_leaks(utterances(table(spark, sf, "documents")), items(spark, sf))
+    return found.select(
+        F.col("utterance_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
