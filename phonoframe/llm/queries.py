@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from phonoframe.llm import jaccard, leaks, lines, pieces
+from phonoframe.llm import jaccard, leaks, licenses, lines, pieces, rules
 
 QUERIES, ORACLE = {}, {}
 
@@ -112,3 +112,21 @@ def op10_decontaminate(spark, sf):
         F.col("utterance_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op7_quality_rules(spark, sf):
+    found = rules.judge_quality(utterances(table(spark, sf, "documents")))
+    return found.select(
+        F.col("utterance_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "posterior")
+
+
+@query()
+def op4_license_scan(spark, sf):
+    found = licenses.scan_licenses(utterances(table(spark, sf, "documents")))
+    return found.select(
+        F.col("utterance_id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        "spans")
