@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from phonoframe.llm import jaccard, leaks, licenses, lines, pieces, rules
+from phonoframe.llm import classifier, jaccard, leaks, licenses, lines, pieces, rules, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -130,3 +130,23 @@ def op4_license_scan(spark, sf):
         F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
         "spans")
+
+
+@query()
+def op5_quality_classifier(spark, sf):
+    docs = utterances(table(spark, sf, "documents"))
+    held_out = F.crc32(F.col("utterance_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("utterance_id"), F.col("quality").alias("label"))
+    weights = classifier.train_quality(docs, labels.filter(~held_out))
+    return classifier.score_quality(docs, weights).select(
+        F.col("utterance_id").alias("doc_id"), held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op6_toxicity(spark, sf):
+    docs = utterances(table(spark, sf, "documents"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("utterance_id"), "toxic")
+    found = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
+    return found.withColumnsRenamed({"utterance_id": "doc_id", "toxic": "score"}).withColumn(
+        "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -88,15 +88,20 @@ def find(texts: list[bytes], table: bytes) -> Words:
     length = end - start
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     row = np.searchsorted(np.cumsum(sizes) - sizes, start, side="right") - 1
+    return Words(data, start, end, row, len(texts), range_hashes(buf, start, end))
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every (not empty) byte range."""
     if not len(start):
-        return Words(data, start, end, row, len(texts), np.zeros(0, np.uint64))
+        return np.zeros(0, np.uint64)
+    length = end - start
     first = np.cumsum(length) - length
     place = np.arange(int(length.sum())) - np.repeat(first, length)
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(np.full(int(length.max()) + 1, _STEP, np.uint64))
-        value = _BYTE[buf[inside]] * power[place]
-        sums = np.add.reduceat(value, first) + length.astype(np.uint64) * _STEP
-    return Words(data, start, end, row, len(texts), mix(sums))
+        value = _BYTE[buf[np.repeat(start, length) + place]] * power[place]
+        return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * _STEP)
 
 
 def chain(hashes: list[np.ndarray], seed: int) -> np.ndarray:
