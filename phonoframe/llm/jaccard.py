@@ -11,8 +11,10 @@ transcript's set is cut with it, so that a fragment sees a segment of each set.
    these sets hold them; linked sets share one of their rarest (prefix filter).
 3. Members of a posting list are paired with one hub. Partial overlaps of a pair are counted in each
    fragment and summed. Lists whose members are connected need no more pairs; in the others, members
-   outside the largest component are paired with every member of another component, so no link
-   between components is lost and no group is expanded into all its pairs.
+   outside the largest component are paired with every member of another component that the rest of
+   both sets, from this n-gram on, allows to link (positional filter; a linked pair passes it at its
+   first common n-gram). So no link between components is lost and no group is expanded into all its
+   pairs.
 """
 
 from __future__ import annotations
@@ -230,7 +232,7 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
         postings.join(held, "gram")
         .withColumns({"rank": rarest, "common": F.count("*").over(per_set)})
         .filter(F.col("rank") <= F.col("common") - F.ceil(F.col("n") * percent / 100) + 1)
-        .select("gram", "node", "n"))
+        .select("gram", "node", "n", (F.col("common") - F.col("rank") + 1).alias("rest")))
 
     def close(a: str, b: str):
         return (F.greatest(a, b) * percent <= F.least(a, b) * 100)
@@ -245,7 +247,7 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
     edges, labels = None, none
     for turn in range(HUB_ROUNDS + 1):
         members = prefix.join(labels, "node", "left").select(
-            "gram", "node", "n", F.coalesce("label", "node").alias("label"))
+            "gram", "node", "n", "rest", F.coalesce("label", "node").alias("label"))
         if turn < HUB_ROUNDS:
             hubs = members.groupBy("gram").agg(
                 F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"),
@@ -261,10 +263,15 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
             ).filter("labels > 1")
             inside = members.join(mixed.select("gram", "main"), "gram")
             outer = inside.filter("label <> main").select(
-                "gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            every = inside.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"),
-                                  F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
-            pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)").select("a", "b", "na", "nb")
+                "gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"),
+                F.col("label").alias("la"))
+            every = inside.select(
+                "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"),
+                F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
+            # at the first n-gram of a pair, its overlap is at most what either set has from there on
+            reach = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
+            pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)").filter(reach).select(
+                "a", "b", "na", "nb")
         found = _linked(ordered(pairs), segments, percent)
         edges = settle(found if edges is None else edges.union(found))
         labels = components(edges)

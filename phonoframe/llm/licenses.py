@@ -42,6 +42,9 @@ NOTICES = [
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
     ("subject to the terms of the mozilla public license", "mpl"),
     ("licensed under a creative commons attribution", "cc-by"),
+    ("licensed under cc by 4 0", "cc-by"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under the eclipse public license", "epl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),

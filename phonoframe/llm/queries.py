@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from phonoframe.llm import classifier, jaccard, leaks, licenses, lines, pieces, rules, toxicity
+from phonoframe.llm import classifier, jaccard, languages, leaks, licenses, lines, pieces, rules, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -150,3 +150,15 @@ def op6_toxicity(spark, sf):
     found = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
     return found.withColumnsRenamed({"utterance_id": "doc_id", "toxic": "score"}).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@query()
+def op3_language_id(spark, sf):
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    model = languages.train_languages(docs.select("text", "lang"))
+    none = F.lit(None)
+    records = pages.select(
+        none.cast("bigint").alias("doc_id"), "page_id", languages.visible_text(F.col("html")).alias("text"),
+        languages.declared_language(F.col("html")).alias("declared"), languages.host_of(F.col("url")).alias("host"),
+    ).union(docs.select("doc_id", none.cast("bigint"), "text", none.cast("string"), "source"))
+    return languages.identify_languages(records, model)
