@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from phonoframe.llm import classifier, jaccard, languages, leaks, licenses, lines, pieces, rules, toxicity
+from phonoframe.llm import classifier, jaccard, languages, leaks, licenses, lines, pieces, rules, surrogates, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -162,3 +162,11 @@ def op3_language_id(spark, sf):
         languages.declared_language(F.col("html")).alias("declared"), languages.host_of(F.col("url")).alias("host"),
     ).union(docs.select("doc_id", none.cast("bigint"), "text", none.cast("string"), "source"))
     return languages.identify_languages(records, model)
+
+
+@query()
+def op9_pii_surrogates(spark, sf):
+    found = surrogates.replace_entities(utterances(table(spark, sf, "documents")), b"an operator's secret")
+    return found.select(
+        F.col("utterance_id").alias("doc_id"), F.col("transcript").alias("text"),
+        F.size("entities").cast("bigint").alias("n_entities"), "entities")
