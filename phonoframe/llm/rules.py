@@ -139,23 +139,55 @@ def _log_odds(up, down, share, good, bad) -> np.ndarray:
     return np.log(share) - np.log1p(-share) + up @ for_up + down @ for_down
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, texts in WD.slices(batch.column(1)):
-            counts = count_texts(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), *(pa.array(c) for c in counts.T)],
-                names=["utterance_id", *COUNTS])
+def _measure(text: int):
+    """Add the counts of text column ``text`` to whatever columns a batch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in WD.slices(batch.column(text)):
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(c) for c in count_texts(texts).T)], names=[*part.schema.names, *COUNTS])
+
+    return run
+
+
+def _measured(plain: DataFrame, text: str) -> DataFrame:
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return plain.mapInArrow(_measure(plain.columns.index(text)), schema)
 
 
 def measure(utterances: DataFrame) -> DataFrame:
     """``utterance_id`` and the ``COUNTS`` of every transcript: words, characters in words, symbols,
     lines equal to an earlier one, words in 3-word windows that stand twice or more, lines with a
     word, function words, words with a letter, lines that end in closing punctuation."""
-    schema = T.StructType([T.StructField("utterance_id", utterances.schema["utterance_id"].dataType)]
-                          + [T.StructField(c, T.LongType()) for c in COUNTS])
-    return utterances.select("utterance_id", F.col("transcript").cast("string").alias("transcript")).mapInArrow(
-        _measure, schema)
+    return _measured(utterances.select(
+        "utterance_id", F.col("transcript").cast("string").alias("transcript")), "transcript").drop("transcript")
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _votes() -> Column:
+    return F.array(*[r.vote().cast("tinyint") for r in RULES])
+
+
+def accuracies(voted: DataFrame) -> dict[str, np.ndarray]:
+    """Estimate from a frame with ``votes``; at most 3 ** len(RULES) pattern counts are collected."""
+    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    votes = np.array([list(p.votes) for p in patterns], int).reshape(-1, len(RULES))
+    return estimate(votes, np.array([p.n for p in patterns], float))
+
+
+def _posterior(found: dict[str, np.ndarray]) -> Column:
+    up = np.log(found["good"]) - np.log1p(-found["bad"])
+    down = np.log1p(-found["good"]) - np.log(found["bad"])
+    odds = F.lit(float(np.log(found["share"]) - np.log1p(-found["share"])))
+    for k in range(len(RULES)):
+        vote = F.col("votes")[k]
+        odds = odds + F.when(vote > 0, float(up[k])).when(vote < 0, float(down[k])).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
 
 
 def judge_quality(utterances: DataFrame, least_posterior: float = 0.5) -> DataFrame:
@@ -172,20 +204,20 @@ def judge_quality(utterances: DataFrame, least_posterior: float = 0.5) -> DataFr
     Defined cases: a null, empty or blank transcript has no words and fails; repeated rows and null
     ids are rows like any other; an empty table gives an empty result.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = settle(measure(utterances).withColumns({
-        "base_failed": base, "votes": F.array(*[r.vote().cast("tinyint") for r in RULES])}))
-    # at most 3 ** len(RULES) rows
-    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    if not patterns:
-        return voted.withColumns({"posterior": F.lit(0.0), "kept": F.lit(False)})
-    votes, counts = np.array([list(p.votes) for p in patterns]), np.array([p.n for p in patterns], float)
-    found = estimate(votes, counts)
-    up = np.log(found["good"]) - np.log1p(-found["bad"])
-    down = np.log1p(-found["good"]) - np.log(found["bad"])
-    odds = F.lit(float(np.log(found["share"]) - np.log1p(-found["share"])))
-    for k in range(len(RULES)):
-        vote = F.col("votes")[k]
-        odds = odds + F.when(vote > 0, float(up[k])).when(vote < 0, float(down[k])).otherwise(0.0)
-    return voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn(
+    voted = settle(measure(utterances).withColumns({"base_failed": _base_failed(), "votes": _votes()}))
+    return voted.withColumn("posterior", _posterior(accuracies(voted))).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= least_posterior))
+
+
+def keep_good(utterances: DataFrame, least_posterior: float = 0.5) -> DataFrame:
+    """The utterances that ``judge_quality`` keeps, with all their columns, whatever their names.
+
+    Texts are measured once for the accuracies and once more for the verdict, which costs less than
+    sending them through a shuffle to meet their verdicts.
+    """
+    found = accuracies(measure(utterances).select(_votes().alias("votes")))
+    given = utterances.withColumn("transcript", F.col("transcript").cast("string"))
+    names = given.columns
+    plain = given.toDF(*[f"_given{k}" for k in range(len(names))])
+    judged = _measured(plain, f"_given{names.index('transcript')}").withColumn("votes", _votes())
+    return judged.filter(~_base_failed() & (_posterior(found) >= least_posterior)).select(*plain.columns).toDF(*names)
