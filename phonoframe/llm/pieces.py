@@ -208,7 +208,7 @@ class Pieces:
         data = self.surface_bytes[place].tobytes()
         ends = np.cumsum(total)
         row_bytes = np.append(0, np.cumsum(size))[ends]
-        any_byte = np.append(0, np.cumsum(self.is_byte[ids]))
+        any_byte = np.append(0, np.cumsum(self.is_byte[ids] | (ids == self.unknown)))
         out, at = [], 0
         for i, end in enumerate(row_bytes.tolist()):
             first = int(ends[i] - total[i])
@@ -228,7 +228,7 @@ class Pieces:
                 run += self.surface[i]
             elif self.surface[i]:
                 shown = self.surface[i].decode()
-                parts += [_characters(bytes(run)), shown if parts or run else shown.removeprefix(" ")]
+                parts += [_characters(bytes(run)), shown if parts or run or i == self.unknown else shown.removeprefix(" ")]
                 run.clear()
         return "".join([*parts, _characters(bytes(run))])
 
