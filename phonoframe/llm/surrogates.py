@@ -162,7 +162,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         # the same domain always has the same surrogate; its last label stays
         moved = ".".join([*(_reshape(key, "domain", d) for d in labels[:-1]), labels[-1]])
-        return f"{_reshape(key, tweak, name)}@{moved}"
+        # short names have few images, so late attempts grow
+        return f"{_reshape(key, tweak, name + 'x' * max(0, attempt - 3))}@{moved}"
     if kind == "card":
         body = _reshape(key, tweak, canonical[:-1])
         return body + luhn_digit(body)
@@ -220,7 +221,8 @@ def redrawn_entities(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt) of distinct entities whose first surrogate cannot be used.
 
     A surrogate is refused if it is an entity of the table, or if another entity has it too; then the
-    entity of the smallest attempt and canonical form keeps it. Attempts rise until nothing is refused.
+    entity of the smallest attempt and canonical form keeps it. Attempts rise until nothing is refused;
+    names and mail addresses grow with them, and numbers have shapes far larger than any table.
     """
     draw = _drawer(key)
     real = entities.select(F.split("kind", ":")[0].alias("group"), F.col("canonical").alias("surrogate")).distinct()
