@@ -9,12 +9,12 @@ transcript's set is cut with it, so that a fragment sees a segment of each set.
    keeps n-grams of very many transcripts small before they are shuffled.
 2. The sets that remain are cut into fragments of the whole order. N-grams are ranked by how many of
    these sets hold them; linked sets share one of their rarest (prefix filter).
-3. Members of a posting list are paired with one hub. Partial overlaps of a pair are counted in each
-   fragment and summed. Lists whose members are connected need no more pairs; in the others, members
-   outside the largest component are paired with every member of another component that the rest of
-   both sets, from this n-gram on, allows to link (positional filter; a linked pair passes it at its
-   first common n-gram). So no link between components is lost and no group is expanded into all its
-   pairs.
+3. Members of a posting list are paired with one hub, the set with most n-grams from this one on.
+   Lists whose members are connected need no more pairs; in the others, members outside the largest
+   component are paired with every member of another component. Both times only pairs are made that
+   the rest of both sets, from this n-gram on, allows to link (positional filter; a linked pair passes
+   it at its first common n-gram). Partial overlaps of a pair are counted in each fragment and summed.
+   So no link between components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -243,6 +243,8 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
             F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
             F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
+    # at the first n-gram of a pair, its overlap is at most what either set has from there on
+    reach = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
     none = spark.createDataFrame([], "node bigint, label bigint")
     edges, labels = None, none
     for turn in range(HUB_ROUNDS + 1):
@@ -250,12 +252,12 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
             "gram", "node", "n", "rest", F.coalesce("label", "node").alias("label"))
         if turn < HUB_ROUNDS:
             hubs = members.groupBy("gram").agg(
-                F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"),
+                F.max_by(F.struct("node", "n", "rest", "label"), F.struct("rest", F.xxhash64("node", F.lit(turn)))).alias("hub"),
                 F.min("label").alias("low"), F.max("label").alias("high"),
             ).filter("low <> high")
             pairs = members.join(hubs, "gram").filter("label <> hub.label").select(
-                F.col("node").alias("a"), F.col("hub.node").alias("b"),
-                F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+                F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"),
+                F.col("hub.n").alias("nb"), F.col("rest").alias("ra"), F.col("hub.rest").alias("rb"))
         else:
             groups = members.groupBy("gram", "label").agg(F.count("*").alias("size"))
             mixed = groups.groupBy("gram").agg(
@@ -268,11 +270,8 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
             every = inside.select(
                 "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"),
                 F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
-            # at the first n-gram of a pair, its overlap is at most what either set has from there on
-            reach = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
-            pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)").filter(reach).select(
-                "a", "b", "na", "nb")
-        found = _linked(ordered(pairs), segments, percent)
+            pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)")
+        found = _linked(ordered(pairs.filter(reach).select("a", "b", "na", "nb")), segments, percent)
         edges = settle(found if edges is None else edges.union(found))
         labels = components(edges)
 
@@ -282,3 +281,15 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
     return profiles.join(answer, "node", "left").select(
         "utterance_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("utterance_id")).alias("component_id"))
+
+
+def keep_one(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """One utterance of each component of ``jaccard_join``, that of the smallest utterance_id.
+
+    All columns are kept. Rows that repeat an utterance_id are one utterance and stay or go together;
+    rows without an utterance_id stay. Transcripts without words stay.
+    """
+    found = jaccard_join(utterances, percent, n)
+    repeats = settle(found.filter("utterance_id <> component_id").select(
+        F.col("utterance_id").alias("_repeat")).distinct())
+    return utterances.join(small_side(repeats), F.col("utterance_id") == F.col("_repeat"), "left_anti")
