@@ -129,8 +129,8 @@ VOCAB = {"<pad>": 3, "[PAD]": 1, "pad": 9}
 
 def vocabulary(spark, sf):
     """A vocabulary with holes: one token per part key, and the blank spellings."""
-    phones = sorted(set(K.stressless_vocabulary().values()))
-    table = K.stressless_vocabulary()
+    phones = sorted(set(K.STRESSLESS_VOCABULARY.values()))
+    table = K.STRESSLESS_VOCABULARY
     parts = V.table(spark, sf, "part")
     tokens = parts.filter(f"p_partkey % 11 <> 4 AND p_partkey < {len(phones)}").select(
         pick(phones, "1 + p_partkey").alias("token"), (F.col("p_partkey") + 10).alias("token_id"))
@@ -148,7 +148,7 @@ def vocabulary(spark, sf):
 
 
 def _vocab_cte() -> str:
-    table = K.stressless_vocabulary()
+    table = K.STRESSLESS_VOCABULARY
     phones = sorted(set(table.values()))
     tokens = ", ".join(f"('{p}', {i + 10})" for i, p in enumerate(phones) if i % 11 != 4)
     blanks = ", ".join(f"('{k}', {v})" for k, v in VOCAB.items())
@@ -436,8 +436,8 @@ def b17_expected_phones(spark, sf):
     return packed.select("utterance_id", F.array_join(text, " ").alias("phones"))
 
 
-@query(f"""WITH {V.LI_INDEXED_CTE} SELECT utterance_id, token_index FROM li a WHERE NOT EXISTS
-   (SELECT 1 FROM li b WHERE b.utterance_id = a.utterance_id AND b.token_index = a.token_index AND b.alignment = 'ok')""")
+@query(f"""WITH {V.LI_INDEXED_CTE}, k AS MATERIALIZED (SELECT utterance_id, token_index, alignment FROM li)
+   SELECT utterance_id, token_index FROM k ANTI JOIN (SELECT utterance_id, token_index FROM k WHERE alignment = 'ok') USING (utterance_id, token_index)""")
 def c2_pending(spark, sf):
     rows = V.li_indexed(spark, sf).select("utterance_id", "token_index", "alignment")
     return R.pending(rows, rows.filter("alignment = 'ok'"), ["utterance_id", "token_index"]).drop("alignment")
@@ -452,9 +452,10 @@ def c3_lookup(spark, sf):
     return counted(rows, "s_suppkey", "n_name")
 
 
-@query(f"""WITH {V.LI_INDEXED_SPLIT_CTE}, top AS (SELECT utterance_id, token_index FROM lis WHERE split = 'train'
+@query(f"""WITH {V.LI_INDEXED_SPLIT_CTE}, k AS MATERIALIZED (SELECT utterance_id, token_index, phone, score, split, label FROM lis),
+  top AS MATERIALIZED (SELECT utterance_id, token_index FROM k WHERE split = 'train'
     AND label = 'correct' AND score IS NOT NULL ORDER BY score DESC, utterance_id, token_index LIMIT 1000)
-  SELECT utterance_id, token_index, phone, score FROM lis SEMI JOIN top USING (utterance_id, token_index)""")
+  SELECT utterance_id, token_index, phone, score FROM k SEMI JOIN top USING (utterance_id, token_index)""")
 def c8_restrict(spark, sf):
     rows = V.li_split(spark, sf, indexed=True)
     keys = SP.hard_negatives(rows, 1000)

@@ -163,7 +163,7 @@ def d13_variant_bakeoff(spark, sf):
 
 @query()
 def k8_run_exam(spark, sf):
-    frames = exam.run_exam(V.li_split(spark, sf), V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
+    frames = exam.run_exam(V.li_split(spark, sf, indexed=True), V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
     return frames["summary"].drop("confusions")
 
 

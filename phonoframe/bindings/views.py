@@ -113,7 +113,9 @@ lis AS (SELECT li.*, CASE
 def li_split(spark: SparkSession, sf: str, indexed: bool = False) -> DataFrame:
     from phonoframe.operators.splits import assign_split
 
-    return assign_split((li_indexed if indexed else li)(spark, sf))
+    rows = li(spark, sf)
+    roster = rows.filter("speaker IS NOT NULL AND l1 IS NOT NULL").select("speaker", "l1").distinct()
+    return assign_split(li_indexed(spark, sf) if indexed else rows, roster)
 
 
 LI_SPLIT_CTE = LI_CTE + ", li AS (SELECT * FROM li0), " + SPLIT_CTE
@@ -170,10 +172,10 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     sums = {"_upto": F.col("l_quantity"), "_n": F.lit(1).cast("bigint")}
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     laid = running(rows, ["path"], order, sums, bucket)
-    return settle(laid.select(
+    return laid.select(
         "path", (F.col("_n") - 1).alias("idx"),
         ((F.col("_upto") - F.col("l_quantity")) / 20.0).alias("xmin"),
-        (F.col("_upto") / 20.0).alias("xmax"), "text", "l_orderkey", "l_partkey", "l_suppkey"))
+        (F.col("_upto") / 20.0).alias("xmax"), "text", "l_orderkey", "l_partkey", "l_suppkey")
 
 
 GRID_CTE = (

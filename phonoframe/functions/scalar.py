@@ -199,9 +199,12 @@ def register_functions(spark: SparkSession) -> list[str]:
             "CASE WHEN CAST(conv(substring(md5(client), 1, 8), 16, 10) AS BIGINT) % 100 < 5 "
             "THEN 'val' ELSE 'train' END",
         "contrast_target(spec STRING) RETURNS STRING":
-            "trim(split(spec, ':', 2)[0])",
+            "CASE WHEN contains(spec, ':') THEN trim(split(spec, ':', 2)[0]) "
+            "WHEN spec IS NOT NULL THEN CAST(raise_error('a contrast needs a colon') AS STRING) END",
         "contrast_confusions(spec STRING) RETURNS ARRAY<STRING>":
-            "filter(transform(split(get(split(spec, ':', 2), 1), ','), x -> trim(x)), x -> x <> '')",
+            "CASE WHEN contains(spec, ':') THEN "
+            "filter(transform(split(get(split(spec, ':', 2), 1), ','), x -> trim(x)), x -> x <> '') "
+            "WHEN spec IS NOT NULL THEN CAST(raise_error('a contrast needs a colon') AS ARRAY<STRING>) END",
         "tone_of(label STRING) RETURNS STRING":
             "CASE WHEN regexp_replace(label, r'^[<>]+', '') LIKE '`/%' THEN 'fall_rise' "
             "WHEN left(regexp_replace(label, r'^[<>]+', ''), 1) IN (r'\\', '`') THEN 'fall' "

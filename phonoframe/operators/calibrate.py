@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.functions.scalar import col, count_if, num, sigmoid
 from phonoframe.operators.ranks import join_keys
-from phonoframe.operators.storage import settle
+from phonoframe.operators.storage import settle, store
 
+MAX_STEP = 20.0
+MOST_GROUPS = 100_000
 VARIANTS = {
     "mean": "score", "spike": "spike_score", "vote": "vote_fraction", "gop": "gop",
     "hearing": "hearing_score",
@@ -20,10 +22,14 @@ VARIANTS = {
 
 def fit_platt(
     df: DataFrame, score: str, label: Column, by: list[str] | None = None,
-    max_iter: int = 25, tol: float = 1e-10,
+    max_iter: int = 40, tol: float = 1e-10,
 ) -> DataFrame:
     """Logistic fit of ``label`` on ``score`` per group: columns a, b, n, converged.
 
+    A fit that does not converge, as on separable scores, whose slope has no bound, has no result: a
+    and b are null, so probabilities are null and sweeps, verdicts and calibrations refuse the group.
+    Steps are damped to ``MAX_STEP``, which no converging pass needs near its end.
+
     Newton's method on sufficient statistics: each pass is one aggregation to five
     sums per group, so records never leave the executors. Equal scores collapse to
     one weighted row before the first pass. A group with one class gets (0, 0) when
@@ -48,16 +54,21 @@ def fit_platt(
     if not by and state.isEmpty():
         raise ValueError("cannot fit a calibration on an empty pool")
     for _ in range(max_iter):
-        open_groups = state.filter(~F.col("converged"))
-        if open_groups.isEmpty():
+        if state.filter(~F.col("converged")).isEmpty():
             break
-        state = settle(_newton_pass(data, state, by, tol))
-    return state
+        state = store(_newton_pass(data, state, by, tol))
+    return state.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in ("a", "b")})
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """Group rows for broadcast if they are few, else as they are."""
+    return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
 
 
 def _newton_pass(data: DataFrame, state: DataFrame, by: list[str], tol: float) -> DataFrame:
     x, n, y = F.col("_x"), F.col("_n"), F.col("_y")
-    fit = join_keys(data, state.filter(~F.col("converged")).select(*by, "a", "b"), by)
+    # ``data`` may have a few hot groups, ``state`` has a row for each group
+    fit = join_keys(data, _few(state.filter(~F.col("converged")).select(*by, "a", "b")), by)
     p = sigmoid(F.col("a") * x + F.col("b"))
     w = n * p * (1 - p)
     sums = fit.groupBy(*by).agg(
@@ -73,6 +84,8 @@ def _newton_pass(data: DataFrame, state: DataFrame, by: list[str], tol: float) -
     # a constant score has no slope to fit: only the intercept moves
     step_a = F.coalesce(da, F.lit(0.0))
     step_b = F.coalesce(db, F.try_divide(F.col("_gb"), F.col("_hbb")), F.lit(0.0))
+    damp = F.least(F.lit(1.0), F.try_divide(F.lit(MAX_STEP), F.greatest(F.abs(step_a), F.abs(step_b))))
+    step_a, step_b = step_a * F.coalesce(damp, F.lit(1.0)), step_b * F.coalesce(damp, F.lit(1.0))
     steps = sums.select(
         *by, step_a.alias("_da"), step_b.alias("_db"),
         (F.greatest(F.abs(step_a), F.abs(step_b)) < tol).alias("_done"),

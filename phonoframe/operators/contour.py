@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from phonoframe.functions.scalar import col, let, to_semitones
 from phonoframe.functions.warp import dtw_distance  # noqa: F401
-from phonoframe.operators.storage import settle
 from phonoframe.operators.ranks import (
     chunked,
     join_keys,
@@ -27,6 +26,7 @@ from phonoframe.operators.ranks import (
 TERMINAL_S, RISE_BAR, FALL_BAR, HALF_BAR = 0.35, 6.0, 4.0, 12.0
 OCTAVE_JUMP = 9.0
 TINY = 1e-6
+CHUNK_S = 41.0
 
 
 def _semitone_gap(hz: Column, local: Column) -> Column:
@@ -90,7 +90,6 @@ def fix_octaves(df: DataFrame, value: str = "hz") -> DataFrame:
 
 def track_summary(df: DataFrame, value: str = "clean", touched: str = "touched") -> DataFrame:
     """Per clip: frames, voiced share, median Hz, octave errors per voiced frame."""
-    df = settle(df)
     stats = df.groupBy("clip").agg(
         F.count("*").alias("frames"), F.count(value).alias("voiced"), F.sum(touched).alias("_touched"))
     mid = positions(df, ["clip"], value, {"_median": median_rank()}).drop("n")
@@ -105,7 +104,6 @@ def track_summary(df: DataFrame, value: str = "clean", touched: str = "touched")
 
 def semitone_frames(df: DataFrame, value: str = "clean") -> DataFrame:
     """Frames in semitones relative to the clip's exact median, three decimals."""
-    df = settle(df)
     mid = positions(df, ["clip"], value, {"_median": median_rank()}).select("clip", "_median")
     return join_keys(df, mid, ["clip"], "left").withColumn(
         "st", F.round(to_semitones(value, "_median"), 3)).drop("_median")
@@ -238,12 +236,14 @@ def nuclear_tone(df: DataFrame, value: str = "st", end: DataFrame | None = None)
 
 
 def voiced_runs(df: DataFrame, value: str = "st", gap: float = 0.04, hop: float = 0.01) -> DataFrame:
-    """Voiced frames with ``run``: a new run starts after more than ``gap`` plus a hop."""
+    """Voiced frames with ``run``: a new run starts after more than ``gap`` plus a hop.
+
+    Clips are chunked by time, so any spacing of frames gives the same runs.
+    """
     said = df.filter(F.col(value).isNotNull())
     reach = gap + hop
-    halo = int(round(reach / hop)) + 2
     prior = F.lag("t").over(W.partitionBy("clip", "_chunk").orderBy("i"))
-    flagged = own_rows(chunked(said, "i", halo).withColumn("_prior", prior))
+    flagged = own_rows(chunked(said, "t", reach + TINY, CHUNK_S).withColumn("_prior", prior))
     starts = F.coalesce(F.col("t") - F.col("_prior") > reach, F.lit(True)).cast("bigint")
     return running(
         flagged, ["clip"], ["i"], {"run": starts}, F.expr("i div 4096")).drop("_prior")
@@ -260,7 +260,6 @@ def median_smooth(df: DataFrame, value: str = "st", width: int = 5, name: str =
 
 def glide_windows(
     df: DataFrame, value: str, span: float = 0.25, least_points: int = 4, run: str | None = None,
-    hop: float = 0.01,
 ) -> DataFrame:
     """Per voiced frame the flattest-to-steepest slopes of windows that start there.
 
@@ -268,10 +267,10 @@ def glide_windows(
     sums over the frames ahead, so no pair of frames ever becomes a row.
     """
     said = df.filter(F.col(value).isNotNull())
-    halo = int(round(span / hop)) + 2
-    ahead = W.partitionBy("clip", "_chunk").orderBy("i").rowsBetween(0, halo)
-    point = F.struct("t", F.col(value).alias("v"), (F.col(run) if run else F.lit(0)).alias("run"))
-    rows = own_rows(chunked(said, "i", halo).withColumn("_ahead", F.collect_list(point).over(ahead)))
+    ahead = F.expr(
+        f"collect_list(struct(t, `{value}` AS v, {f'`{run}`' if run else '0'} AS run)) OVER (PARTITION BY clip, _chunk "
+        f"ORDER BY t RANGE BETWEEN CURRENT ROW AND {span + TINY}D FOLLOWING)")
+    rows = own_rows(chunked(said, "t", span + TINY, CHUNK_S).withColumn("_ahead", ahead))
     mine = F.filter(F.col("_ahead"), lambda p: (p["run"] == (F.col(run) if run else F.lit(0)))
                     & (p["t"] - F.col("t") <= span + TINY))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "xy", "xx")],
@@ -293,10 +292,10 @@ def glide_windows(
 
 def glide_extremes(
     df: DataFrame, value: str = "st", span: float = 0.25, least_points: int = 4,
-    run: str | None = None, least_frames: int = 6, hop: float = 0.01,
+    run: str | None = None, least_frames: int = 6,
 ) -> DataFrame:
     """Steepest falling and rising sub-window slopes of each clip, with their start times."""
-    rows = glide_windows(df, value, span, least_points, run, hop)
+    rows = glide_windows(df, value, span, least_points, run)
     best = rows.groupBy("clip").agg(
         F.count("*").alias("_frames"),
         F.min("low").alias("s_min"), F.min_by("t", F.struct(F.coalesce("low", F.lit(float("inf"))), "t")).alias("t_min"),

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from phonoframe import tables as K
 from phonoframe.functions import scalar as S
-from phonoframe.operators.ranks import row_index
-from phonoframe.operators.storage import settle
+from phonoframe.operators.ranks import row_index, value_bucket
 
 
 def quarantine(
@@ -101,13 +100,14 @@ def parse_tags(df: DataFrame, text: str) -> DataFrame:
     }).drop("_raw", "_commas", "_code", "_said", "_phone", "_silent", "_real", "_inserted")
 
 
-def token_sequence(tagged: DataFrame, key: str, order: str) -> DataFrame:
+def token_sequence(tagged: DataFrame, key: str, order: str, bucket: Column | None = None) -> DataFrame:
     """Kept tokens with ``token_index`` counted after the drops, per utterance.
 
-    The mapped tokens are written once: the index reads them twice.
+    ``bucket`` never decreases along ``order`` and says which tokens of an utterance are ordered
+    together; by default a log scale of ``order``, a bounded number of buckets whatever its steps.
     """
-    kept = settle(tagged.filter(F.col("state") == "kept").drop("state", "reason"))
-    ranked = row_index(kept, [key], [order], F.expr(f"{order} div 1024"), "_n")
+    kept = tagged.filter(F.col("state") == "kept").drop("state", "reason")
+    ranked = row_index(kept, [key], [order], value_bucket(order, 16) if bucket is None else bucket, "_n")
     return ranked.withColumn("token_index", F.col("_n") - 1).drop("_n")
 
 

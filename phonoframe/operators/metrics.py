@@ -312,13 +312,17 @@ def hearing_audit(
 def confusion(
     df: DataFrame, target: str, a: Number, b: Number, threshold: Number, heard: list[str]
 ) -> DataFrame:
-    """Realized x heard counts of confident reports: target row first, zeros filled in."""
+    """Realized x heard counts of confident reports: target row first, zeros filled in.
+
+    The columns are the labels in ``heard`` and, in order, any other that confident reports hold; the
+    phone inventory bounds them.
+    """
     sure = F.coalesce(flagged_at("hearing_score", a, b, threshold), F.lit(False))
-    rows = df.filter(sure & F.col("heard").isNotNull()).withColumn("realized", realized_of(target))
-    table = (
-        rows.filter(F.col("realized").isNotNull())
-        .groupBy("realized").pivot("heard", heard).agg(F.count(F.lit(1))).na.fill(0)
-    )
+    rows = df.filter(sure & F.col("heard").isNotNull()).withColumn("realized", realized_of(target)).filter(
+        F.col("realized").isNotNull())
+    found = rows.filter(~F.col("heard").isin(heard)).select("heard").distinct().collect()
+    columns = [*heard, *sorted(r["heard"] for r in found)]
+    table = rows.groupBy("realized").pivot("heard", columns).agg(F.count(F.lit(1))).na.fill(0)
     return table.withColumn("is_target", F.col("realized") == target).orderBy(
         F.col("is_target").desc(), "realized"
     )

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonoframe.functions.scalar import col
 
 FINE = 256
+GROUPED = 4096
 
 
 def value_bucket(x: Column | str, resolution: int = FINE) -> Column:
@@ -50,12 +52,7 @@ def running(
     parts = rows.groupBy(*keys, "_bucket").agg(
         *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums]
     )
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select(
-        *keys,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
+    offsets = _offsets(parts, keys, list(sums))
     local = (
         W.partitionBy(*keys, "_bucket").orderBy(*order)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -66,6 +63,27 @@ def running(
     ).drop("_bucket", *[f"_{p}_{n}" for n in sums for p in "vo"])
 
 
+def _offsets(parts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """What comes before each bucket of a key.
+
+    Whole-number buckets are summed in groups of ``GROUPED`` first, so that only the sums of groups
+    are ordered in one task and not one row for every bucket.
+    """
+    def before(frame: DataFrame, within: list[str], order: str, source: str, out: str) -> DataFrame:
+        w = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return frame.withColumns({
+            f"{out}{n}": F.coalesce(F.sum(f"{source}{n}").over(w), F.lit(0)) for n in names})
+
+    if not isinstance(parts.schema["_bucket"].dataType, T.IntegralType):
+        return before(parts, keys, "_bucket", "_p_", "_o_").drop(*[f"_p_{n}" for n in names])
+    grouped = parts.withColumn("_group", F.floor(F.col("_bucket") / GROUPED))
+    inner = before(grouped, [*keys, "_group"], "_bucket", "_p_", "_i_")
+    totals = grouped.groupBy(*keys, "_group").agg(*[F.sum(f"_p_{n}").alias(f"_t_{n}") for n in names])
+    outer = before(totals, keys, "_group", "_t_", "_u_").drop(*[f"_t_{n}" for n in names])
+    joined = join_keys(inner, outer, [*keys, "_group"])
+    return joined.select(*keys, "_bucket", *[(F.col(f"_i_{n}") + F.col(f"_u_{n}")).alias(f"_o_{n}") for n in names])
+
+
 def row_index(
     df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column, name: str
 ) -> DataFrame:
@@ -115,16 +133,19 @@ def percentile_rank(p: float) -> Column:
     return (F.col("n") - 1) * F.lit(p / 100.0)
 
 
-def chunked(df: DataFrame, position: Column | str, halo: Column | int, size: int = 4096) -> DataFrame:
-    """Copy rows near a chunk edge into the neighbouring chunk.
+def chunked(
+    df: DataFrame, position: Column | str, halo: Column | float, size: float = 4096
+) -> DataFrame:
+    """Copy rows near a chunk edge into every chunk that they can reach.
 
-    Adds ``_chunk`` and ``_own``; windows over (key, _chunk) then see ``halo``
-    neighbours on both sides, and rows with ``_own`` carry the final values.
+    Adds ``_chunk`` and ``_own``; windows over (key, _chunk) then see all rows within ``halo`` of
+    ``position`` on both sides, and rows with ``_own`` carry the final values. ``position`` may be a
+    frame number or a time; ``halo`` and ``size`` are in its unit.
     """
     p = col(position)
-    h = F.lit(halo) if isinstance(halo, int) else halo
+    h = halo if isinstance(halo, Column) else F.lit(halo)
     home = F.floor(p / size)
-    spots = F.array_distinct(F.array(F.floor((p - h) / size), home, F.floor((p + h) / size)))
+    spots = F.sequence(F.floor((p - h) / size), F.floor((p + h) / size))
     return df.withColumn("_home", home).withColumn("_chunk", F.explode(spots)).withColumn(
         "_own", F.col("_chunk") == F.col("_home")
     ).drop("_home")

@@ -15,24 +15,26 @@ def _bucket(seed: int, name: str, key: Column | str) -> Column:
     return hash_bucket(F.concat_ws(":", F.lit(str(seed)), F.lit(name), col(key).cast("string")))
 
 
-def assign_split(df: DataFrame, seed: int = 42, native: str = "native") -> DataFrame:
+def assign_split(df: DataFrame, roster: DataFrame, seed: int = 42, native: str = "native") -> DataFrame:
     """Add ``split``: native test partitions stay, other corpora are speaker-disjoint.
 
-    Needs corpus, native_split, utterance_id, speaker and l1. The first speaker of each
-    l1 (in hash order) is test, the second is cal, all others are train. Utterances
-    without speaker or l1 fall back to a 30 % test bucket.
+    Needs corpus, native_split, utterance_id, speaker and l1. ``roster`` (speaker, l1) lists the
+    speakers of all corpora, so a part of the rows gets the splits of the whole. The first speaker of
+    each l1 (in hash order) is test, the second is cal, all others are train. Utterances whose speaker
+    and l1 are not on the roster fall back to a 30 % test bucket.
     """
-    known = F.col("speaker").isNotNull() & F.col("l1").isNotNull()
-    speakers = df.filter(known).select("l1", "speaker").distinct()
-    ranked = top_k(speakers, ["l1"], [hash_order(f"{seed}:l1", "l1", "speaker")], 2, "_rank")
-    held_out = ranked.select("l1", "speaker", "_rank")
-    joined = join_keys(df, held_out, ["l1", "speaker"], "left")
+    speakers = roster.filter("speaker IS NOT NULL AND l1 IS NOT NULL").select("l1", "speaker").distinct()
+    order = W.partitionBy("l1").orderBy(hash_order(f"{seed}:l1", "l1", "speaker"))
+    places = speakers.select(
+        F.col("l1").alias("_l1"), F.col("speaker").alias("_speaker"), F.row_number().over(order).alias("_rank"))
+    joined = df.join(places, (F.col("l1") == F.col("_l1")) & (F.col("speaker") == F.col("_speaker")), "left")
+    known = F.col("_rank").isNotNull()
     by_speaker = F.when(F.col("_rank") == 1, "test").when(F.col("_rank") == 2, "cal").otherwise("train")
     carved = F.when(F.col("native_split") == "test", "test").when(
         _bucket(seed, "cal", "utterance_id") < 25, "cal").otherwise("train")
     fallback = F.when(_bucket(seed, "any", "utterance_id") < 30, "test").otherwise("train")
     split = F.when(F.col("corpus") == native, carved).when(known, by_speaker).otherwise(fallback)
-    return joined.withColumn("split", split).drop("_rank")
+    return joined.withColumn("split", split).drop("_rank", "_l1", "_speaker")
 
 
 def split_blocks(df: DataFrame, seed: int = 42, block: str = "block") -> DataFrame:

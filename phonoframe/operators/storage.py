@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a frame as a table of the shared folder and read it again.
+
+    For loops: a checkpoint keeps the planner's size estimate, which joins multiply in every turn
+    until the number itself fills the driver; a table is as large as its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame once so that several consumers do not recompute it."""
     shared_folder(df.sparkSession)

@@ -2,85 +2,134 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
-from phonoframe.operators.ranks import join_keys
 from phonoframe.operators.storage import settle
 
+VARIANTS = ["mean", "spike", "vote", "gop"]
+NO_SCORES = "no-scores"
+
+
+def _by_variant(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Add the columns of a table with at most one row for each of ``VARIANTS``."""
+    return rows.join(F.broadcast(table), "variant", "left")
+
+
+def _one_row(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table."""
+    return rows.crossJoin(F.broadcast(table))
+
+
+def require_splits(records: DataFrame) -> None:
+    """An exam needs calibration and test rows; three counts decide."""
+    sizes = M.split_sizes(records).first()
+    if not (sizes.cal and sizes.test):
+        raise ValueError(f"the cal or test split is empty: {sizes.cal} and {sizes.test} tokens")
+
 
 def variant_bakeoff(records: DataFrame) -> DataFrame:
     """Fit, sweep and test every scoring variant; one row per variant.
 
     All variants go through each step together: one grouped fit, one grouped sweep, one
-    grouped test. Fits use calibration rows that have a mean score, metrics use all.
+    grouped test. Fits use calibration rows that have a mean score, metrics use all. A variant
+    without scores there has the status ``no-scores`` and no figures; one whose fit does not
+    converge has no operating point.
     """
     rows = M.variant_rows(records.filter(F.col("split").isin("cal", "test")))
     cal, test = rows.filter("split = 'cal'"), rows.filter("split = 'test'")
-    fits = C.fit_platt(cal.filter(F.col("score").isNotNull()), "value", M.is_positive(), ["variant"])
-    fits = fits.select("variant", "a", "b", "converged")
-    at = lambda df, table: join_keys(df, table, ["variant"])
-    picked = settle(M.pick_threshold(at(cal, fits), "a", "b", "value", ["variant"]).select(
-        "variant", "threshold", F.col("status").alias("cal_status")))
-    points = at(fits, picked)
-    tested = M.score_metrics(at(test, points), "a", "b", "threshold", "value", ["variant"])
+    scored = F.col("score").isNotNull() & F.col("value").isNotNull()
+    fits = settle(C.fit_platt(cal.filter(scored), "value", M.is_positive(), ["variant"]).select(
+        "variant", "a", "b", "converged"))
+    usable = fits.filter("converged").select("variant", "a", "b")
+    picked = settle(M.pick_threshold(
+        cal.join(F.broadcast(usable), "variant"), "a", "b", "value", ["variant"],
+    ).select("variant", "threshold", F.col("status").alias("cal_status")))
+    points = usable.join(F.broadcast(picked), "variant")
+    placed = test.join(F.broadcast(points), "variant")
+    tested = M.score_metrics(placed, "a", "b", "threshold", "value", ["variant"])
     # the area under the curve only needs the order of calibrated scores
-    ranked = at(test, fits).withColumn("_p", F.when(
+    ranked = placed.withColumn("_p", F.when(
         F.col("value").isNotNull(), F.lit(1.0) / (1.0 + F.exp(-(F.col("a") * F.col("value") + F.col("b"))))))
     areas = M.auc(ranked, "_p", M.is_positive(), ["variant"]).select("variant", "auc")
-    return at(at(tested, points), areas).withColumn("status", M.final_status("cal_status"))
+    names = records.sparkSession.createDataFrame([(v,) for v in VARIANTS], "variant string")
+    whole = names
+    for part in (fits, picked, tested, areas):
+        whole = _by_variant(whole, part)
+    status = F.when(F.col("converged").isNull(), NO_SCORES).when(~F.col("converged"), "no-fit").otherwise(
+        M.final_status("cal_status"))
+    return whole.withColumn("status", status)
 
 
 def hearing_exam(records: DataFrame, target: str) -> DataFrame:
     """Mirror exam in one row: fit, operating point, held-out metrics, status.
 
-    The fit uses rows with a hearing score and a known realisation on both sides.
+    The fit uses rows with a hearing score and a known realisation on both sides. Without any, or if
+    it does not converge, the row has the status ``no-scores`` and no figures.
     """
     realized = M.realized_of(target)
-    pool = records.filter(F.col("split") == "cal").withColumn("_pool", F.lit("all"))
-    fit = C.fit_platt(
-        pool.filter(F.col("heard").isNotNull() & realized.isNotNull()), "hearing_score",
-        F.col("heard") == realized, ["_pool"]).select("_pool", F.col("a").alias("hearing_a"), F.col("b").alias("hearing_b"))
-    point = settle(join_keys(M.pick_hearing_threshold(
-        join_keys(pool, fit, ["_pool"]), target, "hearing_a", "hearing_b", ["_pool"],
-    ).select("_pool", F.col("threshold").alias("hearing_threshold"), F.col("status").alias("_cal")), fit, ["_pool"]))
-    test = records.filter(F.col("split") == "test").withColumn("_pool", F.lit("all"))
+    cal, test = (records.filter(F.col("split") == s) for s in ("cal", "test"))
+    fit = settle(C.fit_platt(
+        cal.filter(F.col("heard").isNotNull() & realized.isNotNull()).withColumn("_pool", F.lit("all")),
+        "hearing_score", F.col("heard") == realized, ["_pool"],
+    ).filter("converged").select(F.col("a").alias("hearing_a"), F.col("b").alias("hearing_b")))
+    point = settle(M.pick_hearing_threshold(_one_row(cal, fit), target, "hearing_a", "hearing_b").select(
+        F.col("threshold").alias("hearing_threshold"), F.col("status").alias("_cal")))
     held = M.hearing_metrics(
-        join_keys(test, point, ["_pool"]), target, "hearing_a", "hearing_b", "hearing_threshold", ["_pool"])
-    return join_keys(held, point, ["_pool"]).withColumn("hearing_status", M.hearing_status("_cal")).drop("_pool", "_cal")
+        _one_row(_one_row(test, fit), point), target, "hearing_a", "hearing_b", "hearing_threshold")
+    shown = _one_row(_one_row(held, fit), point).withColumn("hearing_status", M.hearing_status("_cal")).drop("_cal")
+    row = records.sparkSession.createDataFrame([(0,)], "_row int")
+    return row.join(shown, F.lit(True), "left").drop("_row").withColumn(
+        "hearing_status", F.coalesce("hearing_status", F.lit(NO_SCORES)))
 
 
 def run_exam(
     records: DataFrame, target: str, confusions: list[str], model_id: str, generated_by: str
 ) -> dict[str, DataFrame]:
-    """Exam of token records that already carry ``split``.
+    """Exam of token records that carry ``split``; an empty cal or test split is an error.
 
-    Returns frames: variants, best, hearing, audit_l1, audit_corpus, summary, calibration.
+    Returns frames: variants, best, hearing, audit_l1 and audit_corpus (of every variant),
+    auc_corpus, hearing_audit, hearing_confusion, alignment, latency, summary and calibration.
     """
+    require_splits(records)
     variants = settle(variant_bakeoff(records))
     best = settle(M.pick_variant(variants))
     hearing = settle(hearing_exam(records, target))
-    pool = F.lit("all")
-    gop = C.fit_platt(
-        records.filter((F.col("split") == "cal") & F.col("score").isNotNull()).withColumn("_pool", pool),
-        "gop", ~M.is_positive(), ["_pool"]).select(F.col("a").alias("gop_a"), F.col("b").alias("gop_b"))
-    test = M.variant_rows(records.filter(F.col("split") == "test"))
-    point = best.select(F.col("variant").alias("_v"), "a", "b", "threshold")
-    shipped = test.join(F.broadcast(point), F.col("variant") == F.col("_v"))
-    audits = {
-        f"audit_{g}": M.audit(shipped, "a", "b", "threshold", g, "value") for g in ("l1", "corpus")}
+    gop = settle(C.fit_platt(
+        records.filter((F.col("split") == "cal") & F.col("score").isNotNull()).withColumn("_pool", F.lit("all")),
+        "gop", ~M.is_positive(), ["_pool"]).select(F.col("a").alias("gop_a"), F.col("b").alias("gop_b")))
+    test = records.filter(F.col("split") == "test")
+    points = variants.select("variant", "a", "b", "threshold")
+    long = M.variant_rows(test).join(F.broadcast(points), "variant")
+    frames = {
+        f"audit_{g}": M.score_metrics(long, "a", "b", "threshold", "value", ["variant", g]).withColumn("ok", M.group_ok())
+        for g in ("l1", "corpus")}
+    chosen = long.join(F.broadcast(best.select("variant")), "variant", "left_semi")
+    frames["auc_corpus"] = M.auc(chosen.withColumn("_p", _probability("value", "a", "b")), "_p", M.is_positive(), ["corpus"])
+    mirrored = _one_row(test, hearing.select("hearing_a", "hearing_b", "hearing_threshold"))
+    frames["hearing_audit"] = M.hearing_audit(
+        mirrored, target, "hearing_a", "hearing_b", "hearing_threshold", ["l1"])
+    frames["hearing_confusion"] = M.confusion(
+        mirrored, target, "hearing_a", "hearing_b", "hearing_threshold", [target, *confusions])
+    frames["alignment"] = M.status_stats(records)
+    frames["latency"] = M.latency(records, ["utterance_id", "token_index"])
     sizes = M.split_sizes(records)
-    summary = best.select(
+    shown = best.select(
         F.lit(model_id).alias("model_id"), F.lit(target).alias("target"),
         F.array(*[F.lit(c) for c in confusions]).alias("confusions"),
         F.lit(generated_by).alias("generated_by"), F.col("variant").alias("score_variant"),
         F.col("a").alias("platt_a"), F.col("b").alias("platt_b"), "threshold",
         F.col("status").alias("judge_status"), "precision", "recall", "f1", "auc",
-    ).crossJoin(hearing.select(
-        "hearing_a", "hearing_b", "hearing_threshold", "hearing_status", "accuracy", "coverage",
-    )).join(gop, F.lit(True), "left").crossJoin(sizes)
+    )
+    summary = _one_row(shown, hearing.select(
+        "hearing_a", "hearing_b", "hearing_threshold", "hearing_status", "accuracy", "coverage"))
+    summary = _one_row(summary.join(F.broadcast(gop), F.lit(True), "left"), sizes)
     return {
-        "variants": variants, "best": best, "hearing": hearing, **audits, "summary": summary,
+        "variants": variants, "best": best, "hearing": hearing, **frames, "summary": summary,
         "calibration": C.build_calibration(summary)}
+
+
+def _probability(value: str, a: str, b: str) -> Column:
+    return F.when(F.col(value).isNotNull(), 1.0 / (1.0 + F.exp(-(F.col(a) * F.col(value) + F.col(b)))))

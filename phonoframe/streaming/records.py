@@ -31,12 +31,13 @@ def stream_records(
     )
 
 
-def stream_dedupe(df: DataFrame, keys: list[str], delay: str = "7 days") -> DataFrame:
-    """Each key at most once, across restarts, within the delay after its first file.
+def stream_dedupe(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key at most once, across restarts, however late or old its file is.
 
-    State holds one entry per key and is dropped when the watermark passes it.
+    State holds one entry per key and does not expire: a watermark on the file's time would drop the
+    keys of older files that arrive later. It is partitioned by key over the shuffle partitions.
     """
-    return df.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(keys)
+    return df.dropDuplicates(keys)
 
 
 def stream_status(df: DataFrame, by: str = "alignment") -> DataFrame:

@@ -12,6 +12,7 @@ from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
 from phonoframe.operators import ranks as R
 from phonoframe.operators import splits as SP
+from phonoframe.plans import exam
 
 
 def records(spark, rows):
@@ -125,9 +126,15 @@ def tokens(spark):
 
 
 def test_split_is_stable_and_speaker_disjoint(spark):
-    df = SP.assign_split(tokens(spark))
+    roster = tokens(spark).select("speaker", "l1").distinct()
+    df = SP.assign_split(tokens(spark), roster)
     assert df.count() == 600
-    assert sorted(df.collect()) == sorted(SP.assign_split(tokens(spark).repartition(3)).collect())
+    assert sorted(df.collect()) == sorted(SP.assign_split(tokens(spark).repartition(3), roster).collect())
+    # a part of the rows keeps the splits of the whole, and strangers fall back to their utterance
+    part = tokens(spark).filter("utterance_id LIKE '%7'")
+    assert sorted(SP.assign_split(part, roster).collect()) == sorted(df.filter("utterance_id LIKE '%7'").collect())
+    stranger = part.filter("corpus = 'open'").withColumn("speaker", F.lit("new"))
+    assert "cal" not in {r.split for r in SP.assign_split(stranger, roster).collect()}
     opened = df.filter("corpus = 'open' AND speaker IS NOT NULL")
     assert SP.leakage(opened, "speaker").isEmpty()
     roles = opened.select("l1", "split").distinct().groupBy("l1").count().collect()
@@ -157,3 +164,53 @@ def test_cap_never_drops_exempt_rows(spark):
     df = spark.createDataFrame([(f"f{k}", "ð" if k % 2 else "z") for k in range(100)], "f string, label string")
     got = SP.cap_per_class(df, 7, "label", F.col("label") == "ð", ["f"]).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {"ð": 50, "z": 7}
+
+
+def test_separable_fits_are_refused(spark):
+    rows = [("s", float(x), x > 3) for x in range(8)] + [("o", float(x % 4), x % 3 == 0) for x in range(40)]
+    fit = {r.g: r for r in C.fit_platt(spark.createDataFrame(rows, "g string, x double, y boolean"), "x", F.col("y"), ["g"]).collect()}
+    assert not fit["s"].converged and fit["s"].a is None and fit["o"].converged and fit["o"].a is not None
+
+
+def exam_records(spark, heard=True, spike=True):
+    rng = random.Random(8)
+    rows = []
+    for k in range(900):
+        bad = rng.random() < 0.4
+        score = rng.gauss(1.2 if bad else -1.2, 1.0)
+        rows.append((f"u{k // 3}", k % 3, ["train", "cal", "test"][k % 3], "substituted" if bad else "correct", "z" if bad else None,
+                     score, score + rng.gauss(0, 1) if spike else None, rng.random(), -score + rng.gauss(0, 1), f"l{k % 4}",
+                     "open", ("z" if bad else "ð") if heard and rng.random() < 0.9 else None, rng.gauss(1, 1) if heard else None,
+                     "ok", 0.9, False, 100.0 + k))
+    return spark.createDataFrame(rows, "utterance_id string, token_index int, split string, label string, substituted_with string, "
+        "score double, spike_score double, vote_fraction double, gop double, l1 string, corpus string, heard string, "
+        "hearing_score double, alignment string, alignment_confidence double, audio_problem boolean, wall_ms double")
+
+
+def test_exam_lists_variants_without_scores_and_keeps_its_summary(spark):
+    records = exam_records(spark, heard=False, spike=False)
+    frames = exam.run_exam(records, "ð", ["z", "d", "v"], "m1", "reports/run.json")
+    status = {r.variant: r.status for r in frames["variants"].collect()}
+    assert set(status) == {"mean", "spike", "vote", "gop"} and status["spike"] == "no-scores" and status["mean"] != "no-scores"
+    summary = frames["summary"].collect()
+    assert len(summary) == 1 and summary[0].hearing_status == "no-scores" and summary[0].score_variant == "mean"
+    assert frames["calibration"].collect() == [] and frames["hearing_confusion"].collect() == []
+    with pytest.raises(ValueError):
+        exam.run_exam(records.filter("split <> 'cal'"), "ð", ["z"], "m1", "r")
+
+
+def test_exam_reports_every_part_without_cartesian_products(spark):
+    frames = exam.run_exam(exam_records(spark), "ð", ["z", "d", "v"], "m1", "reports/run.json")
+    assert frames["hearing"].count() == 1 and {r.variant for r in frames["audit_l1"].collect()} == {"mean", "spike", "vote", "gop"}
+    assert frames["auc_corpus"].count() == 1 and frames["hearing_audit"].count() == 4 and frames["latency"].count() == 1
+    for name in ("summary", "audit_l1", "hearing_audit"):
+        plan = frames[name]._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan
+
+
+def test_confident_reports_outside_the_list_have_a_column(spark):
+    rows = [("substituted", "z", "x", 9.0), ("correct", None, "ð", 9.0), ("correct", None, "x", 9.0), ("correct", None, "y", -9.0)]
+    df = spark.createDataFrame(rows, "label string, substituted_with string, heard string, hearing_score double")
+    got = M.confusion(df, "ð", 1.0, 0.0, 0.6, ["ð", "z"])
+    assert got.columns == ["realized", "ð", "z", "x", "is_target"]
+    assert [tuple(r) for r in got.collect()] == [("ð", 1, 0, 1, True), ("z", 0, 0, 1, False)]
