@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from phonoframe.llm import words as WD
 from phonoframe.llm.sizes import parts, small_side
-from phonoframe.operators.storage import settle
+from phonoframe.operators.storage import settle, store
 
 FRAGMENTS = 8
 HUB_ROUNDS = 2
@@ -160,11 +160,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the ends of edges (a, b); the label is the smallest node of a component.
 
     Each round takes the smallest label around and then the label's own label, so long paths shrink
-    by a factor. State is checkpointed; only a count of changed labels reaches the driver.
+    by a factor. State is a written table, whose size the planner knows in every round; only whether a
+    label changed reaches the driver.
     """
-    both = settle(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
+    both = store(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
-    labels = settle(labels)
+    labels = store(labels)
     while True:
         near = (
             both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
@@ -172,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select(
             "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = settle(step.join(jump, "label", "left").select(
+        after = store(step.join(jump, "label", "left").select(
             "node", "was", F.least("label", F.coalesce("root", "label")).alias("label")))
         labels = after.select("node", "label")
         if after.filter("was <> label").isEmpty():
@@ -272,7 +273,7 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
                 F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
             pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)")
         found = _linked(ordered(pairs.filter(reach).select("a", "b", "na", "nb")), segments, percent)
-        edges = settle(found if edges is None else edges.union(found))
+        edges = store(found if edges is None else edges.union(found))
         labels = components(edges)
 
     named = sets.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from phonoframe.llm import words as WD
 from phonoframe.llm.sizes import small_side
-from phonoframe.operators.storage import settle
+from phonoframe.operators.storage import settle, store
 
 # Given names by script and gender, and syllables that surnames are made of.
 GIVEN_NAMES = {
@@ -226,7 +226,7 @@ def redrawn_entities(entities: DataFrame, key: bytes) -> DataFrame:
     """
     draw = _drawer(key)
     real = entities.select(F.split("kind", ":")[0].alias("group"), F.col("canonical").alias("surrogate")).distinct()
-    state = settle(entities.withColumn("attempt", F.lit(0)).withColumn(
+    state = store(entities.withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", draw("kind", "canonical", "attempt")).withColumn("group", F.split("kind", ":")[0]))
     while True:
         taken = state.join(real, ["group", "surrogate"], "left_semi").select("kind", "canonical")
@@ -234,12 +234,12 @@ def redrawn_entities(entities: DataFrame, key: bytes) -> DataFrame:
             F.count("*").alias("n"), F.min(F.struct("attempt", "canonical", "kind")).alias("owner")).filter("n > 1")
         shared = state.join(first, ["group", "surrogate"]).filter(
             F.struct("attempt", "canonical", "kind") != F.col("owner")).select("kind", "canonical")
-        refused = settle(taken.union(shared).distinct())
+        refused = store(taken.union(shared).distinct())
         if refused.isEmpty():
             return state.filter("attempt > 0").select("kind", "canonical", "attempt")
         again = state.join(refused.withColumn("refused", F.lit(1)), ["kind", "canonical"], "left").withColumn(
             "attempt", F.col("attempt") + F.coalesce("refused", F.lit(0)))
-        state = settle(again.withColumn(
+        state = store(again.withColumn(
             "surrogate", F.when(F.col("refused") == 1, draw("kind", "canonical", "attempt")).otherwise(F.col("surrogate"))
         ).drop("refused"))
 
