@@ -13,6 +13,7 @@ from phonoframe.operators import content as X
 from phonoframe.operators import labels as L
 from phonoframe.operators import records as R
 from phonoframe.operators import splits as SP
+from phonoframe.operators.storage import scratch
 from phonoframe.sources import corpora as C
 from phonoframe.sources import registry
 
@@ -291,8 +292,11 @@ DOCW_CTE = f"""wd AS (SELECT doc_id, length(w) AS len, w_i, unnest(range(length(
 
 
 def score_tokens(spark, sf):
-    canonical, detail = score_files(spark, sf)
-    return C.parse_phone_scores(canonical, detail)
+    paths = []
+    for name, lines in zip(("scores", "detail"), score_files(spark, sf)):
+        paths.append(scratch(spark, name))
+        lines.select("value").write.text(paths[-1])
+    return C.read_phone_scores(spark, *paths, lines=True)
 
 
 @query(f"""WITH {DOCW_CTE} SELECT 'doc' || doc_id AS utterance_id, count(*) AS tokens, max(token_index) AS last_index,
@@ -362,14 +366,16 @@ def a2_textgrid_short(spark, sf):
 def a4_kv_exact(spark, sf):
     lines = V.table(spark, sf, "documents").select(F.concat(
         F.lit(" wav"), "doc_id", F.lit("   "), "source", F.lit("/"), "lang", F.lit(" ")).alias("value"))
-    return C.parse_kv(lines, exact=True)
+    lines.write.text(path := scratch(spark, "wav"))
+    return C.read_kv_text(spark, path, exact=True)
 
 
 @query("SELECT 'wav' || doc_id AS key, source || ' ' || lang || ' ' || n_chars AS value FROM documents")
 def a4_kv_text(spark, sf):
     lines = V.table(spark, sf, "documents").select(
         F.concat_ws(" ", F.concat(F.lit("wav"), "doc_id"), "source", "lang", "n_chars").alias("value"))
-    return C.parse_kv(lines, exact=False)
+    lines.write.text(path := scratch(spark, "text"))
+    return C.read_kv_text(spark, path, exact=False)
 
 
 @query("""SELECT lpad(CAST(doc_id % 1000 AS VARCHAR), 3, 'A') AS block, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, 'A')
@@ -399,13 +405,15 @@ def a7_read_records(spark, sf):
         S.count_if(F.col("audio_problem")).alias("problems"))
 
 
-@query("SELECT 'c' || doc_id AS id, source AS client_id, n_chars FROM documents")
+@query("""SELECT 'c' || doc_id AS id, source AS client_id, lang AS text, CAST(n_chars AS VARCHAR) AS tokens,
+  source || '/' || doc_id || '.wav' AS audio_path FROM documents""")
 def a11_drop_repeated_headers(spark, sf):
     docs = V.table(spark, sf, "documents").select(
-        F.concat(F.lit("c"), "doc_id").alias("id"), F.col("source").alias("client_id"), "n_chars")
-    heads = V.table(spark, sf, "documents").select(
-        F.lit("id").alias("id"), F.lit("client_id").alias("client_id"), F.lit(None).cast("bigint").alias("n_chars"))
-    return C.drop_repeated_headers(docs.unionByName(heads))
+        F.concat(F.lit("c"), "doc_id").alias("id"), F.col("source").alias("client_id"), F.col("lang").alias("text"),
+        F.col("n_chars").cast("string").alias("tokens"), F.concat("source", F.lit("/"), "doc_id", F.lit(".wav")).alias("audio_path"))
+    heads = V.table(spark, sf, "documents").select(*[F.lit(c).alias(c) for c in docs.columns])
+    docs.unionByName(heads).write.csv(path := scratch(spark, "manifest"), header=True)
+    return C.read_manifest(spark, path)
 
 
 # -- C: joins -------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from phonoframe.bindings.records import EXPORT_CTE, VERDICT, exported, sig, with
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
-from phonoframe.operators.storage import shared_folder
+from phonoframe.operators.storage import scratch
 from phonoframe.plans import analysis, exam, feedback
 from phonoframe.sources import corpora, sinks
 from phonoframe.streaming import records as L
@@ -31,10 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # -- feedback --------------------------------------------------------------------------
 
 

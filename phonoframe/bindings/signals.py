@@ -192,14 +192,13 @@ def b18_zscore(spark, sf):
     return rows.select("vec_id", "k", F.round("z", 6).alias("z"))
 
 
-@query("""WITH p AS (SELECT label AS e, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings), c AS (SELECT unnest(range(10)) AS class),
+@query("""WITH p AS (SELECT label AS e, (list_position(embedding, list_max(embedding)) - 1) % 10 AS p FROM embeddings), c AS (SELECT unnest(range(10)) AS class),
   k AS (SELECT class, count(*) FILTER (e = class AND p = class) AS tp, count(*) FILTER (e = class) AS n, count(*) FILTER (p = class) AS q FROM p, c GROUP BY class)
   SELECT CAST(class AS INT) AS class, n, CASE WHEN n > 0 THEN round(tp * 1.0e0 / n, 4) END AS class_accuracy, (SELECT round(count(*) FILTER (e = p) * 1.0e0 / count(*), 4) FROM p) AS accuracy,
    (SELECT round(avg(CASE WHEN n + q > 0 THEN 2.0e0 * tp / (n + q) ELSE 0 END), 4) FROM k) AS macro_f1 FROM k""")
 def d28_multiclass_metrics(spark, sf):
-    head = F.slice("embedding", 1, 10)
     rows = V.table(spark, sf, "embeddings").select(
-        F.col("label").alias("expected"), S.first_argmax(head).cast("int").alias("predicted"))
+        F.col("label").alias("expected"), (S.first_argmax(F.col("embedding")) % 10).cast("int").alias("predicted"))
     return M.multiclass_metrics(rows, list(range(10)), "expected", "predicted")
 
 
@@ -210,15 +209,25 @@ def contour_pairs(spark, sf):
     return vecs.join(nexts, "vec_id")
 
 
-@query()
+# a diagonal of the cost table per turn, as lists over the rows 0 .. 64
+DTW_CTE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10.0e0) AS a FROM embeddings),
+  p AS MATERIALIZED (SELECT x.vec_id, x.a, y.a AS b FROM v x JOIN v y ON y.vec_id = x.vec_id + 1),
+  w AS (SELECT vec_id, a, b, 2 AS d, list_transform(range(0, 65), lambda i: CASE WHEN i = 0 THEN 0.0e0 ELSE CAST('inf' AS DOUBLE) END) AS older,
+      list_transform(range(0, 65), lambda i: CAST('inf' AS DOUBLE)) AS newer FROM p
+    UNION ALL SELECT vec_id, a, b, d + 1, newer, list_transform(range(0, 65), lambda i: CASE WHEN i >= greatest(1, d - 64) AND i <= least(64, d - 1)
+      THEN (a[i] - b[d - i]) * (a[i] - b[d - i]) + least(newer[i], newer[i + 1], older[i]) ELSE CAST('inf' AS DOUBLE) END) FROM w WHERE d <= 128),
+  dtw AS (SELECT vec_id, newer[65] / 128 AS distance FROM w WHERE d = 129)"""
+
+
+@query(f"WITH RECURSIVE {DTW_CTE} SELECT vec_id, round(distance, 6) AS distance FROM dtw")
 def f9_dtw(spark, sf):
     rows = contour_pairs(spark, sf)
     return rows.select("vec_id", F.round(C.dtw_distance("a", "b"), 6).alias("distance"))
 
 
-@query("""SELECT vec_id, round(exp(-sqrt(abs(CAST(embedding[1] AS DOUBLE)) * 100) / 4.0e0), 6) AS match FROM embeddings""")
+@query(f"WITH RECURSIVE {DTW_CTE} SELECT vec_id, round(exp(-sqrt(distance) / 4.0e0), 6) AS match FROM dtw")
 def f10_contour_match(spark, sf):
-    rows = V.table(spark, sf, "embeddings").withColumn("d", F.abs(F.get("embedding", F.lit(0)).cast("double")) * 100.0)
+    rows = contour_pairs(spark, sf).withColumn("d", C.dtw_distance("a", "b"))
     return rows.select("vec_id", F.round(C.contour_match("d"), 6).alias("match"))
 
 
@@ -239,11 +248,11 @@ def g1_energy_profile(spark, sf):
     return rows.select("sig", "k", F.round("energy", 6).alias("energy"))
 
 
-@query(f"""WITH {V.SIG_CTE}, q AS (SELECT sig, count(*) AS n, count(*) FILTER (abs(x * 1.2e0) >= 0.995e0) AS c, sqrt(avg(x * x * 1.44e0) FILTER (pos >= 500 AND pos < 1500)) AS r, max(abs(x * 1.2e0)) AS p FROM sig GROUP BY sig)
+@query(f"""WITH {V.SIG_CTE}, q AS (SELECT sig, count(*) AS n, count(*) FILTER (abs(x * 1.2e0) >= 0.995e0) AS c, coalesce(sqrt(avg(x * x * 1.44e0) FILTER (pos >= 500 AND pos < 1500)), sqrt(avg(x * x * 1.44e0))) AS r, max(abs(x * 1.2e0)) AS p FROM sig GROUP BY sig)
   SELECT sig, c > greatest(1, floor(0.001e0 * n)) AS clipping, 20 * log10(greatest(r, 1e-10)) < -70 AS too_quiet, round(20 * log10(greatest(r, 1e-10)), 1) AS speech_level_dbfs,
-    round(20 * log10(greatest(r, 1e-10)), 1) < -40 AS low_level, round(20 * log10(greatest(p, 1e-10)), 1) AS peak_dbfs FROM q WHERE n >= 1500""")
+    round(20 * log10(greatest(r, 1e-10)), 1) < -40 AS low_level, round(20 * log10(greatest(p, 1e-10)), 1) AS peak_dbfs FROM q""")
 def g3_quality(spark, sf):
-    rows = V.sig(spark, sf).withColumn("samples", F.transform("samples", lambda x: x * 1.2)).filter(F.size("samples") >= 1500)
+    rows = V.sig(spark, sf).withColumn("samples", F.transform("samples", lambda x: x * 1.2))
     return rows.withColumn("q", G.quality("samples", F.slice("samples", 501, 1000))).select("sig", "q.*")
 
 
@@ -256,11 +265,11 @@ def g3_quality(spark, sf):
   ac AS (SELECT a.sig, lag_k, sum(a.y * b.y) AS s FROM c a, (SELECT unnest(range(40, 228)) AS lag_k), c b WHERE b.sig = a.sig AND b.pos = a.pos + lag_k GROUP BY ALL),
   v AS (SELECT ac.sig, max(s) AS s FROM ac GROUP BY ac.sig), b AS (SELECT sig, sum(y * y) + 1e-9 AS s0 FROM c GROUP BY sig)
   SELECT n.sig, round(least(greatest(20 * log10(rms + 1e-9), -80), 0) / 80.0e0 + 1, 6) AS rms_db, round(least(greatest(zc * 16 / 16.0e0, 0), 1), 6) AS zero_crossing,
-   round(least(greatest(log10((lo + 1e-9) / (mid + 1e-9)), -3), 0) / -3.0e0, 6) AS closure_dip, round(least(greatest(up / (mid + 1e-9) / 3.0e0, 0), 1), 6) AS burst_sharpness,
-   round(least(greatest(log10((hi + 1e-9) / (lo + 1e-9)), 0), 3) / 3.0e0, 6) AS burst_contrast, round(least(greatest(v.s / s0, 0), 1), 6) AS voicing
-  FROM n JOIN z ON z.sig = n.sig JOIN e ON e.sig = n.sig JOIN v ON v.sig = n.sig JOIN b ON b.sig = n.sig WHERE n > 228""")
+   coalesce(round(least(greatest(log10((lo + 1e-9) / (mid + 1e-9)), -3), 0) / -3.0e0, 6), 0) AS closure_dip, coalesce(round(least(greatest(up / (mid + 1e-9) / 3.0e0, 0), 1), 6), 0) AS burst_sharpness,
+   coalesce(round(least(greatest(log10((hi + 1e-9) / (lo + 1e-9)), 0), 3) / 3.0e0, 6), 0) AS burst_contrast, CASE WHEN n > 228 THEN round(least(greatest(v.s / s0, 0), 1), 6) ELSE 0.5e0 END AS voicing
+  FROM n JOIN z ON z.sig = n.sig LEFT JOIN e ON e.sig = n.sig LEFT JOIN v ON v.sig = n.sig JOIN b ON b.sig = n.sig""")
 def g4_time_features(spark, sf):
-    rows = V.sig(spark, sf).filter(F.size("samples") > 228).withColumn("f", G.time_features("samples")).select("sig", "f.*")
+    rows = V.sig(spark, sf).withColumn("f", G.time_features("samples")).select("sig", "f.*")
     return rows.select("sig", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
 
 

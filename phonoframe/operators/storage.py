@@ -26,13 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a frame as a table of the shared folder and read it again.
 
     For loops: a checkpoint keeps the planner's size estimate, which joins multiply in every turn
     until the number itself fills the driver; a table is as large as its files.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

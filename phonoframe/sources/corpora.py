@@ -135,8 +135,9 @@ def parse_phone_scores(scores: DataFrame, detail: DataFrame) -> DataFrame:
         "utterance_id", "token_index", "t.*")
 
 
-def read_phone_scores(spark: SparkSession, scores: str, detail: str) -> DataFrame:
-    read = lambda p: spark.read.text(p, wholetext=True)
+def read_phone_scores(spark: SparkSession, scores: str, detail: str, lines: bool = False) -> DataFrame:
+    """Score files: one JSON object each, or one on every line, which spreads over many tasks."""
+    read = lambda p: spark.read.text(p, wholetext=not lines)
     return parse_phone_scores(read(scores), read(detail))
 
 
