@@ -470,13 +470,22 @@ def b15_class_label(spark, sf):
 
 
 def exported(spark, sf):
-    flagged = V.li(spark, sf).withColumn("class", S.class_label(K.OPEN_ALPHABET))
-    return flagged.withColumn(
-        "split", F.when(S.val_flag("utterance_id"), "val").otherwise("train"))
+    return S.export_rows(V.li_split(spark, sf), K.OPEN_ALPHABET, ["ð", "z", "d"])
 
 
-EXPORT_CTE = f"""ex AS (SELECT *, {CLASS} AS class,
-  CASE WHEN {V.bucket_sql("concat_ws(':', '42', 'val', utterance_id)")} < 15 THEN 'val' ELSE 'train' END AS split FROM li0)"""
+EXPORT_CTE = f"""li AS (SELECT * FROM li0), {V.SPLIT_CTE}, ex AS (SELECT * EXCLUDE (split), {CLASS} AS class,
+  CASE WHEN {V.bucket_sql("concat_ws(':', '42', 'val', utterance_id)")} < 15 THEN 'val' ELSE 'train' END AS split
+  FROM lis WHERE split = 'train' AND phone IN ('ð', 'z', 'd', {", ".join(f"'{p}'" for p in K.OTHER_SOURCES)}))"""
+
+
+@query(f"""WITH {V.LI_CTE}, {EXPORT_CTE} SELECT lis.split AS exam_split, count(DISTINCT ex.utterance_id) AS utterances
+  FROM ex JOIN lis ON lis.utterance_id = ex.utterance_id AND lis.speaker = ex.speaker AND lis.corpus = 'open' GROUP BY 1""")
+def j3_leakage_of_exports(spark, sf):
+    """Exam splits of the open-corpus speakers of exported rows: train only."""
+    exam = V.li_split(spark, sf).filter("corpus = 'open' AND speaker IS NOT NULL").select(
+        "utterance_id", "speaker", F.col("split").alias("exam_split")).distinct()
+    rows = exported(spark, sf).select("utterance_id", "speaker").distinct().join(exam, ["utterance_id", "speaker"])
+    return rows.groupBy("exam_split").agg(F.countDistinct("utterance_id").alias("utterances"))
 
 
 @query(f"""WITH {V.LI_CTE}, {EXPORT_CTE}, t AS (

@@ -218,6 +218,22 @@ def class_weights(df: DataFrame, label: str, classes: list[str], boost: float =
         F.round(F.col("_total") / (F.lit(float(k)) * F.col("n")) * first, 6).alias("weight"))
 
 
+def export_rows(df: DataFrame, alphabet: list[str], drilled: list[str], seed: int = 42) -> DataFrame:
+    """Training rows of the exam's train split, with their class and a train or val ``split``.
+
+    ``df`` carries the exam's ``split``; its cal and test utterances are held out, so nothing that is
+    examined is trained on. Closed alphabets take the tokens of their own phones, open ones those of
+    the ``drilled`` phones and of the sources of ``other``. ``class`` is null on rows to skip.
+    """
+    from phonoframe import tables as K
+
+    targets = [*drilled, *K.OTHER_SOURCES] if "other" in alphabet else alphabet
+    rows = df.filter((F.col("split") == "train") & F.col("phone").isin(targets))
+    return rows.withColumns({
+        "class": class_label(alphabet),
+        "split": F.when(val_flag("utterance_id", seed), "val").otherwise("train")})
+
+
 def export_counts(df: DataFrame, alphabet: list[str]) -> DataFrame:
     """(kind, name, n): rows per class (zeros kept), per split and per skip reason."""
     spark = df.sparkSession
