@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
 from phonoframe.bindings.contours import semis
-from phonoframe.bindings.records import EXPORT_CTE, VERDICT, exported, sig, with_verdicts
+from phonoframe.bindings.records import EXPORT_CTE, GRID_CTE, POS, VERDICT, exported, newton_cte, rated, sig, with_verdicts
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
@@ -151,7 +151,37 @@ def k2_validate_calibration(spark, sf):
 # -- exams --------------------------------------------------------------------------------
 
 
-@query()
+P_FIT = "(1.0e0 / (1.0e0 + exp(-(f.a * v.value + f.b))))"
+
+
+def point_sql(threshold: str) -> str:
+    """Counts of the judge at a threshold over rows v with fit f."""
+    flag = f"coalesce({P_FIT} >= {threshold}, false)"
+    return (f"count(*) FILTER ({flag} AND {POS}) AS tp, count(*) FILTER ({flag} AND NOT {POS}) AS fp, "
+            f"count(*) FILTER (NOT {flag} AND {POS}) AS fn")
+
+
+BAKEOFF_CTE = f"""{V.LI_SPLIT_CTE}, lv AS MATERIALIZED (SELECT split, label, substituted_with, score, variant, value FROM (
+    SELECT *, unnest(['mean', 'spike', 'vote', 'gop']) AS variant,
+      unnest([CAST(score AS DOUBLE), CAST(spike_score AS DOUBLE), CAST(vote_fraction AS DOUBLE), CAST(gop AS DOUBLE)]) AS value FROM lis)),
+  {newton_cte(f"SELECT variant AS g, value AS x, {POS} AS y FROM lv WHERE split = 'cal' AND score IS NOT NULL")}, {GRID_CTE},
+  swept AS ({rated(f"SELECT v.variant, t.threshold, {point_sql('t.threshold')} FROM lv v JOIN fit f ON f.g = v.variant, grid100 t WHERE v.split = 'cal' GROUP BY ALL")}),
+  picked AS (SELECT variant, threshold, CASE WHEN precision >= 0.9e0 THEN 'ok' ELSE '{K.BAR_NOT_MET}' END AS cal_status FROM swept
+    QUALIFY row_number() OVER (PARTITION BY variant ORDER BY precision >= 0.9e0 DESC,
+      CASE WHEN precision >= 0.9e0 THEN recall ELSE precision END DESC, threshold DESC) = 1),
+  tested AS ({rated(f"SELECT v.variant, {point_sql('k.threshold')} FROM lv v JOIN fit f ON f.g = v.variant JOIN picked k ON k.variant = v.variant WHERE v.split = 'test' GROUP BY ALL")}),
+  ranked AS (SELECT variant, y, rank() OVER (PARTITION BY variant ORDER BY p) + (count(*) OVER (PARTITION BY variant, p) - 1) / 2.0e0 AS rk
+    FROM (SELECT v.variant, {POS} AS y, {P_FIT} AS p FROM lv v JOIN fit f ON f.g = v.variant WHERE v.split = 'test' AND value IS NOT NULL)),
+  areas AS (SELECT variant, CASE WHEN count(*) FILTER (y) > 0 AND count(*) FILTER (NOT y) > 0 THEN
+      round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0e0)
+        / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 4) END AS auc FROM ranked GROUP BY variant),
+  bake AS (SELECT o.variant, threshold, CASE WHEN f.g IS NULL THEN 'no-scores' WHEN cal_status <> 'ok' THEN cal_status
+      WHEN precision >= {K.PRECISION_BAR} AND recall >= {K.RECALL_BAR} THEN 'ok' ELSE 'pooled-bar-not-met' END AS status,
+    precision, recall, f1, auc, f.a, f.b FROM (SELECT unnest(['mean', 'spike', 'vote', 'gop']) AS variant) o
+    LEFT JOIN fit f ON f.g = o.variant LEFT JOIN picked USING (variant) LEFT JOIN tested USING (variant) LEFT JOIN areas USING (variant))"""
+
+
+@query(f"WITH RECURSIVE {BAKEOFF_CTE} SELECT * REPLACE (round(a, 4) AS a, round(b, 4) AS b) FROM bake")
 def d13_variant_bakeoff(spark, sf):
     return exam.variant_bakeoff(V.li_split(spark, sf)).select(
         "variant", "threshold", "status", "precision", "recall", "f1", "auc", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
