@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
 from phonoframe.bindings.contours import semis
-from phonoframe.bindings.records import EXPORT_CTE, GRID_CTE, POS, VERDICT, exported, newton_cte, rated, sig, with_verdicts
+from phonoframe.bindings.records import (
+    EXPORT_CTE, GRID_CTE, MIRROR_RATES, POS, REAL, VERDICT, exported, newton_cte, rated, sig, with_verdicts,
+)
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
@@ -187,10 +189,35 @@ def d13_variant_bakeoff(spark, sf):
         "variant", "threshold", "status", "precision", "recall", "f1", "auc", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query()
+def mirror_sql(threshold: str) -> str:
+    """Mirror counts at a threshold over rows v with fit h."""
+    p = "(1.0e0 / (1.0e0 + exp(-(h.a * hearing_score + h.b))))"
+    sure = f"(heard IS NOT NULL AND coalesce({p} >= {threshold}, false))"
+    return (f"count(*) AS tokens, count(heard) AS scored, count(*) FILTER ({sure}) AS confident, "
+            f"count(*) FILTER ({sure} AND heard = {REAL}) AS correct, count(*) FILTER ({sure} AND {REAL} IS NOT NULL) AS sc, "
+            f"count(*) FILTER (heard IS NOT NULL AND {REAL} IS NOT NULL) AS rw, count(*) FILTER (heard = {REAL}) AS rc")
+
+
+@query(f"""WITH RECURSIVE {BAKEOFF_CTE}, cal AS MATERIALIZED (SELECT * FROM lis WHERE split = 'cal'),
+  {newton_cte(f"SELECT 'all' AS g, CAST(hearing_score AS DOUBLE) AS x, heard = {REAL} AS y FROM cal WHERE heard IS NOT NULL AND {REAL} IS NOT NULL", "h")},
+  {newton_cte(f"SELECT 'all' AS g, CAST(gop AS DOUBLE) AS x, NOT {POS} AS y FROM cal WHERE score IS NOT NULL", "g")},
+  hsweep AS (SELECT *, {MIRROR_RATES} FROM (SELECT threshold, {mirror_sql("threshold")} FROM cal, grid100, hfit h GROUP BY threshold)),
+  hpick AS (SELECT threshold, CASE WHEN accuracy >= 0.9e0 THEN 'ok' ELSE '{K.BAR_NOT_MET}' END AS cal_status FROM hsweep
+    ORDER BY accuracy >= 0.9e0 DESC, CASE WHEN accuracy >= 0.9e0 THEN coverage ELSE accuracy END DESC, threshold DESC LIMIT 1),
+  htest AS (SELECT *, {MIRROR_RATES} FROM (SELECT {mirror_sql("(SELECT threshold FROM hpick)")} FROM lis, hfit h WHERE split = 'test')),
+  best AS (SELECT * FROM bake ORDER BY status = 'ok' DESC, CASE WHEN status = 'ok' THEN f1 ELSE coalesce(auc, -1) END DESC,
+    CASE WHEN status = 'ok' THEN recall ELSE 0 END DESC, list_position(['mean', 'spike', 'vote', 'gop'], variant) LIMIT 1)
+  SELECT 'm1' AS model_id, 'ð' AS target, 'reports/run.json' AS generated_by, variant AS score_variant, round(best.a, 4) AS platt_a,
+    round(best.b, 4) AS platt_b, best.threshold, best.status AS judge_status, precision, recall, f1, auc,
+    round(hfit.a, 4) AS hearing_a, round(hfit.b, 4) AS hearing_b, hpick.threshold AS hearing_threshold,
+    CASE WHEN cal_status <> 'ok' THEN cal_status WHEN accuracy >= {K.ACCURACY_BAR} AND coverage >= {K.COVERAGE_BAR} THEN 'ok'
+      ELSE 'mirror-bar-not-met' END AS hearing_status, accuracy, coverage, round(gfit.a, 4) AS gop_a, round(gfit.b, 4) AS gop_b,
+    (SELECT count(*) FROM lis WHERE split = 'train') AS train, (SELECT count(*) FROM cal) AS cal,
+    (SELECT count(*) FROM lis WHERE split = 'test') AS test FROM best, hfit, hpick, htest, gfit""")
 def k8_run_exam(spark, sf):
     frames = exam.run_exam(V.li_split(spark, sf, indexed=True), V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
-    return frames["summary"].drop("confusions")
+    rounded = {c: F.round(c, 4) for c in ("platt_a", "platt_b", "hearing_a", "hearing_b", "gop_a", "gop_b")}
+    return frames["summary"].drop("confusions").withColumns(rounded)
 
 
 @query()

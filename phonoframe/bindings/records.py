@@ -187,22 +187,22 @@ def d4_auc_pooled(spark, sf):
     return M.auc(V.li(spark, sf).withColumn("pool", F.lit("pool")), "score", M.is_positive(), ["pool"])
 
 
-def newton_cte(rows: str) -> str:
-    """Grouped Newton fit as a recursive CTE over distinct scores: fit(g, n, a, b)."""
+def newton_cte(rows: str, tag: str = "") -> str:
+    """Grouped Newton fit as a recursive CTE over distinct scores: fit(g, n, a, b), names tagged."""
     p = "(1.0e0 / (1.0e0 + exp(-(s.a * d.x + s.b))))"
-    return f"""d AS MATERIALIZED (SELECT g, x, count(*)::DOUBLE AS n, count(*) FILTER (y)::DOUBLE AS y
+    return f"""{tag}d AS MATERIALIZED (SELECT g, x, count(*)::DOUBLE AS n, count(*) FILTER (y)::DOUBLE AS y
       FROM ({rows}) WHERE x IS NOT NULL GROUP BY g, x),
-    steps(g, i, a, b) AS (
-      SELECT DISTINCT g, 0, 0.0e0, 0.0e0 FROM d
+    {tag}steps(g, i, a, b) AS (
+      SELECT DISTINCT g, 0, 0.0e0, 0.0e0 FROM {tag}d
       UNION ALL
       SELECT g, i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
              b + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
       FROM (SELECT s.g, s.i, s.a, s.b, sum(d.x * (d.y - d.n * {p})) AS ga, sum(d.y - d.n * {p}) AS gb,
               sum(d.n * {p} * (1 - {p}) * d.x * d.x) AS haa, sum(d.n * {p} * (1 - {p}) * d.x) AS hab,
               sum(d.n * {p} * (1 - {p})) AS hbb
-            FROM steps s JOIN d ON s.g = d.g WHERE s.i < 15 GROUP BY s.g, s.i, s.a, s.b)),
-    fit AS (SELECT steps.g, n, a, b FROM steps JOIN (SELECT g, sum(n) AS n FROM d GROUP BY g) z
-            ON steps.g = z.g WHERE i = 15)"""
+            FROM {tag}steps s JOIN {tag}d d ON s.g = d.g WHERE s.i < 15 GROUP BY s.g, s.i, s.a, s.b)),
+    {tag}fit AS (SELECT s.g, n, a, b FROM {tag}steps s JOIN (SELECT g, sum(n) AS n FROM {tag}d GROUP BY g) z
+            ON s.g = z.g WHERE i = 15)"""
 
 
 @query(f"WITH RECURSIVE {V.LI_CTE}, " + newton_cte(f"SELECT l1 AS g, score AS x, {POS} AS y FROM li0")

@@ -53,22 +53,18 @@ def fit_platt(
     ))
     if not by and state.isEmpty():
         raise ValueError("cannot fit a calibration on an empty pool")
+    # ``data`` may have a few hot groups; ``state`` has a row for each group and is broadcast if they are few
+    few = F.broadcast if state.count() <= MOST_GROUPS else lambda groups: groups
     for _ in range(max_iter):
         if state.filter(~F.col("converged")).isEmpty():
             break
-        state = store(_newton_pass(data, state, by, tol))
+        state = store(_newton_pass(data, state, by, tol, few))
     return state.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in ("a", "b")})
 
 
-def _few(groups: DataFrame) -> DataFrame:
-    """Group rows for broadcast if they are few, else as they are."""
-    return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
-
-
-def _newton_pass(data: DataFrame, state: DataFrame, by: list[str], tol: float) -> DataFrame:
+def _newton_pass(data: DataFrame, state: DataFrame, by: list[str], tol: float, few) -> DataFrame:
     x, n, y = F.col("_x"), F.col("_n"), F.col("_y")
-    # ``data`` may have a few hot groups, ``state`` has a row for each group
-    fit = join_keys(data, _few(state.filter(~F.col("converged")).select(*by, "a", "b")), by)
+    fit = join_keys(data, few(state.filter(~F.col("converged")).select(*by, "a", "b")), by)
     p = sigmoid(F.col("a") * x + F.col("b"))
     w = n * p * (1 - p)
     sums = fit.groupBy(*by).agg(
@@ -90,7 +86,7 @@ def _newton_pass(data: DataFrame, state: DataFrame, by: list[str], tol: float) -
         *by, step_a.alias("_da"), step_b.alias("_db"),
         (F.greatest(F.abs(step_a), F.abs(step_b)) < tol).alias("_done"),
     )
-    joined = join_keys(state, steps, by, "left")
+    joined = join_keys(state, few(steps), by, "left")
     move = ~F.col("converged") & F.col("_da").isNotNull()
     return joined.select(
         *by, "n",
