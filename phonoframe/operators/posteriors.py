@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe import tables as K
+from phonoframe.functions.align import ctc_path
 from phonoframe.functions.scalar import col, first_argmax, let, lookup, mean, total
 
 FLOOR = -1e9
@@ -186,47 +187,9 @@ def align_problem(frames: Column, targets: Column) -> Column:
 def forced_align(frames: Column, targets: Column, blank: int = 0) -> Column:
     """Best CTC path as extended-state index per frame (label i is state 2i + 1).
 
-    A fold over the frames keeps the scores of the last frame and the chosen step back of
-    every frame; a second fold walks the steps from the end. Ties keep the smaller step.
-    Null when no path exists.
+    Ties keep the smaller step. Null when no path exists.
     """
-    none = F.lit(float("-inf"))
-    states = F.sequence(F.lit(0), 2 * F.size(targets))
-    symbol = F.transform(states, lambda s: F.when(s % 2 == 0, F.lit(blank)).otherwise(
-        F.get(targets, F.floor((s - 1) / 2).cast("int"))))
-    skip = lambda zs: F.transform(zs, lambda z, s: F.struct(
-        z.alias("z"), ((s % 2 == 1) & (z != blank) & F.coalesce(z != F.get(zs, s - 2), F.lit(False))).alias("skip")))
-    last = 2 * F.size(targets)
-
-    def viterbi(lattice: Column) -> Column:
-        first = F.transform(lattice, lambda x, s: F.when(
-            s <= 1, F.get(F.get(frames, F.lit(0)), x["z"])).otherwise(none))
-        start = F.struct(first.alias("dp"), F.array().cast("array<array<int>>").alias("back"))
-
-        def step(acc: Column, f: Column) -> Column:
-            moves = F.transform(lattice, lambda x, s: F.struct(
-                F.get(acc["dp"], s).alias("stay"),
-                F.when(s >= 1, F.get(acc["dp"], s - 1)).otherwise(none).alias("one"),
-                F.when(x["skip"], F.get(acc["dp"], s - 2)).otherwise(none).alias("two"),
-                F.get(f, x["z"]).alias("emit")))
-            back = lambda m: F.when(
-                (m["stay"] >= m["one"]) & (m["stay"] >= m["two"]), 0).when(m["one"] >= m["two"], 1).otherwise(2)
-            best = lambda m: F.greatest(m["stay"], m["one"], m["two"]) + m["emit"]
-            return let(moves, lambda ms: F.struct(
-                F.transform(ms, best).alias("dp"),
-                F.concat(acc["back"], F.array(F.transform(ms, back))).alias("back")))
-
-        def finish(acc: Column) -> Column:
-            a, b = F.get(acc["dp"], last), F.get(acc["dp"], last - 1)
-            end = F.when(b > a, last - 1).otherwise(last)
-            path = F.aggregate(
-                F.reverse(acc["back"]), F.array(end), lambda walked, back: F.concat(
-                    F.array(F.get(walked, F.lit(0)) - F.get(back, F.get(walked, F.lit(0)))), walked))
-            return F.when(F.greatest(a, b) > none, path)
-
-        return F.aggregate(F.slice(frames, F.lit(2), F.size(frames)), start, step, finish)
-
-    return let(let(symbol, skip), viterbi)
+    return ctc_path(blank)(frames, targets)
 
 
 def phone_segments(path: Column, n_phones: Column) -> Column:

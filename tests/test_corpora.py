@@ -166,3 +166,20 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT normalize_phone('ˈiː') a, client_split('ABA') b, tone_of('<`/x') c, "
                     "contrast_confusions('ð:z, d') d, round(raw_contrast(map('ð', 0.2D, 'z', 0.7D), 'ð'), 4) e").first()
     assert (row.a, row.b, row.c, row.d, row.e) == ("i", "train", "fall_rise", ["z", "d"], 1.2528)
+
+
+def test_exports_need_train_and_val_among_any_splits(spark):
+    rows = spark.createDataFrame([(f"s{k}",) for k in range(40)] + [("train",), ("val",), (None,)], "split string")
+    assert C.guard_splits(rows).count() == 43
+    with pytest.raises(ValueError):
+        C.guard_splits(rows.filter("split <> 'val' OR split IS NULL"))
+
+
+def test_contrast_functions_raise_without_a_colon(spark):
+    registry_names = S.register_functions(spark)
+    assert "contrast_target" in registry_names
+    got = spark.sql("SELECT contrast_target('ð: z, d'), contrast_confusions('ð: z, d'), contrast_target(NULL)").first()
+    assert tuple(got) == ("ð", ["z", "d"], None)
+    for name in ("contrast_target", "contrast_confusions"):
+        with pytest.raises(Exception):
+            spark.sql(f"SELECT {name}('ð z')").collect()

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonoframe.functions.spectral import spectral_features
@@ -13,6 +14,7 @@ from phonoframe.operators import contour as C
 from phonoframe.operators import frames as G
 from phonoframe.operators import intervals as I
 from phonoframe.operators import posteriors as P
+from phonoframe.operators import ranks as R
 
 
 def collapse(states, targets):
@@ -178,3 +180,36 @@ def test_posteriors_sum_to_one_and_scores_agree(spark):
     assert abs(row.m.score - math.log(mass[1:].max() / mass[0])) < 1e-6
     assert abs(row.s - np.log(p[:, 1:].max(1) / p[:, 0]).max()) < 1e-6
     assert row.v == np.mean(p[:, 1:].max(1) > p[:, 0])
+
+
+def test_runs_and_glides_do_not_assume_a_hop(spark):
+    # frames 40 ms apart on a 1 ms grid, across the edge of a chunk of time
+    times = [C.CHUNK_S - 0.06, C.CHUNK_S - 0.02, C.CHUNK_S + 0.02, C.CHUNK_S + 0.12]
+    df = spark.createDataFrame([(1, round(t * 1000), t, 0.0) for t in times], "clip int, i int, t double, st double")
+    assert [r.run for r in C.voiced_runs(df).orderBy("i").collect()] == [1, 1, 1, 2]
+    steps = [(1, i, i * 0.001, 0.0 if i < 150 else 12.0) for i in range(300)]
+    fine = spark.createDataFrame(steps, "clip int, i int, t double, st double")
+    ts, vs = np.array([s[2] for s in steps]), np.array([s[3] for s in steps])
+    best = max(
+        (n * (x * v).sum() - x.sum() * v.sum()) / (n * (x * x).sum() - x.sum() ** 2)
+        for a in range(300) for b in range(a + 3, 300) if ts[b] - ts[a] <= 0.25 + 1e-6
+        for n, x, v in [(b - a + 1, ts[a:b + 1] - ts[a], vs[a:b + 1])])
+    assert abs(C.glide_extremes(fine).first().s_max - best) < 1e-6
+    early = C.glide_windows(fine, "st").filter("t = 0.1").first()
+    assert early.high > 0  # the jump is 50 ms ahead
+
+
+def test_chunks_cover_halos_wider_than_a_chunk(spark):
+    df = spark.range(100).withColumn("k", F.lit(1))
+    w = W.partitionBy("k", "_chunk")
+    seen = R.own_rows(R.chunked(df, "id", 25, 10).withColumn("n", F.collect_list("id").over(w)))
+    assert all({x for x in range(100) if abs(x - r.id) <= 25} <= set(r.n) for r in seen.collect())
+
+
+def test_global_order_is_summed_in_groups(spark):
+    df = spark.range(20_000).withColumn("v", F.col("id") % 7)
+    out = R.running(df, [], ["id"], {"s": F.col("v")}, F.expr("id div 2")).orderBy("id").collect()
+    total = 0
+    for r in out:
+        total += r.v
+        assert r.s == total
