@@ -71,7 +71,7 @@ def _half_postings(n: int, pieces: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in WD.slices(batch.column(1)):
+            for _, texts in WD.slices(batch.column(1), 2 << 20):
                 row, value, size, mark = _sets(texts, n)
                 once = np.zeros(len(texts), bool)
                 once[np.unique(mark, return_index=True)[1]] = True

@@ -61,7 +61,7 @@ class Words:
         return [self.data[a:b] for a, b in zip(self.start.tolist(), self.end.tolist())]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a text column into runs of rows of about ``limit`` bytes; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
