@@ -40,8 +40,8 @@ def substitution_item() -> Column:
     target = _slash(F.col("target"))
     message = F.when(
         F.col("verdict") == "uncertain",
-        F.concat(target, F.lit(" here was hard to pin down — try it once more, a little slower.")),
-    ).otherwise(F.concat(F.lit("That "), target, F.lit(" sounded more like "), _slash(F.col("detected")), F.lit(".")))
+        F.concat(target, F.lit(K.SAY["hard_to_pin_down"])),
+    ).otherwise(F.concat(F.lit(K.SAY["that"]), target, F.lit(K.SAY["sounded_more_like"]), _slash(F.col("detected")), F.lit(".")))
     return _item(F.lit("substitution-0"), "segmental_substitution", F.lit("warning"), F.col("confidence"),
                  F.lit("feedback.segmental_substitution"), message, anchored=True, evidence=True)
 
@@ -50,15 +50,15 @@ def hearing_item() -> Column:
     p = sigmoid(F.col("hearing_a") * F.col("hearing_score") + F.col("hearing_b"))
     unsure, same = p < F.col("hearing_threshold"), F.col("heard") == F.col("target")
     target = _slash(F.col("target"))
-    other = F.when(F.col("heard") == "other", F.lit("something else")).otherwise(_slash(F.col("heard")))
+    other = F.when(F.col("heard") == "other", F.lit(K.SAY["something_else"])).otherwise(_slash(F.col("heard")))
     pick = lambda a, b, c: F.when(unsure, a).when(same, b).otherwise(c)
     key = pick(F.lit("feedback.phone_hearing_unsure"), F.lit("feedback.phone_hearing_on_target"),
                F.lit("feedback.phone_hearing_other"))
     message = pick(
-        F.concat(F.lit("I couldn't tell what that "), target,
-                 F.lit(" sounded like — try once more, a little slower.")),
-        F.concat(F.lit("I heard "), _slash(F.col("heard")), F.lit(" — right on target.")),
-        F.concat(F.lit("I heard "), other, F.lit(" where you were going for "), target, F.lit(".")))
+        F.concat(F.lit(K.SAY["could_not_tell"]), target,
+                 F.lit(K.SAY["sounded_like"])),
+        F.concat(F.lit(K.SAY["heard"]), _slash(F.col("heard")), F.lit(K.SAY["on_target"])),
+        F.concat(F.lit(K.SAY["heard"]), other, F.lit(K.SAY["going_for"]), target, F.lit(".")))
     severity = F.when(~unsure & same, "praise").otherwise("warning")
     item = _item(F.lit("hearing-0"), "phone_hearing", severity, F.round(p, 4), key, message, True, True)
     return F.when(p.isNotNull() & F.col("hearing_threshold").isNotNull() & F.col("heard").isNotNull(), item)
@@ -71,9 +71,9 @@ def tone_item() -> Column:
     pick = lambda a, b, c: F.when(low, a).when(match, b).otherwise(c)
     key = pick(F.lit("feedback.tone_uncertain"), F.lit("feedback.tone_match"), F.lit("feedback.tone_mismatch"))
     message = pick(
-        F.lit("I couldn't hear the melody clearly enough - try that one again."),
-        F.concat(F.lit("That ended with "), named("tone_expected"), F.lit(" - right on target.")),
-        F.concat(F.lit("The target is "), named("tone_expected"), F.lit(", but that ended with "),
+        F.lit(K.SAY["melody"]),
+        F.concat(F.lit(K.SAY["ended_with"]), named("tone_expected"), F.lit(K.SAY["tone_on_target"])),
+        F.concat(F.lit(K.SAY["target_is"]), named("tone_expected"), F.lit(K.SAY["but_ended_with"]),
                  named("tone_detected"), F.lit(".")))
     severity = F.when(~low & match, "praise").otherwise("warning")
     item = _item(F.lit("tone"), "intonation_tone", severity, sure, key, message)
