@@ -62,7 +62,10 @@ class Words:
 
 
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Cut a text column into runs of rows of about ``limit`` bytes; null is the empty text."""
+    """Cut a text column into runs of rows of about ``limit`` bytes; null is the empty text.
+
+    After the last run, Arrow gives the memory of past batches back, as workers outlive their tasks.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     texts = column.cast(pa.large_binary())
@@ -76,6 +79,7 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[b
         size += len(value)
     if held:
         yield first, held
+    pa.default_memory_pool().release_unused()
 
 
 def find(texts: list[bytes], table: bytes) -> Words:
