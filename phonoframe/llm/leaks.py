@@ -219,11 +219,11 @@ def find_leaks(utterances: DataFrame, items: DataFrame, window: int = WINDOW) ->
         "coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(0.0))
 
 
-def _clean(items: list[tuple[str, bytes]], window: int, most: float, column: int):
+def _clean(blocks: list[list[tuple[str, bytes]]], window: int, most: float, column: int):
     """Cut the hit words out of one text column; rows covered beyond ``most`` fall out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items, window)
+        automata = [Automaton(items, window) for items in blocks]
         for batch in batches:
             for first, texts in WD.slices(batch.column(column)):
                 keep = np.ones(len(texts), bool)
@@ -232,15 +232,17 @@ def _clean(items: list[tuple[str, bytes]], window: int, most: float, column: int
                 while todo:  # a cut can bring words together, so changed texts are streamed again
                     now = [changed.get(i, texts[i]) for i in todo]
                     words = WD.find(now, WD.PLAIN)
-                    hit, found = automaton.scan(words)
+                    hit = np.zeros(len(words.hash), bool)
+                    for automaton in automata:  # blocks only split the items: one mask for all decides and cuts
+                        hit |= automaton.scan(words)[0]
                     counts = words.counts()
                     begin = np.cumsum(counts) - counts
                     sizes = np.cumsum([0] + [len(t) + 1 for t in now])
                     again = []
                     for j, i in enumerate(todo):
-                        if not found[j]:
-                            continue
                         mask = hit[begin[j]:begin[j] + counts[j]]
+                        if not mask.any():
+                            continue
                         if turn == 0 and mask.sum() > most * len(mask):
                             keep[i] = False
                             continue
@@ -267,12 +269,12 @@ def remove_leaks(
     """The utterances without the passages of test items.
 
     Runs of hit words (see ``find_leaks``) are cut from ``transcript``; a transcript with more than
-    ``most_coverage`` of its words hit falls out as a row. All columns are kept as they are, and so is
+    ``most_coverage`` of its words hit, by all items together, falls out as a row. Cut texts are searched
+    for all items again until none occurs. All columns are kept as they are, and so is
     a transcript without a hit, null or empty ones included.
     """
     given = utterances.withColumn("transcript", F.col("transcript").cast("string"))
     names = given.columns
     plain = given.toDF(*[f"c{k}" for k in range(len(names))])  # names may clash in any way
-    for block in _blocks(items):
-        plain = plain.mapInArrow(_clean(block, window, most_coverage, names.index("transcript")), plain.schema)
-    return plain.toDF(*names)
+    clean = _clean(_blocks(items), window, most_coverage, names.index("transcript"))
+    return plain.mapInArrow(clean, plain.schema).toDF(*names)

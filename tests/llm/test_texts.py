@@ -151,6 +151,41 @@ def test_removal_cuts_passages_and_repeats_until_none_is_left(spark):
     assert [r.n_hit for r in leaks.find_leaks(leaks.remove_leaks(df, items), items).collect()] == [0] * 5
 
 
+def brute_removal(text, items, window, most=0.5):
+    """The words left of a text, or None if it falls out."""
+    words = re.findall(PLAIN, lower(text))
+    for turn in range(len(words) + 1):
+        hit = set()
+        for item in items:
+            size = min(window, len(item))
+            wanted = {tuple(item[p:p + size]) for p in range(len(item) - size + 1)}
+            for q in range(len(words) - size + 1):
+                if tuple(words[q:q + size]) in wanted:
+                    hit.update(range(q, q + size))
+        if turn == 0 and len(hit) > most * len(words):
+            return None
+        if not hit:
+            return words
+        words = [w for q, w in enumerate(words) if q not in hit]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block)
+    texts = [" ".join(f"i{k}w{j}" for j in range(10)) for k in range(8)]
+    rest = lambda n: " ".join(f"c{j}" for j in range(n))
+    rows = [(a * 8 + b, f"{x} {y} {rest(15)}") for a, x in enumerate(texts) for b, y in enumerate(texts) if a != b]  # 20 of 35
+    for a, x in enumerate(texts):  # a cut of y joins the halves of x
+        for b, y in enumerate(texts):
+            if a != b:
+                rows.append((100 + a * 8 + b, f"{rest(40)} {x[:24]} {y} {x[25:]} {rest(40)}"))
+    items = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    left = {r.utterance_id: r.transcript.split() for r in leaks.remove_leaks(frame(spark, rows), items).collect()}
+    brute = {i: brute_removal(t, [x.split() for x in texts], leaks.WINDOW) for i, t in rows}
+    assert left == {i: words for i, words in brute.items() if words is not None}
+    assert len(left) == 56 and all(words == [*rest(40).split()] * 2 for words in left.values())
+
+
 # -- rules -----------------------------------------------------------------------------
 
 
