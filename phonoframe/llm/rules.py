@@ -48,7 +48,7 @@ _IS_LETTER = _bytes_in(bytes(b for b in range(256) if b >= 128 or bytes([b]).isa
 
 def count_texts(texts: list[bytes]) -> np.ndarray:
     """The ``COUNTS`` of every text, one column each."""
-    words = WD.find(texts, WD.BLANK)
+    words = WD.find(texts, WD.CASED)
     buf = np.frombuffer(words.data, np.uint8)
     out = np.zeros((len(texts), len(COUNTS)), np.int64)
     n = out[:, 0] = words.counts()
@@ -73,7 +73,8 @@ def count_texts(texts: list[bytes]) -> np.ndarray:
         for j in range(3):
             repeat[twice + j] = True
         out[:, 4] = of_rows(repeat)
-    out[:, 6] = of_rows(np.isin(words.hash, _FUNCTION_HASHES))
+    folded = WD.range_hashes(np.frombuffer(words.data.lower(), np.uint8), words.start, words.end)
+    out[:, 6] = of_rows(np.isin(folded, _FUNCTION_HASHES))
     out[:, 7] = of_rows(of_words(_IS_LETTER[buf]) > 0)
     for i, text in enumerate(texts):
         lines = [line for line in text.split(b"\n") if line.strip(WD.SPACES)] if n[i] else []
@@ -194,7 +195,7 @@ def judge_quality(utterances: DataFrame, least_posterior: float = 0.5) -> DataFr
     """Judge transcripts by rules whose accuracies are estimated without labels.
 
     ``utterances`` has ``utterance_id`` and ``transcript``; other columns are ignored. Words are runs
-    without ASCII white space.
+    without ASCII white space, as they stand; only function words are found in any case.
 
     Returns one row per input row: ``utterance_id``, the ``COUNTS``, ``base_failed`` (fewer than 50
     words, or more than half of the words in repeated windows), ``votes`` (one of -1, 0, 1 for each of

@@ -23,6 +23,8 @@ def _table(is_separator) -> bytes:
 
 BLANK = _table(lambda b: b in SPACES)
 """Words are runs of anything but ASCII white space."""
+CASED = bytes(32 if b in SPACES else b for b in range(256))
+"""Words as ``BLANK`` separates them, in the case they stand in."""
 PLAIN = _table(lambda b: b < 128 and b not in _LETTERS)
 """Words are runs of ASCII letters, digits and any character from U+0080 on."""
 
@@ -83,7 +85,7 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[b
 
 
 def find(texts: list[bytes], table: bytes) -> Words:
-    """All words of the texts, separated and lower-cased as ``table`` says."""
+    """All words of the texts, separated and lower-cased (or not) as ``table`` says."""
     data = b" ".join(texts).translate(table)
     buf = np.frombuffer(data, np.uint8)
     inside = buf != 32

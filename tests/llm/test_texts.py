@@ -205,6 +205,11 @@ def test_counts_match_brute_force(texts):
     assert [tuple(r[:5]) for r in found.tolist()] == [brute_counts(t) for t in texts]
 
 
+def test_repeats_are_words_as_they_stand():
+    found = rules.count_texts([b"The cat sat. the cat sat. THE CAT SAT.", b"The cat sat. x The cat sat.", b"THE The the"])
+    assert found[:, 4].tolist() == [0, 6, 0] and found[:, 6].tolist() == [3, 2, 3]
+
+
 def test_estimation_finds_planted_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(40_000) < 0.8
