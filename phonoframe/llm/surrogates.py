@@ -51,7 +51,8 @@ PATTERNS = [
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"),
     ("national_id", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
 ]
-_ANY = re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in PATTERNS))
+_ANY, _NO_CARD = (
+    re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in PATTERNS if kind != without)) for without in ("", "card"))
 _HINT = re.compile(r"[0-9@=:]")
 _SCRIPT_LETTER = {"latin": r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+", "cyrillic": r"[А-ЯЁ][а-яё-]+", "greek": r"[Ά-Ώ][ά-ώ-]+"}
 _SURNAME = {s: re.compile(r" (" + p + r")(?!\w)") for s, p in _SCRIPT_LETTER.items()}
@@ -76,6 +77,36 @@ def _names() -> ahocorasick.Automaton:
     return found
 
 
+def _is_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
+def _matches(text: str) -> Iterator[tuple[str, re.Match, int]]:
+    """(kind, match, end) of the patterns in a text, in order, without overlaps.
+
+    Where the digits of a card candidate fail the Luhn check, they may begin another entity, which other
+    numbers follow: the other patterns are tried from the same start, then the shorter candidates that
+    end before a separator, longest first; if nothing fits, the search goes on just after the start.
+    """
+    m = _ANY.search(text)
+    while m:
+        kind, end = m.lastgroup.rstrip("_"), m.end()
+        if kind == "card" and not _is_card(re.sub(r"\D", "", m[0])):
+            other = _NO_CARD.match(text, m.start())
+            if other:
+                m, kind, end = other, other.lastgroup.rstrip("_"), other.end()
+            else:
+                shorter = (m[0][:s.start()] for s in reversed(list(re.finditer("[ -]", m[0]))))
+                digits = ((len(c), re.sub(r"\D", "", c)) for c in shorter)
+                size = next((n for n, d in digits if len(d) >= 13 and _is_card(d)), 0)
+                if not size:
+                    m = _ANY.search(text, m.start() + 1)
+                    continue
+                end = m.start() + size
+        yield kind, m, end
+        m = _ANY.search(text, end)
+
+
 def find_entities(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, canonical form) of the entities of a text, in order, without overlaps.
 
@@ -84,9 +115,8 @@ def find_entities(text: str) -> list[tuple[str, int, int, str]]:
     """
     out = []
     if _HINT.search(text):
-        for m in _ANY.finditer(text):
-            kind = m.lastgroup.rstrip("_") if m.lastgroup != "secret" else "secret"
-            start, end = m.span("secret") if kind == "secret" else m.span()
+        for kind, m, end in _matches(text):
+            start, end = m.span("secret") if kind == "secret" else (m.start(), end)
             value = text[start:end]
             if kind == "email":
                 canonical = value.lower()
@@ -94,8 +124,6 @@ def find_entities(text: str) -> list[tuple[str, int, int, str]]:
                 canonical = value
             else:
                 canonical = re.sub(r"\D", "", value)
-                if kind == "card" and luhn_digit(canonical[:-1]) != canonical[-1]:
-                    continue
             out.append((kind, start, end, canonical))
     for last, (name, script, gender) in _names().iter(text):
         start = last + 1 - len(name)

@@ -168,6 +168,24 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert surrogates.replace_entities(frame(spark, []), KEY).collect() == []
 
 
+@pytest.mark.parametrize("text, wanted", [
+    ("4111111111111111 12/27", [("card", "4111111111111111")]),
+    ("4111 1111 1111 1111 123", [("card", "4111 1111 1111 1111")]),
+    ("4111-1111-1111-1111-123", [("card", "4111-1111-1111-1111")]),
+    ("12 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+    ("123-45-6789 2024-01-15", [("national_id", "123-45-6789")]),
+    ("555-123-4567 2024-01-15", [("phone", "555-123-4567")]),
+    ("555-123-4567 12345", [("phone", "555-123-4567")]),
+    ("123-45-6789 123-45-6780", [("national_id", "123-45-6789"), ("national_id", "123-45-6780")]),
+    ("4111 1111 1111 1112.bob@x.com", [("email", "1112.bob@x.com")]),
+    ("1234567812345678 1", []),
+])
+def test_entities_before_other_numbers_are_found(text, wanted):
+    for before, after in (("", ""), ("Pay ", ", today")):
+        whole = before + text + after
+        assert [(e[0], whole[e[1]:e[2]]) for e in surrogates.find_entities(whole)] == wanted
+
+
 def test_collisions_are_redrawn(spark):
     # all mail addresses of one letter at two domains that are each other's likely images
     here, there = "a.com", surrogates.surrogate(KEY, "email", "x@a.com").split("@")[1]
