@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -222,7 +223,7 @@ def dressed(kind: str, mention: str, replacement: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "email" and mention != mention.lower():
         return replacement.upper() if mention == mention.upper() else "".join(
-            r.upper() if m.isupper() else r for m, r in zip(mention, replacement))
+            r.upper() if m.isupper() else r for m, r in itertools.zip_longest(mention, replacement, fillvalue=""))
     return replacement
 
 

@@ -186,6 +186,12 @@ def test_entities_before_other_numbers_are_found(text, wanted):
         assert [(e[0], whole[e[1]:e[2]]) for e in surrogates.find_entities(whole)] == wanted
 
 
+def test_mixed_case_addresses_keep_all_letters_of_longer_surrogates():
+    for attempt in range(8):
+        new = surrogates.surrogate(KEY, "email", "jo@mail.com", attempt)
+        assert surrogates.dressed("email", "Jo@Mail.com", new).lower() == new
+
+
 def test_collisions_are_redrawn(spark):
     # all mail addresses of one letter at two domains that are each other's likely images
     here, there = "a.com", surrogates.surrogate(KEY, "email", "x@a.com").split("@")[1]
