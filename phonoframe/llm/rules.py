@@ -109,13 +109,13 @@ RULES = [
 ]
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, turns: int = 200) -> dict[str, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, turns: int = 100_000) -> dict[str, np.ndarray]:
     """Share of good transcripts and the accuracies of rules, by expectation maximisation.
 
     ``votes`` has a row for each pattern, ``counts`` its transcripts. A rule that votes is right on
     good transcripts with probability ``good`` and on bad ones with probability ``bad``; abstaining
     says nothing. Weak beta priors keep the two classes from changing places and an unused rule at its
-    start. Ends when no value moves by more than 1e-9.
+    start. Ends when no value moves by more than 1e-9; raises if that takes more than ``turns``.
     """
     share, good, bad = 0.9, np.full(votes.shape[1], 0.95), np.full(votes.shape[1], 0.5)
     up, down = (votes > 0), (votes < 0)
@@ -131,8 +131,8 @@ def estimate(votes: np.ndarray, counts: np.ndarray, turns: int = 200) -> dict[st
         move = max(abs(new_share - share), np.abs(new_good - good).max(), np.abs(new_bad - bad).max())
         share, good, bad = new_share, new_good, new_bad
         if move < 1e-9:
-            break
-    return {"share": np.float64(share), "good": good, "bad": bad}
+            return {"share": np.float64(share), "good": good, "bad": bad}
+    raise RuntimeError(f"accuracies of rules still move by {move:.1e} after {turns} turns")
 
 
 def _log_odds(up, down, share, good, bad) -> np.ndarray:

@@ -222,6 +222,16 @@ def test_estimation_finds_planted_accuracies():
     assert np.abs(found["good"] - right_good).max() < 0.03 and np.abs(found["bad"] - right_bad).max() < 0.08
 
 
+def test_estimation_ends_at_convergence_or_raises():
+    # two rules that vote weakly against each other move the estimate for long
+    votes = np.array([[1, 1], [1, -1], [-1, 1], [-1, -1]])
+    counts = np.array([500.0, 240.0, 230.0, 130.0])
+    found, more = rules.estimate(votes, counts), rules.estimate(votes, counts, turns=10**6)
+    assert all(np.array_equal(found[k], more[k]) for k in found)
+    with pytest.raises(RuntimeError):
+        rules.estimate(votes, counts, turns=200)
+
+
 def test_judgement_of_odd_rows(spark):
     good = ". ".join(f"The w{k} of a{k} is in b{k} and c{k}" for k in range(12)) + "."
     rows = [(k, good.replace("w", f"v{k}")) for k in range(30)] + [(50, "### $$$ " * 60), (51, None), (52, ""), (None, good), (0, good)]
