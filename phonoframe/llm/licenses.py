@@ -45,20 +45,27 @@ NOTICES = [
     ("licensed under cc by 4 0", "cc-by"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
     ("licensed under the eclipse public license", "epl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
 ]
+# Words so short that the edits of a notice could make them name another license.
+NAMING_WORDS = frozenset({"mit", "gnu", "cc", "by", "nc", "sa", "nd"})
 CHARACTERS_PER_ERROR = 15
 
 
 class Scanner:
     """Seeds, patterns and phrases, built once for each Python worker."""
 
-    def __init__(self, notices: tuple[tuple[str, str], ...], per_error: int):
+    def __init__(self, notices: tuple[tuple[str, str], ...], per_error: int, naming: frozenset[str] = frozenset()):
         self.notices = [(text, label, len(text) // per_error) for text, label in notices]
         self.patterns = [
             regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for text, _, k in self.notices]
+        self.naming = naming
+        self.names = [[w for w in text.split() if w in naming] for text, _, _ in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for j, (text, _, k) in enumerate(self.notices):
             cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
@@ -85,13 +92,17 @@ class Scanner:
         return found
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, first and last character, errors, similarity) of every verified notice."""
+        """(label, first and last character, errors, similarity) of every verified notice whose naming
+        words stand unedited."""
         out = []
         for j, ranges in self.candidates(text).items():
             notice, label, _ = self.notices[j]
             for low, high in ranges:
                 at = low
                 while at < high and (m := self.patterns[j].search(text, at, high)):
+                    if self.names[j] and [w for w in m[0].split() if w in self.naming] != self.names[j]:
+                        at = m.start() + 1
+                        continue
                     errors = sum(m.fuzzy_counts)
                     out.append((label, m.start(), m.end(), errors, 1 - errors / len(notice)))
                     at = max(m.end(), at + 1)
@@ -99,8 +110,8 @@ class Scanner:
 
 
 @functools.lru_cache(maxsize=4)
-def scanner(notices: tuple[tuple[str, str], ...], per_error: int) -> Scanner:
-    return Scanner(notices, per_error)
+def scanner(notices: tuple[tuple[str, str], ...], per_error: int, naming: frozenset[str] = frozenset()) -> Scanner:
+    return Scanner(notices, per_error, naming)
 
 
 def phrase_places(words: WD.Words, phrases) -> list[tuple[np.ndarray, str]]:
@@ -133,7 +144,7 @@ def scan_licenses(
 
     ``utterances`` has ``utterance_id`` and ``transcript``; other columns are ignored. Words are runs
     of ASCII letters and digits (A-Z lower-cased) and characters from U+0080 on; notices are matched
-    against the words joined by blanks.
+    against the words joined by blanks. ``NAMING_WORDS`` of a notice must stand unedited.
 
     Returns one row per input row: ``utterance_id``, ``n_words``, ``places`` (first words of all
     places of phrases, words from 0, in order), ``base_labels`` (of the phrases), ``labels`` (of
@@ -153,7 +164,7 @@ def scan_licenses(
                                  ("errors", pa.int32()), ("similarity", pa.float64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = scanner(fixed, characters_per_error)
+        search = scanner(fixed, characters_per_error, NAMING_WORDS)
         for batch in batches:
             for first, texts in WD.slices(batch.column(1)):
                 words = WD.find(texts, WD.PLAIN)

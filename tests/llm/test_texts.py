@@ -278,6 +278,17 @@ def test_notices_are_found_with_edits_and_spans(spark):
     assert found[3].labels == [] and found[3].score == 0
 
 
+def test_naming_words_of_notices_stand_unedited(spark):
+    cases = [("licensed under the mpl license", []), ("licensed under the mit lisense", ["mit"]),
+             ("under the terms of the xyz general public license", []),
+             ("licensed under cc by nd 4 0", ["cc-by-nd"]), ("licenced under CC BY-SA 4.0", ["cc-by-sa"]),
+             ("licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa"]), ("licensed under cc by nx 4 0", []),
+             ("licensed under the mpl license, licensed under the mit license", ["mit"])]
+    found = licenses.scan_licenses(frame(spark, [(k, f"words before {t} and after") for k, (t, _) in enumerate(cases)]))
+    got = {r.utterance_id: [s.label for s in r.spans] for r in found.collect()}
+    assert [got[k] for k in range(len(cases))] == [labels for _, labels in cases]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, len(licenses.NOTICES) - 1), st.data())
 def test_every_notice_within_its_edits_is_found(which, data):
