@@ -4,13 +4,16 @@ The items of a take manifest are exam material; transcripts that repeat them mus
 All items form one suffix automaton over word numbers. Transcripts are streamed through it in Arrow
 tasks, tracking the longest match that ends at each word; matches that reach the window length (or a
 whole shorter item) mark their words. Words that no item holds, and neighbours that stand together in
-no item, end every match, so only runs between them are streamed. Nothing is shuffled.
+no item, end every match, so only runs between them are streamed. Nothing is shuffled while the items
+fit one automaton. More items are a table of blocks: the transcripts are written once and streamed
+through one block after another, and what the blocks find is grouped by transcript.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonoframe.llm import words as WD
+from phonoframe.operators.storage import scratch, store
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
-"""Text of items that one automaton holds at most; more items make more automata, one after another."""
+"""Text of items that one automaton holds; more items make more automata, of which one exists at a time."""
 
 
 class Automaton:
@@ -139,17 +143,23 @@ class Automaton:
         return hit, items
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded text, read one block at a time."""
-    rows = items.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+def _blocks(items: DataFrame) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
+    """The number of blocks of bounded text, and a function that reads one of them."""
+    rows = items.select(
+        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     count = max(1, math.ceil(total / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("text"), F.lit(count))
-    out = []
-    for k in range(count):
-        found = {(r.id, r.text) for r in rows.filter(F.col("text").isNotNull()).filter(block == k).toLocalIterator()}
-        out.append(sorted((name or "", text.encode()) for name, text in found))
-    return out
+    rows = rows.filter(F.col("text").isNotNull())
+    if count > 1:
+        path = scratch(items.sparkSession, "items")
+        rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")).write.partitionBy("block").parquet(path)
+        rows = items.sparkSession.read.schema("id string, text string, block int").parquet(path)
+
+    def read(k: int) -> list[tuple[str, bytes]]:
+        block = rows.filter(F.col("block") == k) if count > 1 else rows
+        return sorted((name, text.encode()) for name, text in {(r.id, r.text) for r in block.toLocalIterator()})
+
+    return count, read
 
 
 _SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
@@ -188,6 +198,33 @@ def _find(items: list[tuple[str, bytes]], window: int):
     return run
 
 
+def _searched(texts: DataFrame) -> DataFrame:
+    """The columns that ``_find`` takes, of a frame with an id and ``transcript``, nothing found yet."""
+    return texts.select(
+        texts.columns[0], "transcript", F.lit(0).cast("bigint").alias("n_words"),
+        F.lit(None).cast(T.ArrayType(_SPAN)).alias("spans"), F.lit(None).cast("array<string>").alias("item_ids"))
+
+
+def _schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("utterance_id", id_type), T.StructField("transcript", T.StringType()),
+                         T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)),
+                         T.StructField("item_ids", T.ArrayType(T.StringType()))])
+
+
+def _found(texts: DataFrame, count: int, read: Callable[[int], list[tuple[str, bytes]]], window: int) -> DataFrame:
+    """(row, spans, item_ids) of the rows of a written table (row, transcript) that some block hits.
+
+    One block is in the driver and in a worker at a time; spans of several blocks can overlap.
+    """
+    parts = []
+    for k in range(count):
+        hits = _searched(texts).mapInArrow(_find(read(k), window), _schema(T.LongType()))
+        parts.append(store(hits.filter(F.size("spans") > 0).select(F.col("utterance_id").alias("row"), "spans", "item_ids")))
+    return functools.reduce(DataFrame.union, parts).groupBy("row").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+
+
 def find_leaks(utterances: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Find the words of transcripts that stand inside a passage of a test item.
 
@@ -204,26 +241,36 @@ def find_leaks(utterances: DataFrame, items: DataFrame, window: int = WINDOW) ->
     repeated items are one, a null item id is the empty string; repeated utterances give repeated
     rows; either table may be empty.
     """
-    id_type = utterances.schema["utterance_id"].dataType
-    hits = utterances.select(
-        "utterance_id", F.col("transcript").cast("string").alias("transcript"), F.lit(0).cast("bigint").alias("n_words"),
-        F.lit(None).cast(T.ArrayType(_SPAN)).alias("spans"),
-        F.lit(None).cast("array<string>").alias("item_ids"))
-    schema = T.StructType([T.StructField("utterance_id", id_type), T.StructField("transcript", T.StringType()),
-                           T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)),
-                           T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    for block in _blocks(items):
-        hits = hits.mapInArrow(_find(block, window), schema)
+    schema = _schema(utterances.schema["utterance_id"].dataType)
+    texts = utterances.select("utterance_id", F.col("transcript").cast("string").alias("transcript"))
+    count, read = _blocks(items)
+    if count == 1:
+        hits = _searched(texts).mapInArrow(_find(read(0), window), schema)
+    else:
+        texts = store(texts.withColumn("row", F.monotonically_increasing_id()))
+        found = _found(texts.select("row", "transcript"), count, read, window)
+        merged = texts.join(found, "row", "left").orderBy("row").select(  # in the given order, as with one block
+            "utterance_id", "transcript", F.lit(0).cast("bigint").alias("n_words"), "spans", "item_ids")
+        hits = merged.mapInArrow(_find([], window), schema)  # joins the spans and names of all blocks
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
     return hits.select("utterance_id", "n_words", n_hit.alias("n_hit"), "spans", "item_ids").withColumn(
         "coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(0.0))
 
 
-def _clean(blocks: list[list[tuple[str, bytes]]], window: int, most: float, column: int):
+def _cut(text: bytes, mask: np.ndarray, words: WD.Words, first: int, offset: int) -> bytes:
+    """The text without the words of ``mask``; its words begin at word ``first``, its bytes at ``offset``."""
+    out, at = [], 0
+    for a, b in _runs_of(mask):
+        out.append(text[at:words.start[first + a] - offset])
+        at = int(words.end[first + b] - offset)
+    return b"".join([*out, text[at:]])
+
+
+def _clean(items: list[tuple[str, bytes]], window: int, most: float, column: int):
     """Cut the hit words out of one text column; rows covered beyond ``most`` fall out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton(items, window) for items in blocks]
+        automaton = Automaton(items, window)
         for batch in batches:
             for first, texts in WD.slices(batch.column(column)):
                 keep = np.ones(len(texts), bool)
@@ -232,9 +279,7 @@ def _clean(blocks: list[list[tuple[str, bytes]]], window: int, most: float, colu
                 while todo:  # a cut can bring words together, so changed texts are streamed again
                     now = [changed.get(i, texts[i]) for i in todo]
                     words = WD.find(now, WD.PLAIN)
-                    hit = np.zeros(len(words.hash), bool)
-                    for automaton in automata:  # blocks only split the items: one mask for all decides and cuts
-                        hit |= automaton.scan(words)[0]
+                    hit, _ = automaton.scan(words)
                     counts = words.counts()
                     begin = np.cumsum(counts) - counts
                     sizes = np.cumsum([0] + [len(t) + 1 for t in now])
@@ -246,11 +291,7 @@ def _clean(blocks: list[list[tuple[str, bytes]]], window: int, most: float, colu
                         if turn == 0 and mask.sum() > most * len(mask):
                             keep[i] = False
                             continue
-                        out, at = [], 0
-                        for a, b in _runs_of(mask):
-                            out.append(now[j][at:words.start[begin[j] + a] - sizes[j]])
-                            at = int(words.end[begin[j] + b] - sizes[j])
-                        changed[i] = b"".join([*out, now[j][at:]])
+                        changed[i] = _cut(now[j], mask, words, begin[j], sizes[j])
                         again.append(i)
                     todo, turn = again, turn + 1
                 part = batch.slice(first, len(texts))
@@ -263,6 +304,30 @@ def _clean(blocks: list[list[tuple[str, bytes]]], window: int, most: float, colu
     return run
 
 
+def _cut_spans(most: float):
+    """(row, text without its spans) of a batch (row, transcript, spans); null if covered beyond ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2).to_pylist()
+            for first, texts in WD.slices(batch.column(1)):
+                words = WD.find(texts, WD.PLAIN)
+                counts = words.counts()
+                begin = np.cumsum(counts) - counts
+                sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
+                out = []
+                for i, text in enumerate(texts):
+                    mask = np.zeros(counts[i], bool)
+                    for s in spans[first + i]:
+                        mask[s["first"]:s["last"] + 1] = True
+                    falls = mask.sum() > most * len(mask)
+                    out.append(None if falls else _cut(text, mask, words, begin[i], sizes[i]).decode())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), pa.array(out, pa.string())], names=["row", "cut"])
+
+    return run
+
+
 def remove_leaks(
     utterances: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5
 ) -> DataFrame:
@@ -276,5 +341,22 @@ def remove_leaks(
     given = utterances.withColumn("transcript", F.col("transcript").cast("string"))
     names = given.columns
     plain = given.toDF(*[f"c{k}" for k in range(len(names))])  # names may clash in any way
-    clean = _clean(_blocks(items), window, most_coverage, names.index("transcript"))
-    return plain.mapInArrow(clean, plain.schema).toDF(*names)
+    column = names.index("transcript")
+    count, read = _blocks(items)
+    if count == 1:
+        return plain.mapInArrow(_clean(read(0), window, most_coverage, column), plain.schema).toDF(*names)
+    table = store(plain.withColumn("row", F.monotonically_increasing_id()))
+    now, most, turns = table.select("row", F.col(f"c{column}").alias("transcript")), most_coverage, []
+    while True:  # a cut can bring words together, so changed texts meet all blocks again
+        found = _found(now, count, read, window)
+        cut = store(now.join(found, "row").select("row", "transcript", "spans").mapInArrow(
+            _cut_spans(most), "row bigint, cut string"))
+        if cut.isEmpty():
+            break
+        turns.append(cut.withColumn("turn", F.lit(len(turns))))
+        now, most = cut.filter("cut IS NOT NULL").withColumnRenamed("cut", "transcript"), 1.0  # falls in the first turn only
+    if not turns:
+        return table.orderBy("row").drop("row").toDF(*names)
+    last = functools.reduce(DataFrame.union, turns).groupBy("row").agg(F.max(F.struct("turn", "cut")).alias("last"))
+    joined = table.join(last, "row", "left").filter("last IS NULL OR last.cut IS NOT NULL").orderBy("row")
+    return joined.withColumn(f"c{column}", F.coalesce("last.cut", f"c{column}")).select(*plain.columns).toDF(*names)

@@ -128,6 +128,15 @@ def test_leaks_match_brute_force(spark, monkeypatch, block):
     assert [(r.utterance_id, r.n_words, r.n_hit, r.item_ids) for r in found] == brute_leaks(rows, items, 4)
 
 
+def test_one_block_of_items_is_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 40)
+    texts = [" ".join(f"i{k}w{j}" for j in range(12)) for k in range(6)]
+    items = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plan = leaks.find_leaks(frame(spark, [(1, texts[0] + " x " + texts[5])]), items)
+    assert [(r.n_hit, r.item_ids) for r in plan.collect()] == [(24, ["0", "5"])]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_one_word_items_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "zebra")], "id int, text string")
     rows = [(1, "a Zebra, zebra b"), (2, "zebras")]
