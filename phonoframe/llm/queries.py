@@ -6,12 +6,18 @@ Documents stand in for utterances (``doc_id`` is ``utterance_id``, ``text`` is `
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import hashlib
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phonoframe.llm import classifier, jaccard, languages, leaks, licenses, lines, pieces, rules, surrogates, toxicity
+from phonoframe.llm import (
+    classifier, dialogues, jaccard, languages, leaks, licenses, lines, pieces, rules, surrogates, toxicity)
+from phonoframe.operators.ranks import join_keys
+from phonoframe.operators.storage import settle
 
 QUERIES, ORACLE = {}, {}
 
@@ -170,3 +176,61 @@ def op9_pii_surrogates(spark, sf):
     return found.select(
         F.col("utterance_id").alias("doc_id"), F.col("transcript").alias("text"),
         F.size("entities").cast("bigint").alias("n_entities"), "entities")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that their keys select."""
+    one = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), one) for c in ("conv_id", "turn")])
+    fault = (F.crc32(key.cast("binary")) % 20).alias("fault")
+    role, text = F.coalesce("role", one), F.coalesce("text", one)
+    return (
+        turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault).filter("fault <> 0")
+        .select(
+            "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+            F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", ""))
+            .otherwise(F.col("text")).alias("text"),
+            F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        .select("conv_id", "turn", "role", "text"))
+
+
+def _line_hashes(batches):
+    """SHA-256 of the joined lines of each conversation, whose rows stand in order; no text is held."""
+    owner, state = None, None
+    for batch in batches:
+        kind = batch.schema.field("conv_id").type
+        done = []
+        for conv, line in zip(batch.column("conv_id").to_pylist(), batch.column("line").to_pylist()):
+            if state is not None and owner == conv:
+                state.update(b"\n")
+            else:
+                if state is not None:
+                    done.append((owner, state.hexdigest()))
+                owner, state = conv, hashlib.sha256()
+            state.update(line.encode())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())],
+            names=["conv_id", "repaired_sha256"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([owner], kind), pa.array([state.hexdigest()])], names=["conv_id", "repaired_sha256"])
+
+
+@query()
+def op12_conversation_repair(spark, sf):
+    given = table(spark, sf, "conversations")
+    turns = damaged(given)
+    plans = settle(dialogues.plan_repairs(turns))
+    lines_ = dialogues.apply_repairs(turns, plans).select(
+        "conv_id", "part", "place", F.concat("role", F.lit(":"), "text").alias("line"))
+    hashes = (
+        lines_.repartition("conv_id").sortWithinPartitions("conv_id", "part", "place").select("conv_id", "line")
+        .mapInArrow(_line_hashes, T.StructType([
+            given.schema["conv_id"], T.StructField("repaired_sha256", T.StringType())])))
+    found = join_keys(dialogues.dialogue_report(plans), hashes, ["conv_id"], "left")
+    all_ids = given.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return join_keys(all_ids, found, ["conv_id"], "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
