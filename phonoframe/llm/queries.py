@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonoframe.llm import (
-    classifier, dialogues, jaccard, languages, leaks, licenses, lines, pieces, rules, surrogates, toxicity)
+    alignment, classifier, dialogues, jaccard, languages, leaks, licenses, lines, minhash, pieces, rules,
+    surrogates, toxicity)
 from phonoframe.operators.ranks import join_keys
-from phonoframe.operators.storage import settle
+from phonoframe.operators.storage import settle, store
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,7 +45,8 @@ def utterances(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("utterance_id"), F.col("text").alias("transcript"))
 
 
-@query(f"""
+def components_sql(percent: int, columns: str) -> str:
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({BLANK_WORDS}, []) AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -52,11 +54,14 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (
-  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= {percent} * (x.n + y.n - o)),
 r AS (SELECT doc_id AS a, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, {columns}
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(root) AS root FROM r GROUP BY 1) c USING (doc_id)
-""")
+"""
+
+
+@query(components_sql(75, "coalesce(c.root, w.doc_id) AS component_id"))
 def op1_ngram_jaccard(spark, sf):
     found = jaccard.jaccard_join(utterances(table(spark, sf, "documents")))
     return found.withColumnRenamed("utterance_id", "doc_id")
@@ -234,3 +239,22 @@ def op12_conversation_repair(spark, sf):
         "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query(components_sql(
+    85, "coalesce(c.root, w.doc_id) AS component_id, coalesce(c.root, w.doc_id) = w.doc_id AS kept"))
+def op13_minhash_dedup(spark, sf):
+    return minhash.near_duplicates(utterances(table(spark, sf, "documents"))).withColumnRenamed("utterance_id", "doc_id")
+
+
+@query()
+def op11_tokenizer_alignment(spark, sf):
+    aligned = alignment.align_tokens(
+        utterances(table(spark, sf, "documents")), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+    scores = alignment.score_links(aligned, store(alignment.pair_counts(aligned)))
+    hashed = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    shown = aligned.select("row", F.col("utterance_id").alias("doc_id"), *alignment.COUNTS, hashed.alias("groups_sha256"))
+    return shown.join(scores, "row", "left").select(
+        "doc_id", *alignment.COUNTS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")],
+        "groups_sha256")
