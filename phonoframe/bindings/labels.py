@@ -15,6 +15,7 @@ from phonoframe.operators import records as R
 from phonoframe.operators import splits as SP
 from phonoframe.operators.storage import scratch
 from phonoframe.sources import corpora as C
+from phonoframe.sources import files as T
 from phonoframe.sources import registry
 
 QUERIES, ORACLE = {}, {}
@@ -341,6 +342,70 @@ def a1_textgrid_long(spark, sf):
     return C.parse_textgrid_long(long_files(spark, sf))
 
 
+FILES = 64
+"""Files that the rows of a table are written to."""
+
+
+def write_files(rows, order: list[str], path: str) -> str:
+    """Write ``value`` lines of each ``file`` in the given order to one text file of its own."""
+    rows.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def file_number():
+    return F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file")
+
+
+def grid_rows(spark, sf):
+    return V.grid(spark, sf).withColumn("file", F.col("l_orderkey") % FILES)
+
+
+def heads(rows, *lines):
+    """The first lines of every file."""
+    return rows.groupBy("file").agg(F.countDistinct("l_orderkey").alias("orders")).select(
+        "file", F.lit(-1).cast("bigint").alias("l_orderkey"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("idx"),
+        F.concat_ws("\n", *lines).alias("value"))
+
+
+@query(f"""WITH {V.GRID_CTE} SELECT l_orderkey % {FILES} AS file, path AS tier, idx, xmin, xmax, text FROM grid""")
+def a1_textgrid_files(spark, sf):
+    """Every order is a tier of one of the files."""
+    rows = grid_rows(spark, sf)
+    tier = F.concat(F.lit('    item [1]:\n        class = "IntervalTier"\n        name = "'), "path", F.lit(
+        '"\n        xmin = 0\n        xmax = 9\n        intervals: size = 1\n'))
+    interval = F.concat(
+        F.lit("        intervals ["), (F.col("idx") + 1).cast("string"), F.lit("]:\n            xmin = "),
+        F.col("xmin").cast("string"), F.lit("\n            xmax = "), F.col("xmax").cast("string"),
+        F.lit('\n            text = "'), F.col("text"), F.lit('"'))
+    body = rows.select("file", "l_orderkey", F.lit(1).alias("part"), "idx", F.concat(
+        F.when(F.col("idx") == 0, tier).otherwise(""), interval).alias("value"))
+    top = heads(rows, F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = 9\ntiers? <exists>\nsize = 1\nitem []:'))
+    folder = write_files(body.unionByName(top), ["l_orderkey", "part", "idx"], scratch(spark, "textgrid"))
+    return T.read_textgrid_long(spark, folder).select(file_number(), "tier", "idx", "xmin", "xmax", "text")
+
+
+@query(f"""WITH {V.GRID_CTE} SELECT l_orderkey % {FILES} AS file, 'interval' AS kind, path AS tier, idx, xmin, xmax, text FROM grid
+  UNION ALL SELECT l_orderkey % {FILES}, 'point', 'm' || path, idx, xmin, xmin, 'M' FROM grid""")
+def a2_textgrid_files(spark, sf):
+    """Every order is an interval tier and a point tier of one of the files."""
+    rows = grid_rows(spark, sf)
+    sizes = rows.groupBy("l_orderkey").agg(F.count("*").cast("string").alias("n"))
+    sized = rows.join(sizes, "l_orderkey")
+
+    def tier(kind: str, mark: str):
+        return F.when(F.col("idx") == 0, F.concat(
+            F.lit(f'"{kind}"\n"{mark}'), "path", F.lit('"\n0\n9\n'), "n", F.lit("\n"))).otherwise("")
+
+    low, high = F.col("xmin").cast("string"), F.col("xmax").cast("string")
+    wide = F.concat(tier("IntervalTier", ""), F.concat_ws("\n", low, high, F.concat(F.lit('"'), "text", F.lit('"'))))
+    thin = F.concat(tier("TextTier", "m"), F.concat_ws("\n", low, F.lit('"M"')))
+    parts = F.explode(F.array(F.struct(F.lit(1).alias("part"), wide.alias("value")), F.struct(F.lit(2).alias("part"), thin.alias("value"))))
+    body = sized.select("file", "l_orderkey", "idx", parts.alias("p")).select("file", "l_orderkey", "p.part", "idx", "p.value")
+    top = heads(rows, F.lit('File type = "ooTextFile short"\n"TextGrid"\n\n0\n9\n<exists>'), (2 * F.col("orders")).cast("string"))
+    folder = write_files(body.unionByName(top), ["l_orderkey", "part", "idx"], scratch(spark, "textgrid"))
+    return T.read_textgrid_short(spark, folder).select(file_number(), "kind", "tier", "idx", "xmin", "xmax", "text")
+
+
 def short_files(spark, sf):
     g = V.grid(spark, sf)
     row = F.struct("idx", F.concat_ws("\n", F.col("xmin").cast("string"), F.col("xmax").cast("string"),
@@ -388,6 +453,18 @@ def a5_durations(spark, sf):
     return C.parse_durations(lines, F.col("doc_id"))
 
 
+@query(f"""SELECT doc_id % {FILES} AS file, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, 'A') AS block, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, 'A')
+  || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS passage, n_chars / 100.0e0 AS duration,
+  row_number() OVER (PARTITION BY doc_id % {FILES} ORDER BY doc_id) - 1 AS ord FROM documents""")
+def a5_duration_files(spark, sf):
+    key = (F.col("doc_id") % 1000).cast("string")
+    lines = V.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % FILES).alias("file"), F.concat(
+        F.lpad(key, 3, "A"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("B.SIG\t"),
+        (F.col("n_chars") / 100.0).cast("string"), F.lit(" 16000")).alias("value"))
+    folder = write_files(lines, ["doc_id"], scratch(spark, "durations"))
+    return T.read_durations(spark, folder).select(file_number(), "block", "passage", "duration", "ord")
+
+
 @query("SELECT 'documents' AS key, true AS has_file UNION ALL SELECT 'lineitem', true UNION ALL SELECT 'events', true")
 def a6_scan_media(spark, sf):
     files = C.scan_media(spark, sf, "{documents,lineitem,events}.parquet")

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
-from phonoframe.bindings.contours import semis
+from phonoframe.bindings.contours import TONE_CTE, semis
 from phonoframe.bindings.records import (
     EXPORT_CTE, GRID_CTE, MIRROR_RATES, POS, REAL, VERDICT, exported, newton_cte, rated, sig, with_verdicts,
 )
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
-from phonoframe.operators.storage import scratch
+from phonoframe.operators.storage import scratch, settle
 from phonoframe.plans import analysis, exam, feedback
 from phonoframe.sources import corpora, sinks
 from phonoframe.streaming import records as L
@@ -220,30 +219,114 @@ def k8_run_exam(spark, sf):
     return frames["summary"].drop("confusions").withColumns(rounded)
 
 
-@query()
-def k7_analyze(spark, sf):
-    takes = V.post(spark, sf).select(
-        F.col("utt").alias("take"), F.lit("m1").alias("model_id"), F.lit("word").alias("text"), "logits",
+NAMES = {k: f"p{k}" for k in range(1, 8)}
+
+
+def takes(spark, sf):
+    """Takes to analyse, without their posteriors."""
+    return V.post(spark, sf).select(
+        F.col("utt").alias("take"), F.lit("m1").alias("model_id"), F.lit("word").alias("text"),
         F.array(F.col("target"), (1 + F.col("target") % 7).cast("int")).alias("targets"), F.lit(0).alias("focus"),
         "confusions", "hop_s", F.lit(0.1).alias("offset_s"), F.lit(0.3).alias("duration_s"),
         (F.col("utt") % 19 != 0).alias("has_speech"), (F.col("utt") % 23 == 1).alias("clipping"),
         F.lit(False).alias("too_quiet"), F.when(F.col("utt") % 3 == 0, "fall").alias("expected_tone"))
-    names = {k: f"p{k}" for k in range(1, 8)}
-    calib = V.table(spark, sf, "part").filter("p_partkey BETWEEN 1 AND 5").select(
-        F.lit("m1").alias("model_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("target"),
-        F.lit("mean").alias("score_variant"), F.lit(1.5).alias("platt_a"), F.lit(0.0).alias("platt_b"), F.lit(0.75).alias("threshold"),
-        F.lit(1.0).alias("gop_a"), F.lit(2.0).alias("gop_b"), F.lit(1.0).alias("hearing_a"), F.lit(0.0).alias("hearing_b"),
-        F.lit(0.6).alias("hearing_threshold"))
-    rows = analysis.analyze(takes, semis(spark, sf), calib, names)
+
+
+def take_posteriors(spark, sf):
+    return V.post(spark, sf).select(F.col("utt").alias("take"), "logits")
+
+
+def take_calibrations(spark, sf):
+    """One calibration for each phone that lineitem has often enough, from its whole table."""
+    phone = F.concat(F.lit("p"), (1 + F.col("l_partkey") % 7).cast("string")).alias("target")
+    held = V.table(spark, sf, "lineitem").groupBy(phone).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("r"))
+    return held.filter("r % 7 <> 0").select(
+        F.lit("m1").alias("model_id"), "target", F.lit("mean").alias("score_variant"),
+        (0.5 + F.col("n") % 5 / 4.0).alias("platt_a"), (F.col("r") % 3 / 10.0).alias("platt_b"),
+        (0.55 + F.col("n") % 4 / 20.0).alias("threshold"), F.lit(1.0).alias("gop_a"), F.lit(2.0).alias("gop_b"),
+        F.lit(1.0).alias("hearing_a"), F.lit(0.0).alias("hearing_b"), F.lit(0.6).alias("hearing_threshold"))
+
+
+ANALYSIS_CTE = f"""{V.POST_CTE}, {V.path_cte(["target", "1 + target % 7"])},
+  calib AS (SELECT 'p' || (1 + l_partkey % 7) AS target, 0.5e0 + count(*) % 5 / 4.0e0 AS a, count(*) FILTER (l_returnflag = 'R') % 3 / 10.0e0 AS b,
+    0.55e0 + count(*) % 4 / 20.0e0 AS threshold FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') % 7 <> 0),
+  lf AS (SELECT utt, t, (s - 1) // 2 AS idx FROM path WHERE s % 2 = 1),
+  ph AS (SELECT lf.utt, idx, greatest(0, least(1, exp(avg(mx)))) AS sure FROM lf JOIN (SELECT utt, t, max(logp) AS mx FROM logp GROUP BY ALL) f
+    ON f.utt = lf.utt AND f.t = lf.t GROUP BY ALL),
+  su AS (SELECT utt, round(avg(sure), 9) AS sure, count(*) AS phones FROM ph GROUP BY utt),
+  al AS (SELECT p.utt, target, p.klass, phones, CASE WHEN p.utt % 19 = 0 OR p.utt % 23 = 1 OR sure < {K.MIN_ALIGNMENT} THEN 'failed'
+      WHEN sure < {K.LOW_ALIGNMENT} THEN 'low_confidence' ELSE 'ok' END AS alignment,
+    CASE WHEN p.utt % 19 = 0 THEN '{K.NO_SPEECH}' WHEN p.utt % 23 = 1 THEN '{K.CLIPPING}' WHEN sure < {K.MIN_ALIGNMENT} THEN '{K.BELOW_FLOOR}' END AS reason
+    FROM post0 p LEFT JOIN su ON su.utt = p.utt),
+  fm AS (SELECT l.utt, l.token, avg(exp(logp)) AS m FROM logp l JOIN lf ON lf.utt = l.utt AND lf.t = l.t AND idx = 0 GROUP BY ALL),
+  sc AS (SELECT al.utt, ln((max(m) FILTER (k > 0) / (sum(m) + 1e-12) + 1e-12) / (max(m) FILTER (k = 0) / (sum(m) + 1e-12) + 1e-12)) AS score
+    FROM al, (SELECT unnest([0, 1, 2, 3]) AS k), fm WHERE fm.utt = al.utt AND fm.token = CASE WHEN k = 0 THEN target ELSE 1 + (klass % 7 + k) % 7 END GROUP BY al.utt),
+  hd AS (SELECT utt, arg_max(token, m) AS heard FROM fm WHERE token > 0 GROUP BY utt),
+  matched AS (SELECT al.*, heard, sc.score, a, b, threshold FROM al LEFT JOIN sc ON sc.utt = al.utt LEFT JOIN hd ON hd.utt = al.utt
+    LEFT JOIN calib c ON c.target = 'p' || al.target),
+  rec AS (SELECT utt AS take, alignment, reason, CASE WHEN alignment = 'ok' THEN {VERDICT} END AS verdict,
+    CASE WHEN alignment = 'ok' THEN 'p' || heard END AS heard, coalesce(reason IN ('{K.NO_SPEECH}', '{K.CLIPPING}'), false) AS audio_problem,
+    CASE WHEN alignment <> 'failed' THEN phones END AS phones FROM matched)"""
+
+
+@query()
+def k7_analyze(spark, sf):
+    given = takes(spark, sf).join(take_posteriors(spark, sf), "take")
+    rows = analysis.analyze(given, semis(spark, sf), take_calibrations(spark, sf), NAMES)
     return rows.select(
         "take", "alignment.status", "alignment.reason", F.size("alignment.phones").alias("phones"),
         F.get("contrasts", F.lit(0))["verdict"].alias("verdict"), F.get("contrasts", F.lit(0))["heard"].alias("heard"),
         F.col("nuclear_tone.detected").alias("tone"), F.to_json("feedback").alias("feedback"))
 
 
+@query(f"""WITH {ANALYSIS_CTE}, {TONE_CTE} SELECT take, alignment, reason, phones, verdict, heard, tone
+  FROM rec LEFT JOIN tn ON tn.clip = rec.take""")
+def k7_analysis_fields(spark, sf):
+    return k7_analyze(spark, sf).withColumnRenamed("status", "alignment").drop("feedback")
+
+
 # -- streams ---------------------------------------------------------------------------------
 
 
+class Lost(Exception):
+    """Stands for a driver that is lost at a certain point."""
+
+
+def lose(number: int) -> None:
+    raise Lost(number)
+
+
+def finish(run) -> bool:
+    """Wait for a stream; false if it was lost."""
+    try:
+        run.awaitTermination()
+        return True
+    except StreamingQueryException:
+        return False
+
+
+def arrivals(spark, rows, part, source):
+    """Write the rows of one delivery to a folder."""
+    rows.filter(part).write.mode("append").parquet(source)
+
+
+@query(f"WITH {ANALYSIS_CTE} SELECT take, alignment, reason, audio_problem, verdict, heard, CAST(1 AS BIGINT) AS analyses FROM rec")
+def l1_stream_exam(spark, sf):
+    """Three deliveries, which overlap by a third; the second run is lost after its write."""
+    source, out, state = (scratch(spark, n) for n in ("source", "records", "state"))
+    rows, posteriors = takes(spark, sf), take_posteriors(spark, sf)
+    tracks, calib = settle(semis(spark, sf)), settle(take_calibrations(spark, sf))
+    analyze = lambda work: analysis.analyze_tokens(work, posteriors, tracks, calib, NAMES)
+    for turn, written in enumerate([None, lose, None, None]):
+        if turn < 3:
+            arrivals(spark, rows, (F.col("take") % 3 == turn) | (F.col("take") % 9 == 8), source)
+        tokens = L.read_stream(spark, source, rows.schema, "parquet")
+        finish(L.stream_exam(tokens, analyze, ["take"], out, state, written))
+    found = L.exam_records(spark, out)
+    return found.groupBy("take", "alignment", "reason", "audio_problem", "verdict", "heard").agg(F.count("*").alias("analyses"))
+
+
 def stream(spark, sf):
     schema = V.table(spark, sf, "lineitem").schema
     return L.read_stream(spark, sf, schema, "parquet", "lineitem.parquet")
@@ -261,22 +344,34 @@ def l1_stream_records(spark, sf):
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.lit(sizes[1] - sizes[0]).cast("bigint").alias("repeated"))
 
 
-@query("SELECT l_linenumber, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_linenumber")
+@query("SELECT l_linenumber, count(DISTINCT l_orderkey) AS n, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS state_rows "
+       "FROM lineitem GROUP BY l_linenumber")
 def l2_stream_dedupe(spark, sf):
-    out, state = scratch(spark, "stream"), scratch(spark, "state")
-    once = lambda df: L.stream_dedupe(df, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
-    L.stream_records(stream(spark, sf), once, out, state).awaitTermination()
-    return spark.read.parquet(out).groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    """Two deliveries with a third in common; state is on disk."""
+    source, out, state = (scratch(spark, n) for n in ("source", "stream", "state"))
+    rows = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    for part in ("l_orderkey % 3 < 2", "l_orderkey % 3 > 0"):
+        arrivals(spark, rows, part, source)
+        once = L.stream_dedupe(L.read_stream(spark, source, rows.schema, "parquet"), rows.columns).select(*rows.columns)
+        with L.disk_state(spark):
+            run = L.stream_records(once, lambda df: df, out, state)
+        run.awaitTermination()
+    held = L.state_size(run)["rows"]
+    return spark.read.parquet(out).groupBy("l_linenumber").agg(
+        F.count("*").alias("n"), F.lit(held).cast("bigint").alias("state_rows"))
 
 
 @query("SELECT l_linestatus AS alignment, count(*) AS n FROM lineitem GROUP BY l_linestatus")
 def l3_stream_status(spark, sf):
-    name = f"status_{uuid.uuid4().hex}"
-    rows = stream(spark, sf).withColumnRenamed("l_linestatus", "alignment")
-    run = L.stream_status(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(
-        availableNow=True).option("checkpointLocation", scratch(spark, "state")).start()
-    run.awaitTermination()
-    return spark.table(name)
+    """Counters over three deliveries; the second run is lost after its write and repeated."""
+    source, out, state = (scratch(spark, n) for n in ("source", "counters", "state"))
+    rows = V.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linestatus").alias("alignment"))
+    for turn, written in enumerate([None, lose, None, None]):
+        if turn < 3:
+            arrivals(spark, rows, F.col("l_orderkey") % 3 == turn, source)
+        counters = L.stream_status(L.read_stream(spark, source, rows.schema, "parquet"))
+        finish(L.stream_counters(counters, out, state, written))
+    return L.read_counters(spark, out)
 
 
 # -- sinks -----------------------------------------------------------------------------------

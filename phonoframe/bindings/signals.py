@@ -12,6 +12,8 @@ from phonoframe.operators import frames as G
 from phonoframe.operators import metrics as M
 from phonoframe.operators import posteriors as P
 from phonoframe.operators import splits as SP
+from phonoframe.operators.storage import scratch
+from phonoframe.sources import shards as SH
 
 QUERIES, ORACLE = {}, {}
 
@@ -114,7 +116,8 @@ def targets():
     return F.array(F.col("target"), (1 + F.col("target") % 7).cast("int"), F.col("target"))
 
 
-@query()
+@query(f"""WITH {V.POST_CTE}, {V.path_cte(["target", "1 + target % 7", "target"])}
+  SELECT utt, string_agg(s, ' ' ORDER BY t) AS path, CAST(NULL AS VARCHAR) AS reason FROM path GROUP BY utt""")
 def e7_forced_align(spark, sf):
     rows = scored(spark, sf).withColumn("targets", targets())
     path = F.when(P.align_problem(F.col("frames"), F.col("targets")).isNull(),
@@ -328,6 +331,31 @@ def a13_shards(spark, sf):
     return rows.select("id", "shard", "length", "start")
 
 
+def torn(path: str, entry: dict) -> None:
+    """Take the frames of a shard away."""
+    fs, root = SH._place(path)
+    fs.delete_file(f"{root}/{entry['name']}.npy")
+
+
+@query(f"""WITH {CLIP_CTE}, s AS (SELECT id, client_id, 1 + n_chars % 20 AS length, (row_number() OVER (ORDER BY id) - 1) // 50 AS shard FROM clip),
+  o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY shard ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    list_sum(list_transform(range(length * 4), lambda k: (id * 31 + k) % 256)) AS total FROM s WHERE shard <> 1)
+  SELECT shard, count(*) AS clips, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(total) AS DOUBLE) AS total,
+    count(*) FILTER ({V.bucket_sql('client_id')} < 5) AS val FROM o GROUP BY shard""")
+def a13_shard_store(spark, sf):
+    """Shards written, the second one torn, and read again."""
+    rows = SP.shards(clips(spark, sf), ["id"], 1 + F.col("n_chars") % 20, 50, F.expr("id div 16")).withColumns({
+        "tokens": F.col("text"), "split": S.client_split("client_id"),
+        "features": F.expr("transform(sequence(0L, length * 4 - 1), k -> CAST((id * 31 + k) % 256 AS FLOAT))")})
+    SH.write_shards(rows, path := scratch(spark, "shards"), 4)
+    torn(path, next(e for e in SH.manifest(path)["shards"] if e["shard"] == 1))
+    back = SH.read_shards(spark, path)
+    total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
+    return back.groupBy("shard").agg(
+        F.count("*").alias("clips"), F.sum("start").alias("starts"), F.sum(total).alias("total"),
+        S.count_if(F.col("split") == "val").alias("val"))
+
+
 @query(f"""WITH {CLIP_CTE}, f AS (SELECT *, duration BETWEEN 1 AND 30 AS usable, client_id <> 'src3' AS known FROM clip)
   SELECT round(sum(CASE WHEN usable AND known THEN duration ELSE 0 END) / 3600, 2) AS hours, count(*) FILTER (usable AND known) AS clips, count(*) FILTER (usable AND NOT known) AS skipped, count(*) AS seen FROM f""")
 def d31_prep_summary(spark, sf):

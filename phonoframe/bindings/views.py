@@ -259,6 +259,32 @@ POST_CTE = (
     "logp AS (SELECT l.* EXCLUDE (x), x - lse AS logp FROM logit l JOIN norm n ON l.utt = n.utt AND l.t = n.t)"
 )
 
+
+
+def path_cte(targets: list[str]) -> str:
+    """Best CTC path of every utterance over states (blank, target, blank, ...), frame by frame; neighbouring
+    targets differ. Ties keep the smaller step. Ends in ``path`` (utt, t, s)."""
+    last = 2 * len(targets)
+    symbols = " ".join(f"WHEN {2 * k + 1} THEN {sql}" for k, sql in enumerate(targets))
+    steps = [
+        f"em AS MATERIALIZED (SELECT st.utt, s, t, logp FROM (SELECT utt, s, CASE s {symbols} ELSE 0 END AS token FROM post0, "
+        f"(SELECT unnest(range({last + 1})) AS s)) st JOIN logp ON logp.utt = st.utt AND logp.token = st.token)",
+        "d0 AS MATERIALIZED (SELECT utt, s, logp AS v, 0 AS back FROM em WHERE t = 0 AND s < 2)"]
+    for t in range(1, POST_FRAMES):
+        steps.append(
+            f"d{t} AS MATERIALIZED (SELECT p.utt, p.s, p.m.v + e.logp AS v, -p.m.k AS back FROM (SELECT utt, s + k AS s, "
+            f"max({{'v': v, 'k': -k}}) AS m FROM d{t - 1}, (SELECT unnest([0, 1, 2]) AS k) WHERE k < 2 OR s % 2 = 1 "
+            f"GROUP BY ALL) p JOIN em e ON e.utt = p.utt AND e.s = p.s AND e.t = {t})")
+    end = POST_FRAMES - 1
+    steps.append(
+        f"p{end} AS MATERIALIZED (SELECT utt, CASE WHEN coalesce(max(v) FILTER (s = {last - 1}) > max(v) FILTER (s = {last}), true) "
+        f"THEN {last - 1} ELSE {last} END AS s FROM d{end} GROUP BY utt HAVING max(s) >= {last - 1})")
+    for t in range(end - 1, -1, -1):
+        steps.append(f"p{t} AS MATERIALIZED (SELECT p.utt, p.s - back AS s FROM p{t + 1} p JOIN d{t + 1} d ON d.utt = p.utt AND d.s = p.s)")
+    whole = " UNION ALL ".join(f"SELECT utt, {t} AS t, s FROM p{t}" for t in range(POST_FRAMES))
+    return ", ".join([*steps, f"path AS MATERIALIZED ({whole})"])
+
+
 # -- SIG: signals ------------------------------------------------------------------------
 
 SIG_RATE = 16_000

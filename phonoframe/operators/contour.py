@@ -6,9 +6,15 @@ long clip is processed by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonoframe.functions.scalar import col, let, to_semitones
 from phonoframe.functions.warp import dtw_distance  # noqa: F401
@@ -258,36 +264,80 @@ def median_smooth(df: DataFrame, value: str = "st", width: int = 5, name: str =
     return own_rows(windowed).drop("_n")
 
 
+def _steepest(span: float, least_points: int):
+    """Per row of sorted (clip, chunk, own, t, v, run): own rows with the extreme slopes of windows that start there.
+
+    All starts move on together: a step adds to each the next row of its chunk and run, while it is near enough.
+    """
+
+    def slopes(group: np.ndarray, t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.full(len(t), np.inf), np.full(len(t), -np.inf)
+        at = np.arange(len(t))
+        n, sx, sy, sxy, sxx = np.zeros((5, len(t)))
+        step = 0
+        while len(at):
+            x, y = t[at + step] - t[at], v[at + step]
+            n[at], sx[at], sy[at], sxy[at], sxx[at] = n[at] + 1.0, sx[at] + x, sy[at] + y, sxy[at] + x * y, sxx[at] + x * x
+            spread = n[at] * sxx[at] - sx[at] * sx[at]
+            full = at[(n[at] >= least_points) & (spread > 0)]
+            slope = (n[full] * sxy[full] - sx[full] * sy[full]) / (n[full] * sxx[full] - sx[full] * sx[full])
+            low[full], high[full] = np.minimum(low[full], slope), np.maximum(high[full], slope)
+            step += 1
+            at = at[at + step < len(t)]
+            at = at[(group[at + step] == group[at]) & (t[at + step] - t[at] <= span + TINY)]
+        return low, high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(rows: pa.Table) -> pa.RecordBatch:
+            clip, chunk, track = (pc.fill_null(rows[c].combine_chunks().dictionary_encode().indices, -1).to_numpy() for c in (
+                "clip", "_chunk", "run"))
+            fresh = np.ones(len(clip), bool)
+            fresh[1:] = (clip[1:] != clip[:-1]) | (chunk[1:] != chunk[:-1]) | (track[1:] != track[:-1])
+            low, high = slopes(np.cumsum(fresh), rows["t"].to_numpy(), rows["v"].to_numpy())
+            own = rows["_own"].combine_chunks()
+            out = pa.table({
+                "clip": rows["clip"], "t": rows["t"], "low": pa.array(low, mask=np.isinf(low)),
+                "high": pa.array(high, mask=np.isinf(high))}).filter(own)
+            return out.combine_chunks()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            key = [(b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b, k in ((held[0], 0), (batch, batch.num_rows - 1))]
+            if key[0] == key[1]:
+                continue
+            # the last chunk may go on in the next batch
+            rows = pa.Table.from_batches(held).combine_chunks()
+            clip, chunk = (pc.fill_null(rows[c].combine_chunks().dictionary_encode().indices, -1).to_numpy() for c in ("clip", "_chunk"))
+            cut = int(np.flatnonzero((clip[1:] != clip[:-1]) | (chunk[1:] != chunk[:-1]))[-1]) + 1
+            yield from solved(rows.slice(0, cut)).to_batches()
+            held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from solved(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
+
+
 def glide_windows(
     df: DataFrame, value: str, span: float = 0.25, least_points: int = 4, run: str | None = None,
 ) -> DataFrame:
     """Per voiced frame the flattest-to-steepest slopes of windows that start there.
 
-    A window ends on a later frame no more than ``span`` away; slopes come from running
-    sums over the frames ahead, so no pair of frames ever becomes a row.
+    A window ends on a later frame of the same ``run`` no more than ``span`` away. Frames are dealt by chunk of a
+    clip, with those in reach of its end, and sums grow over the frames ahead; no frame is copied for each
+    window and no pair of frames becomes a row.
     """
     said = df.filter(F.col(value).isNotNull())
-    ahead = F.expr(
-        f"collect_list(struct(t, `{value}` AS v, {f'`{run}`' if run else '0'} AS run)) OVER (PARTITION BY clip, _chunk "
-        f"ORDER BY t RANGE BETWEEN CURRENT ROW AND {span + TINY}D FOLLOWING)")
-    rows = own_rows(chunked(said, "t", span + TINY, CHUNK_S).withColumn("_ahead", ahead))
-    mine = F.filter(F.col("_ahead"), lambda p: (p["run"] == (F.col(run) if run else F.lit(0)))
-                    & (p["t"] - F.col("t") <= span + TINY))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "xy", "xx")],
-                    F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-
-    def add(acc: Column, p: Column) -> Column:
-        x = p["t"] - F.col("t")
-        n, sx, sy = acc["n"] + 1.0, acc["x"] + x, acc["y"] + p["v"]
-        sxy, sxx = acc["xy"] + x * p["v"], acc["xx"] + x * x
-        spread = n * sxx - sx * sx
-        slope = F.when((n >= least_points) & (spread > 0), (n * sxy - sx * sy) / spread)
-        return F.struct(
-            n.alias("n"), sx.alias("x"), sy.alias("y"), sxy.alias("xy"), sxx.alias("xx"),
-            F.least(acc["low"], slope).alias("low"), F.greatest(acc["high"], slope).alias("high"))
-
-    best = F.aggregate(mine, zero, add)
-    return rows.withColumn("_b", best).select("clip", "t", F.col("_b.low").alias("low"), F.col("_b.high").alias("high"))
+    track = F.col(run).cast("bigint") if run else F.lit(0).cast("bigint")
+    dealt = chunked(said, "t", span + TINY, CHUNK_S).select(
+        "clip", "_chunk", "_own", F.col("t").cast("double").alias("t"), F.col(value).cast("double").alias("v"), track.alias("run"),
+    ).repartition("clip", "_chunk").sortWithinPartitions("clip", "_chunk", "t")
+    schema = T.StructType([
+        T.StructField("clip", df.schema["clip"].dataType), *[T.StructField(c, T.DoubleType()) for c in ("t", "low", "high")]])
+    return dealt.mapInArrow(_steepest(span, least_points), schema)
 
 
 def glide_extremes(

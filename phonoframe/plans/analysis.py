@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.functions.scalar import let, lookup, mean
+from phonoframe import tables as K
+from phonoframe.functions.scalar import let, lookup, mean, raw_score
 from phonoframe.operators import posteriors as P
 from phonoframe.operators.calibrate import decide, match_calibration, phone_score
 from phonoframe.operators.contour import nuclear_tone
@@ -112,3 +113,35 @@ def _result(token, include_ungated: bool) -> list[Column]:
         F.lit("1.0").alias("schema_version"), alignment.alias("alignment"),
         F.array_compact(F.array(F.when(F.col("contrast").isNotNull(), contrast))).alias("contrasts"),
         prosody.alias("nuclear_tone"), feedback_items(include_ungated).alias("feedback")]
+
+
+def token_records(results: DataFrame) -> DataFrame:
+    """Rows of ``analyze`` as the fields that a token record takes from an analysis.
+
+    The score and the best confusion come from the reported posteriors; without a contrast they and the
+    verdict are null.
+    """
+    contrast = F.get("contrasts", F.lit(0))
+    raw = raw_score(contrast["posteriors"], contrast["target"])
+    judged = contrast.isNotNull() & (F.size(contrast["posteriors"]) > 0)
+    focus = F.get("alignment.phones", contrast["phone_index"])
+    fields = ["verdict", "confidence", "heard", "hearing_score", "spike_score", "vote_fraction"]
+    problems = [K.NO_SPEECH, K.CLIPPING, K.NO_SIGNAL]
+    return results.select(
+        "take", F.col("alignment.status").alias("alignment"), F.col("alignment.reason").alias("reason"),
+        F.coalesce(F.col("alignment.reason").isin(problems), F.lit(False)).alias("audio_problem"),
+        F.when(judged, raw["score"]).alias("score"), F.when(judged, raw["best"]).alias("best_confusion"),
+        *[F.when(judged, contrast[f]).alias(f) for f in fields], focus["gop"].alias("gop"),
+        F.col("alignment.confidence").alias("alignment_confidence"))
+
+
+def analyze_tokens(
+    work: DataFrame, posteriors: DataFrame, tracks: DataFrame, calib: DataFrame, names: dict[int, str], blank: int = 0,
+) -> DataFrame:
+    """Token records of new takes: ``work`` without its ``logits``, which ``posteriors`` holds by ``take``.
+
+    The tables may hold far more takes than ``work``; only theirs are packed and measured.
+    """
+    mine = tracks.join(work.select(F.col("take").alias("clip")).distinct(), "clip", "left_semi")
+    takes = work.join(posteriors.select("take", "logits"), "take")
+    return token_records(analyze(takes, mine, calib, names, blank, include_ungated=True))

@@ -1,5 +1,6 @@
 """Readers of corpus files. Every parser works on a DataFrame of text, so a reader is
-``spark.read`` plus one map-only projection."""
+``spark.read`` plus one map-only projection. TextGrid and duration files, whose lines only mean something in
+their order, are read by ``phonoframe.sources.files``."""
 
 from __future__ import annotations
 
@@ -11,11 +12,6 @@ from phonoframe.operators.labels import voting_experts
 
 
 
-def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value")
-
-
 def _stop(message: str, detail: Column, kind: str) -> Column:
     return F.raise_error(F.concat(F.lit(message + ": "), detail)).cast(kind)
 
@@ -24,7 +20,12 @@ def _stop(message: str, detail: Column, kind: str) -> Column:
 
 
 def _field(text: Column, key: str) -> Column:
-    return F.regexp_extract(text, rf'(?m)^\s*{key} =[ \t]*"?(.*?)"?[ \t\r]*$', 1)
+    """Value of the first line ``key = value``, without one quotation mark on each side; empty without such a line."""
+    at = F.locate(f"{key} =", text)
+    rest = F.btrim(F.substring_index(F.substr(text, at + len(key) + 2), "\n", 1), F.lit(" \t\r"))
+    opened = F.when(F.startswith(rest, F.lit('"')), F.substr(rest, F.lit(2))).otherwise(rest)
+    value = F.when(F.endswith(opened, F.lit('"')), F.substr(opened, F.lit(1), F.length(opened) - 1)).otherwise(opened)
+    return F.when(at > 0, value).otherwise("")
 
 
 def parse_textgrid_long(df: DataFrame) -> DataFrame:
@@ -54,10 +55,6 @@ def parse_textgrid_long(df: DataFrame) -> DataFrame:
         bound(xmin).alias("xmin"), bound(xmax).alias("xmax"), _field(F.col("part"), "text").alias("text"))
 
 
-def read_textgrid_long(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return parse_textgrid_long(_whole(spark, paths))
-
-
 def parse_textgrid_short(df: DataFrame) -> DataFrame:
     """(path, value) of short TextGrids -> (path, kind, tier, idx, xmin, xmax, text).
 
@@ -103,10 +100,6 @@ def parse_textgrid_short(df: DataFrame) -> DataFrame:
         bare(F.when(wide, line(base + 2)).otherwise(line(base + 1))).alias("text"))
 
 
-def read_textgrid_short(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return parse_textgrid_short(_whole(spark, paths))
-
-
 # -- score files -----------------------------------------------------------------------
 
 
@@ -155,24 +148,17 @@ def read_kv_text(spark: SparkSession, path: str, exact: bool) -> DataFrame:
     return parse_kv(spark.read.text(path), exact)
 
 
-def parse_durations(df: DataFrame, order: Column) -> DataFrame:
-    """``name.SIG<TAB>duration ...`` -> (block, passage, duration, ord)."""
+def parse_durations(df: DataFrame, order: Column, keep: list[str] | None = None) -> DataFrame:
+    """``name.SIG<TAB>duration ...`` -> (block, passage, duration, ord) behind the columns to ``keep``."""
     name = F.regexp_replace(F.substring_index(F.trim("value"), "\t", 1), r"\.SIG$", "")
     rest = F.substring_index(F.trim("value"), "\t", -1)
     lines = df.withColumn("_ord", order).filter(F.trim("value") != "")
     return lines.select(
-        F.substring(name, 1, 3).alias("block"), F.substring(name, 1, 5).alias("passage"),
+        *(keep or []), F.substring(name, 1, 3).alias("block"), F.substring(name, 1, 5).alias("passage"),
         F.get(F.split(F.trim(rest), r"\s+"), F.lit(0)).cast("double").alias("duration"),
         F.col("_ord").alias("ord"))
 
 
-def read_durations(spark: SparkSession, path: str) -> DataFrame:
-    """Line order inside the file is kept by position in the whole text."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
-    return parse_durations(lines, F.col("n"))
-
-
 def scan_media(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(key, path, length) of files below root; contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(

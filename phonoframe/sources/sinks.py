@@ -1,8 +1,8 @@
-"""Writers: record logs, label exports with a manifest, feature shards, reports."""
+"""Writers: record logs, label exports with a manifest, reports. Feature shards are in ``phonoframe.sources.shards``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe import schemas
@@ -31,17 +31,6 @@ def write_labels(df: DataFrame, manifest: dict[str, Column | str | int | float],
         1).write.mode("overwrite").text(f"{path}/manifest")
 
 
-def write_shards(df: DataFrame, path: str) -> None:
-    """Clips of :func:`phonoframe.operators.splits.shards`, one folder per shard."""
-    df.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
-
-
-def read_shards(spark: SparkSession, features: str, index: str) -> DataFrame:
-    """Index rows of shards that exist on both sides."""
-    stored = spark.read.parquet(features).select("shard").distinct()
-    return spark.read.parquet(index).join(stored, "shard", "left_semi")
-
-
 # -- reports ---------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from phonoframe.operators import intervals as I
 from phonoframe.operators import labels as L
 from phonoframe.operators import records as R
 from phonoframe.sources import corpora as C
+from phonoframe.sources import files as FI
 from phonoframe.sources import sinks
 from phonoframe.streaming import records as ST
 
@@ -51,7 +52,7 @@ item []:
 
 def test_long_textgrid_file(spark, tmp_path):
     (tmp_path / "a.TextGrid").write_text(LONG)
-    rows = C.read_textgrid_long(spark, str(tmp_path)).collect()
+    rows = FI.read_textgrid_long(spark, str(tmp_path)).collect()
     assert [(r.tier, r.idx, r.xmin, r.xmax, r.text) for r in rows] == [
         ("phones", 0, 0.0, 0.5, "sil"), ("phones", 1, 0.5, 0.7, "DH,Z,s"), ("phones", 2, 0.7, 1.25, "AH0"),
         ("IPA", 0, 0.0, 1.25, "")]
