@@ -496,19 +496,26 @@ def a11_drop_repeated_headers(spark, sf):
 # -- C: joins -------------------------------------------------------------------------------
 
 
-def utterances(spark, sf):
-    return V.li(spark, sf).groupBy("utterance_id").agg(
-        F.min("l1").alias("l1"), F.min("corpus").alias("corpus"), F.min("speaker").alias("speaker"))
+def utterance_rows(spark, sf):
+    return V.li(spark, sf).groupBy("utterance_id").agg(*[
+        F.min(c).alias(c) for c in ("l1", "corpus", "speaker", "native_split")])
 
 
-UTT_CTE = "utt AS (SELECT utterance_id, min(l1) AS l1, min(corpus) AS corpus, min(speaker) AS speaker FROM li GROUP BY utterance_id)"
+def speaker_roster(spark, sf):
+    return utterance_rows(spark, sf).filter("speaker IS NOT NULL AND l1 IS NOT NULL").select("speaker", "l1").distinct()
 
 
-@query(f"""WITH {V.LI_INDEXED_CTE}, {UTT_CTE} SELECT utterance_id, token_index, li.label, utt.l1, utt.corpus, utt.speaker
-  FROM li JOIN utt USING (utterance_id) WHERE phone = 'ð'""")
+@query(f"""WITH {V.LI_INDEXED_SPLIT_CTE}, ph AS (SELECT a.utterance_id, a.token_index, string_agg(b.token_index || ':' || b.phone ||
+    CASE WHEN b.token_index = a.token_index THEN '*z+d+v' ELSE '' END, ' ' ORDER BY b.token_index) AS phones
+    FROM lis a JOIN lis b ON b.utterance_id = a.utterance_id WHERE a.phone = 'ð' GROUP BY ALL)
+  SELECT utterance_id, token_index, label, l1, corpus, speaker, split, phones FROM lis JOIN ph USING (utterance_id, token_index)""")
 def c1_collect_tokens(spark, sf):
     tokens = V.li_indexed(spark, sf).select("utterance_id", "token_index", "phone", "label")
-    return R.collect_tokens(utterances(spark, sf), tokens, "ð").drop("phone")
+    found = R.collect_tokens(utterance_rows(spark, sf), tokens, "ð", V.CONFUSIONS, speaker_roster(spark, sf))
+    text = F.transform("phones", lambda p: F.concat(
+        p["index"].cast("string"), F.lit(":"), p["ph"], F.when(p["focus"], F.concat(
+            F.lit("*"), F.array_join(p["confusions"], "+"))).otherwise("")))
+    return found.select("utterance_id", "token_index", "label", "l1", "corpus", "speaker", "split", F.array_join(text, " ").alias("phones"))
 
 
 @query(f"""WITH {V.LI_INDEXED_CTE} SELECT utterance_id, string_agg(token_index || ':' || phone || CASE WHEN phone = 'ð'
@@ -521,8 +528,8 @@ def b17_expected_phones(spark, sf):
     return packed.select("utterance_id", F.array_join(text, " ").alias("phones"))
 
 
-@query(f"""WITH {V.LI_INDEXED_CTE}, k AS MATERIALIZED (SELECT utterance_id, token_index, alignment FROM li)
-   SELECT utterance_id, token_index FROM k ANTI JOIN (SELECT utterance_id, token_index FROM k WHERE alignment = 'ok') USING (utterance_id, token_index)""")
+@query(f"""WITH {V.LI_INDEXED_CTE} SELECT utterance_id, token_index FROM li GROUP BY utterance_id, token_index
+   HAVING count(*) FILTER (alignment = 'ok') = 0""")
 def c2_pending(spark, sf):
     rows = V.li_indexed(spark, sf).select("utterance_id", "token_index", "alignment")
     return R.pending(rows, rows.filter("alignment = 'ok'"), ["utterance_id", "token_index"]).drop("alignment")
@@ -537,10 +544,9 @@ def c3_lookup(spark, sf):
     return counted(rows, "s_suppkey", "n_name")
 
 
-@query(f"""WITH {V.LI_INDEXED_SPLIT_CTE}, k AS MATERIALIZED (SELECT utterance_id, token_index, phone, score, split, label FROM lis),
-  top AS MATERIALIZED (SELECT utterance_id, token_index FROM k WHERE split = 'train'
-    AND label = 'correct' AND score IS NOT NULL ORDER BY score DESC, utterance_id, token_index LIMIT 1000)
-  SELECT utterance_id, token_index, phone, score FROM k SEMI JOIN top USING (utterance_id, token_index)""")
+@query(f"""WITH {V.LI_INDEXED_SPLIT_CTE} SELECT utterance_id, token_index, phone, score FROM lis
+  WHERE split = 'train' AND label = 'correct' AND score IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY score DESC, utterance_id, token_index) <= 1000""")
 def c8_restrict(spark, sf):
     rows = V.li_split(spark, sf, indexed=True)
     keys = SP.hard_negatives(rows, 1000)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from phonoframe import tables as K
 from phonoframe.bindings import views as V
 from phonoframe.bindings.contours import TONE_CTE, semis
+from phonoframe.bindings.labels import speaker_roster, utterance_rows
 from phonoframe.bindings.records import (
-    EXPORT_CTE, GRID_CTE, MIRROR_RATES, POS, REAL, VERDICT, exported, newton_cte, rated, sig, with_verdicts,
+    EXPORT_CTE, GRID_CTE, MIRROR_RATES, OK, POS, REAL, VERDICT, exported, newton_cte, rated, sig, with_verdicts,
 )
 from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
 from phonoframe.operators.storage import scratch, settle
-from phonoframe.plans import analysis, exam, feedback
+from phonoframe.plans import analysis, exam, feedback, report
 from phonoframe.sources import corpora, sinks
 from phonoframe.streaming import records as L
 
@@ -197,12 +198,13 @@ def mirror_sql(threshold: str) -> str:
             f"count(*) FILTER (heard IS NOT NULL AND {REAL} IS NOT NULL) AS rw, count(*) FILTER (heard = {REAL}) AS rc")
 
 
-@query(f"""WITH RECURSIVE {BAKEOFF_CTE}, cal AS MATERIALIZED (SELECT * FROM lis WHERE split = 'cal'),
+HEARING_CTE = f"""cal AS MATERIALIZED (SELECT * FROM lis WHERE split = 'cal'),
   {newton_cte(f"SELECT 'all' AS g, CAST(hearing_score AS DOUBLE) AS x, heard = {REAL} AS y FROM cal WHERE heard IS NOT NULL AND {REAL} IS NOT NULL", "h")},
-  {newton_cte(f"SELECT 'all' AS g, CAST(gop AS DOUBLE) AS x, NOT {POS} AS y FROM cal WHERE score IS NOT NULL", "g")},
   hsweep AS (SELECT *, {MIRROR_RATES} FROM (SELECT threshold, {mirror_sql("threshold")} FROM cal, grid100, hfit h GROUP BY threshold)),
   hpick AS (SELECT threshold, CASE WHEN accuracy >= 0.9e0 THEN 'ok' ELSE '{K.BAR_NOT_MET}' END AS cal_status FROM hsweep
-    ORDER BY accuracy >= 0.9e0 DESC, CASE WHEN accuracy >= 0.9e0 THEN coverage ELSE accuracy END DESC, threshold DESC LIMIT 1),
+    ORDER BY accuracy >= 0.9e0 DESC, CASE WHEN accuracy >= 0.9e0 THEN coverage ELSE accuracy END DESC, threshold DESC LIMIT 1)"""
+K8_SQL = f"""WITH RECURSIVE {BAKEOFF_CTE}, {HEARING_CTE},
+  {newton_cte(f"SELECT 'all' AS g, CAST(gop AS DOUBLE) AS x, NOT {POS} AS y FROM cal WHERE score IS NOT NULL", "g")},
   htest AS (SELECT *, {MIRROR_RATES} FROM (SELECT {mirror_sql("(SELECT threshold FROM hpick)")} FROM lis, hfit h WHERE split = 'test')),
   best AS (SELECT * FROM bake ORDER BY status = 'ok' DESC, CASE WHEN status = 'ok' THEN f1 ELSE coalesce(auc, -1) END DESC,
     CASE WHEN status = 'ok' THEN recall ELSE 0 END DESC, list_position(['mean', 'spike', 'vote', 'gop'], variant) LIMIT 1)
@@ -212,11 +214,102 @@ def mirror_sql(threshold: str) -> str:
     CASE WHEN cal_status <> 'ok' THEN cal_status WHEN accuracy >= {K.ACCURACY_BAR} AND coverage >= {K.COVERAGE_BAR} THEN 'ok'
       ELSE 'mirror-bar-not-met' END AS hearing_status, accuracy, coverage, round(gfit.a, 4) AS gop_a, round(gfit.b, 4) AS gop_b,
     (SELECT count(*) FROM lis WHERE split = 'train') AS train, (SELECT count(*) FROM cal) AS cal,
-    (SELECT count(*) FROM lis WHERE split = 'test') AS test FROM best, hfit, hpick, htest, gfit""")
-def k8_run_exam(spark, sf):
-    frames = exam.run_exam(V.li_split(spark, sf, indexed=True), V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
+    (SELECT count(*) FROM lis WHERE split = 'test') AS test FROM best, hfit, hpick, htest, gfit"""
+
+
+def examined(spark, sf):
+    return exam.run_exam(V.li_split(spark, sf, indexed=True), V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
+
+
+def shown(summary):
     rounded = {c: F.round(c, 4) for c in ("platt_a", "platt_b", "hearing_a", "hearing_b", "gop_a", "gop_b")}
-    return frames["summary"].drop("confusions").withColumns(rounded)
+    return summary.drop("confusions").withColumns(rounded)
+
+
+@query(K8_SQL)
+def k8_run_exam(spark, sf):
+    return shown(examined(spark, sf)["summary"])
+
+
+def audit_sql(group: str) -> str:
+    inner = rated(f"SELECT '{group}' AS grouping, {group} AS name, v.variant, count(*) AS tokens, count(*) FILTER ({POS}) AS positives, "
+                  f"count(v.value) AS verdicts, {point_sql('f.threshold')} FROM lw v JOIN bake f ON f.variant = v.variant "
+                  "WHERE v.split = 'test' GROUP BY ALL")
+    return f"SELECT *, {OK} AS ok FROM ({inner})"
+
+
+@query(f"""WITH RECURSIVE {BAKEOFF_CTE}, lw AS (SELECT *, unnest(['mean', 'spike', 'vote', 'gop']) AS variant,
+      unnest([CAST(score AS DOUBLE), CAST(spike_score AS DOUBLE), CAST(vote_fraction AS DOUBLE), CAST(gop AS DOUBLE)]) AS value FROM lis)
+  {audit_sql('l1')} UNION ALL {audit_sql('corpus')}""")
+def k8_exam_audits(spark, sf):
+    frames = examined(spark, sf)
+    parts = [frames[f"audit_{g}"].withColumns({"grouping": F.lit(g), "name": F.col(g)}).drop(g) for g in ("l1", "corpus")]
+    return parts[0].unionByName(parts[1]).drop("refused", "audio_problem_refused")
+
+
+@query(f"""WITH RECURSIVE {BAKEOFF_CTE}, {HEARING_CTE},
+  m AS (SELECT *, {MIRROR_RATES} FROM (SELECT l1, {mirror_sql("(SELECT threshold FROM hpick)")} FROM lis, hfit h WHERE split = 'test' GROUP BY l1)),
+  c AS (SELECT {REAL} AS realized, heard FROM lis, hfit h WHERE split = 'test' AND heard IS NOT NULL AND {REAL} IS NOT NULL
+    AND (1.0e0 / (1.0e0 + exp(-(h.a * hearing_score + h.b)))) >= (SELECT threshold FROM hpick))
+  SELECT l1 AS name, NULL AS heard, confident AS n, accuracy, coverage, CASE WHEN confident >= {K.GROUP_MIN} THEN accuracy >= {K.ACCURACY_BAR} AND coverage >= {K.COVERAGE_BAR}
+    ELSE confident = 0 OR accuracy >= {K.GROUP_FLOOR} END AS ok FROM m
+  UNION ALL SELECT realized, heard, count(*), NULL, NULL, NULL FROM c GROUP BY ALL""")
+def k8_exam_mirror(spark, sf):
+    """The mirror's audit by first language, and what was heard for what was said."""
+    frames = examined(spark, sf)
+    none = F.lit(None)
+    audit = frames["hearing_audit"].select(
+        F.col("l1").alias("name"), none.cast("string").alias("heard"), F.col("confident").alias("n"), "accuracy", "coverage", "ok")
+    table = frames["hearing_confusion"].drop("is_target").unpivot("realized", None, "heard", "n").filter("n > 0")
+    return audit.unionByName(table.select(
+        F.col("realized").alias("name"), "heard", "n", *[none.cast(t).alias(c) for c, t in (
+            ("accuracy", "double"), ("coverage", "double"), ("ok", "boolean"))]))
+
+
+def evaluated(spark, sf, parts: list[str]):
+    """The exam from utterances, in one run for each part of the tokens; the records of a part are kept by the next."""
+    path = scratch(spark, "records")
+    tokens = V.li_indexed(spark, sf).select("utterance_id", "token_index", "phone", "l_orderkey")
+    engine = settle(with_verdicts(V.li_split(spark, sf, indexed=True)).select(*[f.name for f in schemas.TOKEN_RECORD]).drop("split"))
+    analyze = lambda work: engine.join(work.select(*exam.KEYS, "split"), exam.KEYS)
+    for part in parts:
+        frames = exam.evaluate(
+            utterance_rows(spark, sf), tokens.filter(part).drop("l_orderkey"), speaker_roster(spark, sf), analyze, path,
+            V.TARGET, V.CONFUSIONS, "m1", "reports/run.json")
+    return frames
+
+
+@query(K8_SQL.replace("FROM lis", "FROM lx").replace(
+    f"WITH RECURSIVE {V.LI_SPLIT_CTE}", f"WITH RECURSIVE {V.LI_SPLIT_CTE}, lx AS (SELECT * FROM lis WHERE phone = 'ð' AND split <> 'train')"))
+def k8_evaluate(spark, sf):
+    """Two runs; the second one has the first half of its tokens recorded already."""
+    return shown(evaluated(spark, sf, ["l_orderkey % 2 = 0", "true"])["summary"])
+
+
+REPORT_SQL = f"""{V.LI_SPLIT_CTE}, lx AS (SELECT * FROM lis WHERE phone = 'ð' AND split <> 'train'),
+  al AS (SELECT alignment, count(*) AS n, CASE WHEN alignment = 'ok' THEN round(avg(alignment_confidence), 4) END AS c FROM lx GROUP BY alignment)
+  SELECT 'Alignment' AS section, '| ' || alignment || ' | ' || n || ' | ' || coalesce(CAST(c AS VARCHAR), '-') || ' |' AS line FROM al
+  UNION ALL SELECT 'Exam', '- tokens: 0 train / ' || count(*) FILTER (split = 'cal') || ' cal / ' || count(*) FILTER (split = 'test') || ' held-out' FROM lx
+  UNION ALL SELECT 'lines of ' || s, CAST(n AS VARCHAR) FROM (SELECT unnest(['Exam', 'Mirror', 'Mirror by first language', 'Judge variants',
+    'Judge operating point', 'Judge on cal', 'Judge held-out', 'Judge by first language', 'Judge by corpus', 'Alignment', 'Latency']) AS s,
+    unnest([6, 7, 3 + (SELECT count(DISTINCT l1) FROM lx WHERE split = 'test'), 7, 4, 3, 5, 3 + (SELECT count(DISTINCT l1) FROM lx WHERE split = 'test'),
+      3 + (SELECT count(DISTINCT corpus) FROM lx WHERE split = 'test'), 3 + (SELECT count(*) FROM al), 3]) AS n)"""
+
+
+@query("WITH " + REPORT_SQL)
+def a12_exam_report(spark, sf):
+    """The whole report, written and read: its alignment rows, its token counts and the lines of its sections."""
+    frames = evaluated(spark, sf, ["true"])
+    sinks.write_report(frames["summary"], report.report_lines(frames), path := scratch(spark, "report"))
+    text = spark.read.text(f"{path}/report", wholetext=True)
+    section = F.explode(F.filter(F.split("value", r"(?m)^## "), lambda s: s != ""))
+    parts = text.select(section.alias("s")).select(
+        F.substring_index("s", "\n", 1).alias("section"), F.filter(F.split("s", "\n"), lambda x: x != "").alias("lines"))
+    rows = parts.select("section", F.posexplode("lines").alias("k", "line"))
+    counts = parts.select(F.concat(F.lit("lines of "), "section").alias("section"), F.size("lines").cast("string").alias("line")).filter(
+        ~F.col("section").rlike("to listen to|Realised"))
+    return rows.filter("(section = 'Alignment' AND k > 2) OR (section = 'Exam' AND line LIKE '- tokens%')").select(
+        "section", "line").unionByName(counts)
 
 
 NAMES = {k: f"p{k}" for k in range(1, 8)}

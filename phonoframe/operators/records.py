@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from phonoframe import tables as K
 from phonoframe.functions.scalar import col
+from phonoframe.operators.splits import assign_split
 
 
-def collect_tokens(utts: DataFrame, tokens: DataFrame, target: str) -> DataFrame:
-    """Every target token with the columns of its utterance.
+def collect_tokens(
+    utts: DataFrame, tokens: DataFrame, target: str, confusions: list[str], roster: DataFrame, seed: int = 42,
+) -> DataFrame:
+    """Every target token with the columns of its utterance, its ``split`` and the ``phones`` of its exercise.
 
-    ``tokens`` are filtered before the join, so only target rows are shuffled and an
-    utterance without the target never appears.
+    ``tokens`` (utterance_id, token_index, phone) are the phones of all ``utts``; only utterances that hold the target
+    are packed and split. The phones of an exercise have the focus, and its confusions, on the token's own slot.
+    ``roster`` is that of ``assign_split``.
     """
-    return tokens.filter(F.col("phone") == target).join(utts, "utterance_id")
+    chosen = tokens.filter(F.col("phone") == target)
+    holders = chosen.select("utterance_id").distinct()
+    phones = expected_phones(tokens.join(holders, "utterance_id", "left_semi"), target, confusions)
+    placed = assign_split(utts.join(holders, "utterance_id", "left_semi"), roster, seed)
+    return chosen.join(placed, "utterance_id").join(phones, "utterance_id").withColumn(
+        "phones", focus_on("phones", "token_index"))
 
 
 def expected_phones(tokens: DataFrame, target: str, confusions: list[str]) -> DataFrame:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonoframe import schemas
 from phonoframe.operators import calibrate as C
 from phonoframe.operators import metrics as M
+from phonoframe.operators import records as R
+from phonoframe.operators import splits as S
 from phonoframe.operators.storage import settle
+from phonoframe.sources import corpora, sinks
 
 VARIANTS = ["mean", "spike", "vote", "gop"]
 NO_SCORES = "no-scores"
+KEYS = ["utterance_id", "token_index"]
 
 
 def _by_variant(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -90,8 +98,8 @@ def run_exam(
 ) -> dict[str, DataFrame]:
     """Exam of token records that carry ``split``; an empty cal or test split is an error.
 
-    Returns frames: variants, best, hearing, audit_l1 and audit_corpus (of every variant),
-    auc_corpus, hearing_audit, hearing_confusion, alignment, latency, summary and calibration.
+    Returns frames: variants, best, hearing, metrics (of every variant on cal and test), audit_l1 and
+    audit_corpus (of every variant), auc_corpus, hearing_audit, hearing_confusion, alignment, latency, summary and calibration.
     """
     require_splits(records)
     variants = settle(variant_bakeoff(records))
@@ -106,6 +114,8 @@ def run_exam(
     frames = {
         f"audit_{g}": M.score_metrics(long, "a", "b", "threshold", "value", ["variant", g]).withColumn("ok", M.group_ok())
         for g in ("l1", "corpus")}
+    sides = M.variant_rows(records.filter(F.col("split").isin("cal", "test"))).join(F.broadcast(points), "variant")
+    frames["metrics"] = M.score_metrics(sides, "a", "b", "threshold", "value", ["variant", "split"])
     chosen = long.join(F.broadcast(best.select("variant")), "variant", "left_semi")
     frames["auc_corpus"] = M.auc(chosen.withColumn("_p", _probability("value", "a", "b")), "_p", M.is_positive(), ["corpus"])
     mirrored = _one_row(test, hearing.select("hearing_a", "hearing_b", "hearing_threshold"))
@@ -133,3 +143,54 @@ def run_exam(
 
 def _probability(value: str, a: str, b: str) -> Column:
     return F.when(F.col(value).isNotNull(), 1.0 / (1.0 + F.exp(-(F.col(a) * F.col(value) + F.col(b)))))
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of earlier runs; none where nothing was written yet."""
+    try:
+        return corpora.read_records(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.TOKEN_RECORD)
+
+
+def evaluate(
+    utts: DataFrame, tokens: DataFrame, roster: DataFrame, analyze: Callable[[DataFrame], DataFrame], path: str,
+    target: str, confusions: list[str], model_id: str, generated_by: str, seed: int = 42,
+    limit: int | None = None, include_train: bool = False,
+) -> dict[str, DataFrame]:
+    """From utterances to the exam: collect, split, leave out what is recorded, analyse, record, examine, sample.
+
+    ``analyze`` takes collected tokens and returns token records; it only sees tokens without a record in ``path``,
+    where its records are appended. Train tokens are the scorer's own material and stay out unless asked for;
+    ``limit`` keeps so many utterances. Returns the frames of ``run_exam`` over all records in ``path`` and with
+    them ``records``, ``flagged_sample`` and ``hearing_sample``.
+    """
+    spark = utts.sparkSession
+    work = R.collect_tokens(utts, tokens, target, confusions, roster, seed)
+    if not include_train:
+        work = work.filter("split <> 'train'")
+    if limit is not None:
+        work = S.limit_utterances(work, limit)
+    new = R.pending(work, stored_records(spark, path), KEYS)
+    sinks.append_records(analyze(new).select(*[f.name for f in schemas.TOKEN_RECORD]), path)
+    records = corpora.read_records(spark, path)
+    frames = run_exam(records, target, confusions, model_id, generated_by)
+    return {"records": records, **frames, **review_samples(records, frames, target, seed)}
+
+
+def review_samples(records: DataFrame, frames: dict[str, DataFrame], target: str, seed: int = 42) -> dict[str, DataFrame]:
+    """What people should listen to: flagged tokens and confident reports of the held-out records.
+
+    The operating points are two rows of the exam. A scorer without one has no sample.
+    """
+    test = records.filter(F.col("split") == "test")
+    best, hearing = frames["best"].first(), frames["hearing"].first()
+    out = {}
+    if best is not None and best.threshold is not None:
+        out["flagged_sample"] = S.flagged_sample(test, best.a, best.b, best.threshold, seed, C.VARIANTS[best.variant])
+    if hearing is not None and hearing.hearing_threshold is not None:
+        out["hearing_sample"] = S.hearing_sample(
+            test, target, hearing.hearing_a, hearing.hearing_b, hearing.hearing_threshold, seed)
+    return out

@@ -54,6 +54,28 @@ def markdown_rows(df: DataFrame, columns: list[str], section: str, order: int, r
     return top.unionByName(body)
 
 
+def _listed(df: DataFrame, section: str, line: Column, rank: Column) -> DataFrame:
+    title = df.sparkSession.range(1).select(
+        F.lit(section).alias("section"), F.lit(0).alias("order"), F.lit("").alias("rank"), F.lit(f"## {section}").alias("line"))
+    return title.unionByName(df.select(
+        F.lit(section).alias("section"), F.lit(0).alias("order"), rank.cast("string").alias("rank"), line.alias("line")))
+
+
+def fact_rows(df: DataFrame, section: str, facts: list[tuple[str, Column]]) -> DataFrame:
+    """Report lines of a one-row frame: a title and a named value on each line."""
+    shown = F.array(*[
+        F.struct(F.lit(f"{k:03d}").alias("rank"), F.concat(F.lit(f"- {name}: "), F.coalesce(v.cast("string"), F.lit("-"))).alias("line"))
+        for k, (name, v) in enumerate(facts)])
+    lines = df.select(F.explode(shown).alias("f")).select("f.*")
+    return _listed(lines, section, F.col("line"), F.col("rank"))
+
+
+def item_rows(df: DataFrame, section: str, marks: list[Column], text: Column) -> DataFrame:
+    """Report lines of a short list: a title, then marked items in the order of mark and text."""
+    mark = F.concat_ws(" ", *marks)
+    return _listed(df, section, F.concat(F.lit("- ["), mark, F.lit("] "), text), F.concat(mark, text))
+
+
 def write_report(summary: DataFrame, lines: DataFrame, path: str) -> None:
     """Nested summary as JSON and the report tables as markdown text."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
