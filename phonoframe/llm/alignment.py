@@ -151,9 +151,10 @@ def align_slice(tokens: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
     a_ids, b_ids = (ids.filter(pa.array(whole)) for ids in (a_ids, b_ids))
     a, a_row, a_end = _ends(a_ids, tokens.a_bytes)
     b, b_row, b_end = _ends(b_ids, tokens.b_bytes)
-    left = pa.table({"row": a_row, "end": a_end, "a_at": np.arange(len(a))})
-    right = pa.table({"row": b_row, "end": b_end, "b_at": np.arange(len(b))})
-    shared = left.join(right, ["row", "end"], join_type="inner", use_threads=False)
+    # the key of an end: its text in the upper, its byte in the lower half
+    left = pa.table({"end": pc.add(pc.shift_left(a_row, 32), a_end), "a_at": np.arange(len(a))})
+    right = pa.table({"end": pc.add(pc.shift_left(b_row, 32), b_end), "b_at": np.arange(len(b))})
+    shared = left.join(right, "end", join_type="inner", use_threads=False)
 
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     last_a[shared["a_at"].to_numpy()] = True
@@ -162,21 +163,11 @@ def align_slice(tokens: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
     group_row = at[a_row.to_numpy()[last_a]]
     n_group = len(group_row)
     a_size, b_size = np.bincount(a_group, minlength=n_group), np.bincount(b_group, minlength=n_group)
-
-    first = pa.table({"group": a_group, "a": a}).group_by(["group", "a"], use_threads=False).aggregate([([], "count_all")])
-    second = pa.table({"group": b_group, "b": b}).group_by(["group", "b"], use_threads=False).aggregate([([], "count_all")])
-    met = first.rename_columns(["group", "a", "n_a"]).join(
-        second.rename_columns(["group", "b", "n_b"]), "group", join_type="inner", use_threads=False)
-    pair = pc.bit_wise_or(pc.shift_left(pc.cast(met["a"], pa.int64()), 32), pc.cast(met["b"], pa.int64()))
-    links = pa.table({
-        "row": group_row[met["group"].to_numpy()], "pair": pair, "links": pc.multiply(met["n_a"], met["n_b"])}
-    ).group_by(["row", "pair"], use_threads=False).aggregate([("links", "sum")]).sort_by(
-        [("row", "ascending"), ("pair", "ascending")])
-    link_row, link = links["row"].to_numpy(), links["links_sum"].combine_chunks()
+    link_row, pair, link = _links(rows, group_row, (a.to_numpy(), a_group, a_size), (b.to_numpy(), b_group, b_size))
     n_pairs = np.bincount(link_row, minlength=rows)
-    listed = pa.StructArray.from_arrays([links["pair"].combine_chunks(), link], ["pair", "links"])
+    listed = pa.StructArray.from_arrays([pa.array(pair), pa.array(link)], ["pair", "links"])
     sums = np.zeros(rows, np.int64)
-    np.add.at(sums, link_row, link.to_numpy())
+    np.add.at(sums, link_row, link)
 
     def per_row(parents: np.ndarray) -> np.ndarray:
         return np.bincount(parents, minlength=rows)
@@ -188,6 +179,39 @@ def align_slice(tokens: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
         "links": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_pairs)).astype(np.int32)), listed)}
 
 
+def _links(rows: int, group_row: np.ndarray, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pair, links) of every pair of ids that a row links, in that order.
+
+    Groups of one token on each side are pairs as they are; the tokens of the others are counted by group and id,
+    and the counts joined on the group.
+    """
+    (a, a_group, a_size), (b, b_group, b_size) = left, right
+    single = (a_size == 1) & (b_size == 1)
+    counted = []
+    for ids, group, name in ((a, a_group, "n_a"), (b, b_group, "n_b")):
+        rest = ~single[group]
+        key = (group[rest].astype(np.int64) << 32) | ids[rest]
+        seen = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+        at = seen["key"].to_numpy()
+        counted.append(pa.table({"group": at >> 32, name[-1]: at & 0xFFFFFFFF, name: seen["count_all"]}))
+    met = counted[0].join(counted[1], "group", join_type="inner", use_threads=False)
+    row = np.concatenate([group_row[single], group_row[met["group"].to_numpy()]])
+    first = np.concatenate([a[single[a_group]], met["a"].to_numpy()]).astype(np.int64)
+    second = np.concatenate([b[single[b_group]], met["b"].to_numpy()]).astype(np.int64)
+    links = np.concatenate([np.ones(int(single.sum()), np.int64), pc.multiply(met["n_a"], met["n_b"]).to_numpy()])
+    wide = int(second.max()) + 1 if len(second) else 1
+    span = (int(first.max()) + 1) * wide if len(first) else 1
+    if span.bit_length() + rows.bit_length() > 62:
+        raise ValueError("a slice holds too many texts for these vocabularies")
+    summed = pa.table({"key": row * span + first * wide + second, "links": links}).group_by("key", use_threads=False).aggregate(
+        [("links", "sum")])
+    key, total = summed["key"].to_numpy(), summed["links_sum"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, total = key[order], total[order]
+    pair = key % span
+    return key // span, (pair // wide << 32) | pair % wide, total
+
+
 def _group_text(tokens: Tokenizers, rows: int, at: np.ndarray, left: tuple, right: tuple) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` for every row: ids taken with what follows them, in the order of their groups."""
     (a, a_row, a_group, a_size, last_a), (b, b_row, b_group, b_size, last_b) = left, right
