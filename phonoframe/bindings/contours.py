@@ -221,7 +221,13 @@ def f19_tone_slice(spark, sf):
     return rows.select("path", "unit", "first_sample", "last_sample", "skip_reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.CONT_CTE}, b AS (SELECT clip, list(coalesce(hz, 5.0e0) ORDER BY i) AS e, count(*) AS n,
+    list(struct_pack(passage := 'x' || i, duration := 0.12e0 + event_id % 9 / 50.0e0) ORDER BY i) FILTER (i % 9 = 0) AS p FROM cont GROUP BY clip),
+  w AS (SELECT clip, e, n, p, 1 AS k, 0.0e0 AS cursor FROM b
+    UNION ALL SELECT clip, e, n, p, k + 1, CASE WHEN high > low THEN (low + list_position(e[low + 1:high + 1], list_min(e[low + 1:high + 1])) - 1) * 0.02e0 ELSE least(prior, n * 0.02e0) END
+    FROM (SELECT *, cursor + p[k].duration AS prior, CAST(greatest(trunc((cursor + 0.5e0) / 0.02e0), trunc((cursor + p[k].duration - 3.0e0) / 0.02e0)) AS BIGINT) AS low,
+      CAST(least(n - 1, trunc((cursor + p[k].duration + 3.0e0) / 0.02e0)) AS BIGINT) AS high FROM w WHERE k <= len(p)) WHERE prior <= n * 0.02e0 + 2.0e0)
+  SELECT clip, p[k].passage AS passage, round(cursor, 4) AS offset FROM w WHERE k <= len(p) AND cursor + p[k].duration <= n * 0.02e0 + 2.0e0""")
 def f20_refine_offsets(spark, sf):
     frames = V.cont(spark, sf)
     blocks = frames.groupBy("clip").agg(
@@ -471,6 +477,27 @@ def d23_grid2(spark, sf):
     return rows.select("lo", "hi", "answered", F.round("accuracy", 6).alias("accuracy"), F.round("coverage", 6).alias("coverage"))
 
 
+@query(f"""WITH {LAB_CTE}, r AS (SELECT lo, hi, expected_tone, CASE WHEN slope <= -lo THEN 'fall' WHEN slope >= hi THEN 'rise' END AS p
+    FROM ls, {axis_sql('lo', list(range(2, 21)))}, {axis_sql('hi', list(range(2, 21)))} WHERE expected_tone IN ('fall', 'rise') AND slope IS NOT NULL)
+  SELECT lo, hi, count(p) AS answered, round(count(*) FILTER (p = expected_tone) * 1.0e0 / count(p), 6) AS accuracy, round(count(p) * 1.0e0 / count(*), 6) AS coverage
+  FROM r GROUP BY lo, hi HAVING count(p) > 0 ORDER BY count(*) FILTER (p = expected_tone) * 1.0e0 / count(p) DESC, lo, hi LIMIT 1""")
+def d23_grid2_best(spark, sf):
+    rows = T.grid2_best(labelled_slopes(spark, sf)[1], "slope", list(range(2, 21)), list(range(2, 21)))
+    return rows.select("lo", "hi", "answered", F.round("accuracy", 6).alias("accuracy"), F.round("coverage", 6).alias("coverage"))
+
+
+RULED = """CASE WHEN slope IS NULL THEN 'none' WHEN first_slope <= -half AND second_slope >= half THEN 'fall_rise' WHEN slope >= rise THEN 'rise'
+     WHEN slope <= -fall THEN 'fall' ELSE 'level' END"""
+
+
+@query(f"""WITH {LAB_CTE}, bt AS (SELECT fall, rise, half FROM ls, {axis_sql('fall', T.FALLS)}, {axis_sql('rise', T.RISES)}, {axis_sql('half', T.HALVES)}
+    WHERE expected_tone IN ('fall', 'rise') GROUP BY ALL ORDER BY avg(CASE WHEN {RULED} = expected_tone THEN 1 ELSE 0 END) DESC, fall DESC, rise DESC, half DESC LIMIT 1)
+  SELECT clip, expected_tone, {RULED} AS detected FROM ls, bt WHERE expected_tone IN ('fall', 'rise') AND {RULED} <> expected_tone""")
+def d24_grid3_misses(spark, sf):
+    rows = labelled_slopes(spark, sf)[1].filter(F.col("expected_tone").isin("fall", "rise"))
+    return T.grid3_misses(rows).select("clip", "expected_tone", "detected")
+
+
 @query(f"""WITH {LAB_CTE}, r AS (SELECT fall, rise, half, CASE WHEN slope IS NULL THEN 0 WHEN CASE WHEN first_slope <= -half AND second_slope >= half THEN 'fall_rise' WHEN slope >= rise THEN 'rise'
      WHEN slope <= -fall THEN 'fall' ELSE 'level' END = expected_tone THEN 1 ELSE 0 END AS ok
     FROM ls, {axis_sql('fall', T.FALLS)}, {axis_sql('rise', T.RISES)}, {axis_sql('half', T.HALVES)} WHERE expected_tone IN ('fall', 'rise'))

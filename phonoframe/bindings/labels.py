@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow.fs
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from phonoframe import schemas
@@ -176,6 +178,44 @@ def b5_inverse_lookup(spark, sf):
     return L.phone_of_token(rows, tokens)
 
 
+TABLE_VOCAB_CTE = """tab AS (SELECT 'c' || (l_partkey % 200) AS canonical, min({'k': l_orderkey * 10 + l_linenumber, 't': 't' || (l_suppkey % 90)}).t AS token,
+    min(l_orderkey) AS position FROM lineitem GROUP BY 1),
+  voc AS (SELECT 't' || (p_partkey % 97) AS token, min(p_partkey) + 10 AS token_id FROM part WHERE p_partkey % 97 % 11 <> 4 GROUP BY 1
+    UNION ALL SELECT '[PAD]', max(p_partkey) FROM part),
+  req AS (SELECT DISTINCT 'c' || (s_suppkey % 230) AS canonical FROM supplier UNION SELECT DISTINCT 'c' || (195 + c_custkey % 12) FROM customer)"""
+
+
+def table_vocabulary(spark, sf):
+    """Phones and tokens of lineitem, a vocabulary of part, required phones of supplier and customer."""
+    spelled = lambda mark, c, n: F.concat(F.lit(mark), (F.col(c) % n).cast("string"))
+    rows = V.table(spark, sf, "lineitem").groupBy(spelled("c", "l_partkey", 200).alias("canonical")).agg(
+        F.min(F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), spelled("t", "l_suppkey", 90).alias("t")))["t"].alias("token"),
+        F.min("l_orderkey").alias("position"))
+    parts = V.table(spark, sf, "part")
+    tokens = parts.filter("p_partkey % 97 % 11 <> 4").groupBy(spelled("t", "p_partkey", 97).alias("token")).agg(
+        (F.min("p_partkey") + 10).alias("token_id")).unionByName(
+        parts.agg(F.max("p_partkey").alias("token_id")).select(F.lit("[PAD]").alias("token"), "token_id"))
+    required = V.table(spark, sf, "supplier").select(spelled("c", "s_suppkey", 230).alias("canonical")).union(
+        V.table(spark, sf, "customer").select(F.concat(F.lit("c"), (195 + F.col("c_custkey") % 12).cast("string")))).distinct()
+    return rows, tokens, required
+
+
+@query(f"""WITH {TABLE_VOCAB_CTE}
+  SELECT 'missing phone' AS kind, canonical AS item, CAST(NULL AS BIGINT) AS token_id FROM req WHERE canonical NOT IN (SELECT canonical FROM tab)
+  UNION ALL SELECT DISTINCT 'absent token', token, NULL FROM tab WHERE token NOT IN (SELECT token FROM voc)
+  UNION ALL SELECT 'shared token', token, NULL FROM req JOIN tab USING (canonical) GROUP BY token HAVING count(*) > 1
+  UNION ALL SELECT 'blank', '', token_id FROM voc WHERE token = '[PAD]'""")
+def b5_bind_vocab_tables(spark, sf):
+    return L.bind_vocab(*table_vocabulary(spark, sf))
+
+
+@query(f"""WITH {TABLE_VOCAB_CTE}, f AS (SELECT token, canonical FROM tab QUALIFY row_number() OVER (PARTITION BY token ORDER BY position, canonical) = 1)
+  SELECT voc.token, f.canonical, token_id FROM voc LEFT JOIN f USING (token)""")
+def b5_inverse_lookup_tables(spark, sf):
+    rows, tokens, _ = table_vocabulary(spark, sf)
+    return L.phone_of_token(rows.withColumn("position", F.struct("position", "canonical")), tokens)
+
+
 def tag_rows(spark, sf):
     return L.parse_tags(with_label(spark, sf, TAGS).withColumnRenamed("label", "text"), "text")
 
@@ -217,6 +257,17 @@ def b16_quarantine(spark, sf):
     return held
 
 
+@query(f"""WITH {TAG_CTE} SELECT count(*) AS rows, count(*) FILTER (state = 'bad') AS held, count(*) FILTER (state <> 'bad') AS written FROM tg""")
+def b16_quarantine_counts(spark, sf):
+    """What a write of the good rows observes on its way."""
+    seen = Observation("quarantine")
+    good, _ = L.quarantine(tag_rows(spark, sf), F.col("state") == "bad", "l_orderkey", "text", F.col("reason"), seen)
+    good.write.parquet(path := scratch(spark, "good"))
+    counts = seen.get
+    return spark.read.parquet(path).agg(F.count("*").alias("written")).select(
+        F.lit(counts["rows"]).cast("bigint").alias("rows"), F.lit(counts["held"]).cast("bigint").alias("held"), "written")
+
+
 @query(f"""WITH {tag_cte(MARKED)}, b AS (SELECT label, regexp_replace(label, '^[<>]+', '') AS s FROM tag),
   m AS (SELECT *, CASE WHEN s LIKE '`/%' THEN 'fall_rise' WHEN left(s, 1) IN (chr(92), '`') THEN 'fall'
      WHEN left(s, 1) = '/' THEN 'rise' WHEN left(s, 1) = '=' THEN 'level' END AS tone,
@@ -471,6 +522,33 @@ def a6_scan_media(spark, sf):
     return files.select("key", (F.col("length") > 0).alias("has_file"))
 
 
+def recordings(rows, root: str) -> str:
+    """Write a file below ``root`` for each (key, length); executors write to the shared folder."""
+    def write(batches):
+        fs, place = pyarrow.fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for key, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs.create_dir(f"{place}/{length % 7}", recursive=True)
+                with fs.open_output_stream(f"{place}/{length % 7}/{key}.wav") as out:
+                    out.write(b"0" * length)
+            yield batch.slice(0, 0)
+
+    rows.select("key", "length").mapInArrow(write, "key string, length bigint").count()
+    return root
+
+
+@query("""SELECT 'spk' || s_suppkey AS key, CASE WHEN s_suppkey % 5 <> 2 THEN 40 + s_suppkey % 300 END AS length, s_suppkey % 5 = 2 AS missing FROM supplier""")
+def a6_recordings(spark, sf):
+    """A file for four of five speakers, in several folders; the others' are missing."""
+    speakers = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("spk"), F.col("s_suppkey").cast("string")).alias("key"), (40 + F.col("s_suppkey") % 300).alias("length"), "s_suppkey")
+    root = recordings(speakers.filter("s_suppkey % 5 <> 2"), scratch(spark, "media"))
+    media = C.scan_media(spark, root, "*.wav")
+    missing = C.missing_media(speakers.select("key"), media, "key")
+    return media.select("key", "length", F.lit(False).alias("missing")).unionByName(
+        missing.select("key", F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("missing")))
+
+
 @query(f"WITH {V.LI_INDEXED_SPLIT_CTE} SELECT split, label, count(*) AS n, count(score) AS scored, "
        f"round(sum(score), 4) AS total, count(*) FILTER (audio_problem) AS problems FROM lis GROUP BY ALL")
 def a7_read_records(spark, sf):
@@ -581,6 +659,16 @@ def k3_validate_exercises(spark, sf):
     return X.validate_exercises(exercises(spark, sf))
 
 
+@query(X.PART_CTE + """ SELECT p_partkey, id, reference_audio, coalesce(reference_audio IN ('audio/a.wav', 'audio/../a.wav'), false) AS has_reference_audio,
+  '0:ð' || CASE WHEN n_focus >= 1 THEN '*' ELSE '' END || ' 1:ɡ' || CASE WHEN n_focus >= 2 THEN '*' ELSE '' END || CASE WHEN odd = 'Q' THEN ' 2:-' ELSE ' 2:i' END AS phones FROM ex""")
+def k4_exercise_detail(spark, sf):
+    rows = V.view(spark, sf, X.PART_SQL, "part").select("p_partkey", *X.shaped())
+    media = rows.filter(F.col("reference_audio").isin("audio/a.wav", "audio/../a.wav")).select(F.col("reference_audio").alias("path"))
+    text = F.transform("phones", lambda p: F.concat(
+        p["index"].cast("string"), F.lit(":"), F.coalesce(p["ph"], F.lit("-")), F.when(p["focus"], "*").otherwise("")))
+    return X.exercise_detail(rows, media).select("p_partkey", "id", "reference_audio", "has_reference_audio", F.array_join(text, " ").alias("phones"))
+
+
 @query(X.PART_CTE + """ SELECT id, type, title, text, focus AS focus_phone FROM ex""")
 def k4_exercise_catalog(spark, sf):
     return X.exercise_catalog(exercises(spark, sf)).select("id", "type", "title", "text", "focus_phone")

@@ -49,6 +49,18 @@ def e1_log_softmax(spark, sf):
     return rows.select("utt", "t", "token", F.round("logp", 6).alias("logp"))
 
 
+@query("SELECT vec_id AS utt, 8 AS frames, CAST(8 AS BIGINT) AS kept, round((1 + vec_id % 5) / 10.0e0 / 8, 9) AS hop FROM embeddings")
+def e1_pack_frames(spark, sf):
+    """Long rows packed again; ``kept`` counts the frames that are as they were."""
+    rows = scored(spark, sf)
+    packed = P.pack_frames(P.explode_frames(rows, "frames", ["utt"]), "utt").withColumnRenamed("frames", "packed")
+    duration = (1 + F.col("utt") % 5) / 10.0
+    same = F.size(F.filter(F.arrays_zip("frames", "packed"), lambda f: f["frames"] == f["packed"]))
+    return rows.join(packed, "utt").select(
+        "utt", F.size("packed").alias("frames"), same.cast("bigint").alias("kept"),
+        F.round(P.hop_seconds("packed", duration), 9).alias("hop"))
+
+
 @query(f"WITH {CLOSED_CTE} SELECT utt, round(ln((rival + 1e-12) / (own + 1e-12)), 6) AS score, best, round(own, 6) AS p_target FROM cs")
 def e2_contrast_mean(spark, sf):
     rows = scored(spark, sf).withColumn("c", P.contrast_mean(*args()))
@@ -276,13 +288,37 @@ def g4_time_features(spark, sf):
     return rows.select("sig", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
 
 
-@query()
+@query(f"""WITH {V.SIG_CTE}, n AS (SELECT sig, count(*) AS n FROM sig GROUP BY sig),
+  y AS MATERIALIZED (SELECT sig.sig, pos, n, x * (0.5e0 - 0.5e0 * cos(2 * pi() * pos / (n - 1))) AS y FROM sig JOIN n ON n.sig = sig.sig),
+  pw AS MATERIALIZED (SELECT y.sig, k, any_value(n) AS n, k * 16000.0e0 / any_value(n) AS hz,
+    pow(sum(y * cos(2 * pi() * ((k * pos) % n) / n)), 2) + pow(sum(y * sin(2 * pi() * ((k * pos) % n) / n)), 2) + 1e-9 AS p
+    FROM y, (SELECT unnest(range(1025)) AS k) WHERE k <= n // 2 GROUP BY y.sig, k),
+  ag AS (SELECT sig, sum(p) AS whole, log10((sum(p) FILTER (hz BETWEEN 5000 AND 8000) + 1e-9) / (sum(p) FILTER (hz BETWEEN 1000 AND 3500) + 1e-9)) AS c,
+    sum(hz * p) / sum(p) / 8000 AS centroid, exp(avg(ln(p))) / avg(p) AS flat FROM pw GROUP BY sig),
+  cu AS (SELECT sig, hz, sum(p) OVER (PARTITION BY sig ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM pw),
+  ro AS (SELECT cu.sig, min(hz) AS hz FROM cu JOIN ag ON ag.sig = cu.sig WHERE upto >= 0.85e0 * whole GROUP BY cu.sig)
+  SELECT ag.sig, round(greatest(-2.5, least(1.5, c)) / 4.0e0 + 0.625e0, 6) AS sibilance, round(greatest(0, least(1, centroid)), 6) AS centroid,
+    round(greatest(0, least(1, ro.hz / 8000)), 6) AS rolloff, round(greatest(0, least(1, flat)), 6) AS flatness FROM ag JOIN ro ON ro.sig = ag.sig""")
 def g5_spectral_features(spark, sf):
     rows = V.sig(spark, sf).withColumn("f", spectral_features("samples", "rate")).select("sig", "f.*")
     return rows.select("sig", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
 
 
-@query()
+def drawn_sql(draw: str, key: str) -> str:
+    return f"((CAST('0x' || substr(md5(concat_ws(':', '42', '{draw}', CAST({key} AS VARCHAR))), 1, 8) AS BIGINT) % 2147483648 + 0.5e0) / 2147483648.0e0)"
+
+
+@query(f"""WITH {V.SIG_CTE}, n AS (SELECT sig, count(*) AS n FROM sig GROUP BY sig),
+  d AS (SELECT sig, n, sig % 5 <> 0 AND {drawn_sql('use?', 'sig')} < 0.5e0 AS used, CASE WHEN {drawn_sql('stretch?', 'sig')} < 0.6e0 THEN 0.9e0 + 0.2e0 * {drawn_sql('factor', 'sig')} ELSE 1.0e0 END AS factor,
+    CASE WHEN {drawn_sql('noise?', 'sig')} < 0.6e0 THEN 15.0e0 + 15.0e0 * {drawn_sql('snr', 'sig')} END AS snr FROM n),
+  pl AS (SELECT d.*, pos, CAST(floor(n / factor) AS BIGINT) AS m, pos * (n - 1) * 1.0e0 / greatest(CAST(floor(n / factor) AS BIGINT) - 1, 1) AS place FROM d JOIN sig ON sig.sig = d.sig),
+  mv AS (SELECT pl.sig, pl.pos, pl.n, used, snr, CASE WHEN NOT used OR factor = 1 THEN s.x WHEN pl.pos >= m THEN 0.0e0
+      ELSE a.x + (coalesce(b.x, a.x) - a.x) * (place - floor(place)) END AS x FROM pl JOIN sig s ON s.sig = pl.sig AND s.pos = pl.pos
+    LEFT JOIN sig a ON a.sig = pl.sig AND a.pos = CAST(floor(place) AS BIGINT) LEFT JOIN sig b ON b.sig = pl.sig AND b.pos = CAST(floor(place) AS BIGINT) + 1),
+  sp AS (SELECT sig, sqrt(avg(x * x) + 1e-9) AS r FROM mv GROUP BY sig),
+  ou AS (SELECT mv.sig, mv.n, CASE WHEN used AND snr IS NOT NULL THEN x + r / pow(10.0e0, snr / 20.0e0) * sqrt(-2.0e0 * ln({drawn_sql('radius', "mv.sig || '/' || pos")}))
+      * cos(6.283185307179586e0 * {drawn_sql('angle', "mv.sig || '/' || pos")}) ELSE x END AS x FROM mv JOIN sp ON sp.sig = mv.sig)
+  SELECT sig, CAST(any_value(n) AS INT) AS n_in, CAST(count(*) AS INT) AS n_out, round(avg(x * x), 6) AS power FROM ou GROUP BY sig""")
 def g7_augment(spark, sf):
     rows = V.sig(spark, sf).withColumn("out", G.augment("samples", "sig", F.col("sig") % 5 == 0))
     return rows.select("sig", F.size("samples").alias("n_in"), F.size("out").alias("n_out"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from phonoframe import tables as K
@@ -13,11 +13,17 @@ from phonoframe.operators.ranks import row_index, value_bucket
 
 
 def quarantine(
-    df: DataFrame, bad: Column, source: str, raw: str, reason: Column | str
+    df: DataFrame, bad: Column, source: str, raw: str, reason: Column | str, seen: Observation | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Split rows: the good ones, and (source, raw, reason) of the ones that cannot be used."""
+    """Split rows: the good ones, and (source, raw, reason) of the ones that cannot be used.
+
+    ``seen`` receives ``rows`` and ``held`` (the unusable ones) when the good rows are first written or collected, in
+    the same pass.
+    """
     why = F.lit(reason) if isinstance(reason, str) else reason
     marked = df.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    if seen is not None:
+        marked = marked.observe(seen, F.count("*").alias("rows"), F.count_if("_bad").alias("held"))
     good = marked.filter(~F.col("_bad")).drop("_bad")
     held = marked.filter("_bad").select(
         F.col(source).alias("source"), F.col(raw).alias("raw"), why.alias("reason"))
