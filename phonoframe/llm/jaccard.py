@@ -10,21 +10,23 @@ transcript's set is cut with it, so that a fragment sees a segment of each set.
 2. The sets that remain are cut into fragments of the whole order. N-grams are ranked by how many of
    these sets hold them; linked sets share one of their rarest (prefix filter).
 3. Members of a posting list are paired with one hub, the set with most n-grams from this one on.
-   Lists whose members are connected need no more pairs; in the others, members outside the largest
-   component are paired with every member of another component. Both times only pairs are made that
-   the rest of both sets, from this n-gram on, allows to link (positional filter; a linked pair passes
-   it at its first common n-gram). Partial overlaps of a pair are counted in each fragment and summed.
+   Lists whose members are connected need no more pairs; in the others, members of different components
+   are paired. Both times only pairs are made that the rest of both sets, from this n-gram on, allows
+   to link (positional filter; a linked pair passes it at its first common n-gram); in the others this is
+   decided between classes of members of about equal size and rest first, so the members of a template
+   that cannot link drop out before any pair is made. Partial overlaps of a pair are counted in each fragment and summed.
    So no link between components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,8 @@ from phonoframe.operators.storage import settle, store
 FRAGMENTS = 8
 HUB_ROUNDS = 2
 POSTINGS_PER_PIECE = 400_000
+CLASS_STEP = 1.02
+"""Sizes and rests of members of one class differ by less than this factor."""
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -180,6 +184,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def reachable_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of members (``gram``, ``node``, ``n``, ``rest``, ``label``) of one list with different labels
+    whose sizes and rests can make a link at this shingle.
+
+    Lists are first cut into classes by size and rest; only classes that can reach each other, at their
+    least size and largest rest, meet member by member.
+    """
+    def cell(name: str) -> Column:
+        return F.floor(F.log(F.col(name).cast("double")) / math.log(CLASS_STEP)).cast("int")
+
+    def reach(x: str, y: str) -> Column:
+        return ((100 + percent) * F.least(f"rest{x}", f"rest{y}") >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))) & (
+            F.col(f"n{x}") * percent <= F.col(f"n{y}") * 100) & (F.col(f"n{y}") * percent <= F.col(f"n{x}") * 100)
+
+    rows = members.withColumns({"size": cell("n"), "left": cell("rest")})
+    classes = rows.groupBy("gram", "size", "left").agg(
+        F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"),
+        F.min("label").alias("low"), F.max("label").alias("high"))
+
+    def named(frame: DataFrame, x: str, columns: list[str]) -> DataFrame:
+        return frame.select("gram", *[F.col(c).alias(f"{c}{x}") for c in columns])
+
+    columns = ["size", "left", "n", "most", "rest", "low", "high"]
+    a, b = named(classes, "a", columns), named(classes, "b", columns)
+    apart = (F.col("lowa") != F.col("highb")) | (F.col("lowb") != F.col("higha"))
+    able = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    near = (F.col("na") * percent <= F.col("mostb") * 100) & (F.col("nb") * percent <= F.col("mosta") * 100)
+    met = a.join(b, "gram").filter(able & near & apart).select("gram", "sizea", "lefta", "sizeb", "leftb")
+    columns = ["size", "left", "node", "n", "rest", "label"]
+    pairs = (
+        met.join(named(rows, "a", columns), ["gram", "sizea", "lefta"])
+        .join(named(rows, "b", columns), ["gram", "sizeb", "leftb"])
+        .filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & reach("a", "b")))
+    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb")
+
+
 def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     """Group utterances whose transcripts share most of their word ``n``-grams.
 
@@ -258,21 +298,12 @@ def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFr
             ).filter("low <> high")
             pairs = members.join(hubs, "gram").filter("label <> hub.label").select(
                 F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"),
-                F.col("hub.n").alias("nb"), F.col("rest").alias("ra"), F.col("hub.rest").alias("rb"))
+                F.col("hub.n").alias("nb"), F.col("rest").alias("ra"), F.col("hub.rest").alias("rb")).filter(reach)
         else:
-            groups = members.groupBy("gram", "label").agg(F.count("*").alias("size"))
-            mixed = groups.groupBy("gram").agg(
-                F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")
-            ).filter("labels > 1")
-            inside = members.join(mixed.select("gram", "main"), "gram")
-            outer = inside.filter("label <> main").select(
-                "gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"),
-                F.col("label").alias("la"))
-            every = inside.select(
-                "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"),
-                F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
-            pairs = outer.join(every, "gram").filter("la <> lb AND (is_main OR a < b)")
-        found = _linked(ordered(pairs.filter(reach).select("a", "b", "na", "nb")), segments, percent)
+            mixed = members.groupBy("gram").agg(
+                F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+            pairs = reachable_pairs(store(members.join(mixed.select("gram"), "gram")), percent)
+        found = _linked(ordered(pairs), segments, percent)
         edges = store(found if edges is None else edges.union(found))
         labels = components(edges)
 

@@ -3,10 +3,10 @@
 1. The set of a transcript is its distinct word shingles; equal sets are one node. ``BANDS`` x ``ROWS`` hash
    functions give the minima of a set. The minima of a band together are its bucket; of every minimum
    only the low ``BITS`` bits stay, packed as bit planes of 64 functions each.
-2. Nodes of one bucket are candidates. Each is paired with one hub of its bucket only; the similarity is
+2. Nodes of one bucket are candidates. Each is compared with one hub of its bucket only; the similarity is
    estimated by counting the functions whose planes agree and taking off the share that agrees by
-   chance, and pairs above a margin of ``SIGMAS`` standard errors below the limit are confirmed on
-   their full sets. Buckets whose nodes are connected need no more pairs.
+   chance. Of the hubs of a node above a margin of ``SIGMAS`` standard errors below the limit, the most
+   similar one is confirmed on the full sets. Buckets whose nodes are connected need no more pairs.
 3. Nodes of buckets that are still mixed are searched exactly, whatever the size of the bucket: linked
    sets share one of their rarest shingles (prefix), and what both have left from there on must suffice.
    This is decided between classes of members of about equal size and rest before any pair is made,
@@ -29,16 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonoframe.llm import words as WD
-from phonoframe.llm.jaccard import components
+from phonoframe.llm.jaccard import components, reachable_pairs
 from phonoframe.llm.sizes import small_side
 from phonoframe.operators.storage import settle, store
 
 ROWS, BANDS, BITS = 4, 32, 2
 SIGMAS = 6.5
-FRAGMENTS = 8
-HUB_ROUNDS = 2
-CLASS_STEP = 1.02
-"""Sizes and rests of members of one class differ by less than this factor."""
+FRAGMENTS = 4
+HUB_ROUNDS = 3
 _LANES = ROWS * BANDS // 64
 PLANES = [f"s{lane}_{bit}" for lane in range(_LANES) for bit in range(BITS)]
 _MARK, _BAND = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -139,15 +137,21 @@ def margin(percent: int) -> float:
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) whose sizes and estimated similarity allow a link."""
+    """Distinct pairs (a, b, na, nb) whose sizes and estimated similarity allow a link, with the estimate."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.struct(*PLANES).alias(f"s{name}"))
 
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    known = ordered.join(side("a"), "a").join(side("b"), "b")
+    known = pairs.filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b")
     planes = [{p: F.col(f"s{x}")[p] for p in PLANES} for x in "ab"]
     close = F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
-    return known.filter(close & (similarity(*planes) >= margin(percent))).select("a", "b", "na", "nb")
+    estimated = known.filter(close).select("a", "b", "na", "nb", similarity(*planes).alias("estimate"))
+    return estimated.filter(F.col("estimate") >= margin(percent))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """The most similar ``b`` of every ``a``."""
+    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("estimate", "b")).alias("p"))
+    return best.select("a", "p.*")
 
 
 def _confirmed(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -161,10 +165,15 @@ def _confirmed(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame
 
 
 def _hub_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Every member of a mixed bucket with the hub of its bucket; the hubs of buckets with common members agree."""
+    """Every member of a mixed bucket with the hub of its bucket.
+
+    The first hubs are the members with the largest buckets: a text that others were copied from shares most of
+    its minima with them. Later ones are drawn; those of buckets with common members agree.
+    """
     marked = _labelled(members, labels)
+    drawn = F.xxhash64("node", F.lit(turn))
     hubs = marked.groupBy("bucket").agg(
-        F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"),
+        F.max_by(F.struct("node", "label"), drawn if turn else F.struct("weight", drawn)).alias("hub"),
         F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     return marked.join(hubs.select("bucket", "hub"), "bucket").filter("label <> hub.label").select(
         F.col("node").alias("a"), F.col("hub.node").alias("b"))
@@ -188,42 +197,6 @@ def prefixes(postings: DataFrame, percent: int) -> DataFrame:
         .select("gram", "node", "n", (F.col("common") - F.col("rank") + 1).alias("rest")))
 
 
-def reachable_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (``gram``, ``node``, ``n``, ``rest``, ``label``) of one list with different labels
-    whose sizes and rests can make a link at this shingle.
-
-    Lists are first cut into classes by size and rest; only classes that can reach each other, at their
-    least size and largest rest, meet member by member.
-    """
-    def cell(name: str) -> Column:
-        return F.floor(F.log(F.col(name).cast("double")) / math.log(CLASS_STEP)).cast("int")
-
-    def reach(x: str, y: str) -> Column:
-        return ((100 + percent) * F.least(f"rest{x}", f"rest{y}") >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))) & (
-            F.col(f"n{x}") * percent <= F.col(f"n{y}") * 100) & (F.col(f"n{y}") * percent <= F.col(f"n{x}") * 100)
-
-    rows = members.withColumns({"size": cell("n"), "left": cell("rest")})
-    classes = rows.groupBy("gram", "size", "left").agg(
-        F.min("n").alias("n"), F.max("n").alias("most"), F.max("rest").alias("rest"),
-        F.min("label").alias("low"), F.max("label").alias("high"))
-
-    def named(frame: DataFrame, x: str, columns: list[str]) -> DataFrame:
-        return frame.select("gram", *[F.col(c).alias(f"{c}{x}") for c in columns])
-
-    columns = ["size", "left", "n", "most", "rest", "low", "high"]
-    a, b = named(classes, "a", columns), named(classes, "b", columns)
-    apart = (F.col("lowa") != F.col("highb")) | (F.col("lowb") != F.col("higha"))
-    able = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
-    near = (F.col("na") * percent <= F.col("mostb") * 100) & (F.col("nb") * percent <= F.col("mosta") * 100)
-    met = a.join(b, "gram").filter(able & near & apart).select("gram", "sizea", "lefta", "sizeb", "leftb")
-    columns = ["size", "left", "node", "n", "rest", "label"]
-    pairs = (
-        met.join(named(rows, "a", columns), ["gram", "sizea", "lefta"])
-        .join(named(rows, "b", columns), ["gram", "sizeb", "leftb"])
-        .filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & reach("a", "b")))
-    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-
-
 def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> DataFrame:
     """Group utterances whose transcripts share most of their word ``n``-grams.
 
@@ -254,8 +227,9 @@ def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> Dat
 
     # two in a bucket of any band make a candidate; nodes alone in all of theirs need no further work
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    members = store(spread.join(shared, "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = store(spread.join(shared, "bucket"))
+    members = store(sized.select("node", "bucket").join(sized.groupBy("node").agg(F.sum("size").alias("weight")), "node"))
     wanted = settle(members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select("first_id"))
     chosen = source.join(
         small_side(wanted.withColumnRenamed("first_id", "_first")), F.col("utterance_id").eqNullSafe(F.col("_first")))
@@ -266,7 +240,7 @@ def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> Dat
     edges = labels = None
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
-            pairs = _hub_pairs(members, labels, turn)
+            pairs = _nearest(_plausible(_hub_pairs(members, labels, turn), nodes, percent))
         else:
             marked = _labelled(members, labels)
             mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
@@ -275,8 +249,8 @@ def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> Dat
                 "node", "n", F.explode("shingles").alias("gram"))
             lists = store(prefixes(postings, percent).join(open_nodes, "node"))
             several = lists.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-            pairs = reachable_pairs(lists.join(several.select("gram"), "gram"), percent)
-        found = _confirmed(_plausible(pairs, nodes, percent), segments, percent)
+            pairs = _plausible(reachable_pairs(lists.join(several.select("gram"), "gram"), percent).select("a", "b"), nodes, percent)
+        found = _confirmed(pairs, segments, percent)
         edges = store(found if edges is None else edges.union(found))
         labels = components(edges)
 

@@ -3,7 +3,8 @@
 A text becomes symbols (one per character, blanks as U+2581). Symbols are cut into words that no
 piece crosses, equal words are merged once, and all words of a slice advance together: in a round
 every word finds the smallest rank among its neighbouring pairs, its leftmost occurrences of that
-pair merge, and the flat symbol array is compacted. Words without a pair leave; the rounds end when
+pair merge, and the flat symbol array is compacted. Where a merge makes a neighbour pair of a smaller
+rank, the later ones of its word wait for the next round. Words without a pair leave; the rounds end when
 none is left. Nothing is shuffled: texts go through Arrow tasks, where the model file is read once
 for each Python worker.
 """
@@ -11,6 +12,7 @@ for each Python worker.
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from phonoframe.llm.words import slices
 
 BLANK = "▁"
 _NONE = np.int64(1 << 62)
+ROUNDS = 96
+"""Rounds of all words together; a word that is not done by then (no word of prose) goes on alone."""
 
 
 class Pieces:
@@ -93,14 +97,9 @@ class Pieces:
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge the symbols of every word (``word`` never decreases) until no pair remains."""
         done_symbols, done_words = [], []
+        rounds = 0
         while len(symbols):
-            at = np.flatnonzero(word[1:] == word[:-1])
-            key = symbols[at] * self.base + symbols[at + 1]
-            found = np.searchsorted(self.keys, key)
-            hit = self.keys[found] == key
-            at, found = at[hit], found[hit]
-            rank = np.full(len(symbols), _NONE)
-            rank[at] = self.ranks[found]
+            rank, found = self._pairs(symbols, word)
             begin = np.flatnonzero(np.diff(word, prepend=-1))
             least = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(word)))
@@ -108,16 +107,21 @@ class Pieces:
             if not active.all():
                 done_symbols.append(symbols[~active])
                 done_words.append(word[~active])
-            best = (rank[at] == np.repeat(least, length)[at])
-            at, found = at[best], found[best]
+            rounds += 1
+            if rounds > ROUNDS:
+                symbols, word = symbols[active], word[active]
+                for w in np.split(np.arange(len(word)), np.flatnonzero(np.diff(word)) + 1) if len(word) else []:
+                    merged = self._merge_one(symbols[w].tolist())
+                    done_symbols.append(np.array(merged, np.int64))
+                    done_words.append(np.full(len(merged), word[w[0]]))
+                break
+            at = np.flatnonzero((rank == np.repeat(least, length)) & (rank < _NONE))
             # of pairs that overlap, as in "aaa", every second one from the left
             run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            stays = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-            # after a merge that can make a smaller rank, only the leftmost is certain
-            stays &= ~self.hasty[self.merged[found]] | (np.diff(word[at], prepend=-1) != 0)
-            at, found = at[stays], found[stays]
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            at = at[self._certain(symbols, word, at, rank[at], self.merged[found[at]])]
             symbols = symbols.copy()
-            symbols[at] = self.merged[found]
+            symbols[at] = self.merged[found[at]]
             active[at + 1] = False
             symbols, word = symbols[active], word[active]
         if not done_symbols:
@@ -126,6 +130,64 @@ class Pieces:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def _pairs(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the pair that begins at each symbol (or none) and its place among the keys."""
+        rank, place = np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
+        at = np.flatnonzero(word[1:] == word[:-1])
+        place[at] = np.searchsorted(self.keys, symbols[at] * self.base + symbols[at + 1])
+        at = at[self.keys[place[at]] == symbols[at] * self.base + symbols[at + 1]]
+        rank[at] = self.ranks[place[at]]
+        return rank, place
+
+    def _certain(self, symbols, word, at, rank, merged) -> np.ndarray:
+        """Which of the merges, taken from the left, come before any other: those of a word up to the first one that
+        makes a neighbour pair of no larger rank. At that time its left neighbour is merged and its right one is not."""
+        risky = np.flatnonzero(self.hasty[merged])
+        if not len(risky):
+            return np.ones(len(at), bool)
+        left, right = at[risky] - 1, at[risky] + 2
+        beside = np.maximum(risky - 1, 0)
+        joined = (risky > 0) & (at[beside] == at[risky] - 2)
+        before = np.where(joined, merged[beside], symbols[left])
+        after = symbols[np.minimum(right, len(symbols) - 1)]
+        inside_left = (left >= 0) & (word[left] == word[at[risky]])
+        inside_right = (right < len(symbols)) & (word[np.minimum(right, len(symbols) - 1)] == word[at[risky]])
+        unsafe = np.zeros(len(at), bool)
+        for inside, key in ((inside_left, before * self.base + merged[risky]), (inside_right, merged[risky] * self.base + after)):
+            place = np.searchsorted(self.keys, key)
+            unsafe[risky] |= inside & (self.keys[place] == key) & (self.ranks[place] <= rank[risky])
+        earlier = np.cumsum(unsafe) - unsafe
+        first = np.flatnonzero(np.diff(word[at], prepend=-1))
+        return earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))
+
+    def _merge_one(self, symbols: list[int]) -> list[int]:
+        """The same for one word that is left after many rounds: a heap of (rank, place) over linked symbols."""
+        known = self.by_pair
+        behind, ahead = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
+        size, base = len(symbols), self.base
+        heap = [(known[k][0], i, k) for i, k in enumerate(a * base + b for a, b in zip(symbols, symbols[1:])) if k in known]
+        heapq.heapify(heap)
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = ahead[i]
+            if symbols[i] < 0 or j >= size or symbols[i] * base + symbols[j] != key:
+                continue
+            symbols[i], symbols[j] = known[key][1], -1
+            ahead[i] = ahead[j]
+            if ahead[i] < size:
+                behind[ahead[i]] = i
+            for x, y in ((behind[i], i), (i, ahead[i])):
+                if x >= 0 and y < size:
+                    made = symbols[x] * base + symbols[y]
+                    if made in known:
+                        heapq.heappush(heap, (known[made][0], x, made))
+        return [s for s in symbols if s >= 0]
+
+    @functools.cached_property
+    def by_pair(self) -> dict[int, tuple[int, int]]:
+        """Rank and result of each pair, by its key."""
+        return dict(zip(self.keys[:-1].tolist(), zip(self.ranks[:-1].tolist(), self.merged[:-1].tolist())))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each); begin and end ids included."""
         shown = [" " + t.decode("utf-8", "replace") if t else "" for t in texts]

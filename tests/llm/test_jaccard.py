@@ -69,6 +69,15 @@ def test_a_large_group_of_near_copies_keeps_its_links(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_unlinked_texts_of_one_template_and_some_that_link(spark):
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(82)]
+    rows = [(k, " ".join([f"own{k}x{j}" for j in range(22)] + template)) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + f" tail{k}") for k in range(0, 300, 40)]
+    rng.shuffle(rows)
+    assert found(spark, rows) == brute(rows)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"t{k}" for k in range(30_000))
     rows = [(3, None), (1, ""), (2, " \t\n"), (9, "one"), (8, "ONE"), (7, "one two"), (None, "one"), (9, "one"),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,38 @@ def test_decoding_of_any_ids_equals_the_library(ids):
     assert model.decode(np.array(ids, np.int64), np.array([len(ids)])) == [model.library.decode(ids)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["the", "ing", "er", "th", "tion", "a", "q", "é", "日", "xx"]), max_size=400), st.integers(1, 3))
+def test_words_without_a_break_equal_the_library(parts, rounds):
+    model = pieces.pieces(MODEL)
+    text = "".join(parts)
+    before, pieces.ROUNDS = pieces.ROUNDS, rounds  # words that are left go on alone
+    try:
+        alone = model.encode([text.encode()])[0].tolist()
+    finally:
+        pieces.ROUNDS = before
+    assert model.encode([text.encode()])[0].tolist() == alone == model.library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_long_words_take_no_longer_than_prose():
+    model = pieces.pieces(MODEL)
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    size = 1_000_000
+    prose = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(size // 6))[:size]
+    words = ["the" * (size // 3), "ing" * (size // 3), "er" * (size // 2), "".join(rng.choice(letters) for _ in range(size))]
+
+    def seconds(text):
+        start = time.process_time()
+        ids = model.encode([text.encode()])[0]
+        took = time.process_time() - start
+        assert ids.tolist() == model.library.encode(text, add_bos=True, add_eos=True)
+        return took
+
+    usual = seconds(prose)
+    assert all(seconds(w) < 2 * usual + 1 for w in words)
+
+
 def test_tokens_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "." * 50_000), (3, "." * 50_000), (4, "thé cat " * 20_000)]
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
