@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phonoframe.functions.scalar import col, count_if, hash_bucket, hash_order, sigmoid
 from phonoframe.operators.metrics import flagged_at, is_positive, realized_of
 from phonoframe.operators.ranks import join_keys, row_index, running, top_k
+from phonoframe.operators.storage import settle
 
 
 def _bucket(seed: int, name: str, key: Column | str) -> Column:
@@ -127,24 +128,48 @@ def hearing_sample(
     )
 
 
+def _first_by_hash(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
+    """The first ``n`` rows of every group in the order of ``_h`` (hexadecimal) and ``order``, found by counting.
+
+    Rows are counted by hash prefix, first of 3 and then, where the n-th one lies, of 6 digits. All rows
+    below that prefix are kept by a filter; only those that share it are put in order.
+    """
+    def nth(rows: DataFrame, width: int, need: Column) -> DataFrame:
+        counts = rows.groupBy(*by, F.substring("_h", 1, width).alias("_cut")).agg(
+            F.count("*").alias("_c"), F.max(need).alias("_need"))
+        w = W.partitionBy(*by).orderBy("_cut").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = counts.withColumn("_upto", F.sum("_c").over(w))
+        return placed.filter("_upto >= _need AND _upto - _c < _need").select(
+            *by, "_cut", (F.col("_need") - F.col("_upto") + F.col("_c")).alias("_left"))
+
+    coarse = nth(df, 3, F.lit(n).cast("bigint"))
+    inside = join_keys(df.select(*by, "_h"), coarse, by).filter(F.substring("_h", 1, 3) == F.col("_cut"))
+    fine = settle(nth(inside.withColumnRenamed("_cut", "_above"), 6, F.col("_left")))
+    marked = join_keys(df, fine, by, "left") if by else df.join(F.broadcast(fine), F.lit(True), "left")
+    place = F.substring("_h", 1, 6)
+    below = marked.filter(F.col("_cut").isNull() | (place < F.col("_cut")))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_h", *order))
+    edge = marked.filter(place == F.col("_cut")).withColumn("_rank", rank).filter("_rank <= _left").drop("_rank")
+    return below.unionByName(edge).drop("_cut", "_left")
+
+
 def cap_per_class(
     df: DataFrame, n: int, label: str, exempt: Column, keys: list[str], seed: int = 42
 ) -> DataFrame:
     """At most n rows per class in hash order; exempt rows are never capped.
 
-    Rows are numbered inside hash-prefix buckets, so a class holding most of the
-    data is still spread over 4096 units of work.
+    The n-th hash of a class is found by counts, so rows are neither shuffled nor sorted, whatever share
+    of the data a class holds.
     """
     marked = df.withColumn("_exempt", F.coalesce(exempt, F.lit(False)))
     pool = marked.filter(~F.col("_exempt")).withColumn("_h", hash_order(f"{seed}:cap", *keys))
-    ranked = row_index(pool, [label], ["_h", *keys], F.substring("_h", 1, 3), "_rank")
-    kept = ranked.filter(F.col("_rank") <= n).drop("_rank", "_h")
+    kept = _first_by_hash(pool, n, [label], keys).drop("_h")
     return marked.filter("_exempt").unionByName(kept).drop("_exempt")
 
 
 def cap_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """A reproducible random subset of n rows."""
-    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+    return _first_by_hash(df.withColumn("_h", hash_order(seed, *keys)), n, [], keys).drop("_h")
 
 
 def limit_utterances(df: DataFrame, n: int) -> DataFrame:
@@ -161,15 +186,27 @@ def budget_select(
 ) -> DataFrame:
     """Take clips in order until their summed duration reaches the budget.
 
-    Only clips inside [low, high] count; the clip that crosses the budget is kept.
+    ``bucket``, a whole number that never decreases along ``order``, cuts the clips into parts; only the part in which
+    the budget ends is put in order, the parts before it are kept by a filter. Only clips inside [low, high] count; the clip that crosses the budget is kept.
     """
-    usable = df.filter(F.col(duration).between(low, high))
-    sums = {"_sum": F.col(duration), "_rank": F.lit(1).cast("bigint")}
-    rows = running(usable, [], [order], sums, bucket)
-    kept = rows.filter(F.col("_sum") - F.col(duration) < budget)
-    if cap is not None:
-        kept = kept.filter(F.col("_rank") <= cap)
-    return kept.drop("_sum", "_rank")
+    usable = df.filter(F.col(duration).between(low, high)).withColumn("_bucket", bucket)
+    sizes = usable.groupBy("_bucket").agg(F.sum(duration).alias("_d"), F.count("*").alias("_n"))
+    before = running(
+        sizes.withColumn("_part", F.col("_bucket")), [], ["_part"], {"_sum": F.col("_d"), "_rows": F.col("_n")},
+        F.expr("_part div 4096")).withColumnRenamed("_part", "_bucket")
+    most = F.lit(cap if cap is not None else (1 << 62))
+    # the first bucket in which the budget or the number of clips is reached
+    full = (F.col("_sum") >= budget) | (F.col("_rows") >= most)
+    last = settle(before.filter(full).agg(F.min_by(
+        F.struct("_bucket", (F.col("_sum") - F.col("_d")).alias("_spent"), (F.col("_rows") - F.col("_n")).alias("_count")),
+        "_bucket").alias("_last")))
+    rows = usable.crossJoin(F.broadcast(last))
+    whole = rows.filter(F.col("_last").isNull() | (F.col("_bucket") < F.col("_last._bucket"))).drop("_last")
+    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = rows.filter(F.col("_bucket") == F.col("_last._bucket")).withColumns({
+        "_upto": F.col("_last._spent") + F.sum(duration).over(w), "_rank": F.col("_last._count") + F.row_number().over(W.orderBy(order))})
+    kept = edge.filter((F.col("_upto") - F.col(duration) < budget) & (F.col("_rank") <= most)).drop("_upto", "_rank", "_last")
+    return whole.unionByName(kept).drop("_bucket")
 
 
 def repeat_rows(df: DataFrame, condition: Column, times: int) -> DataFrame:
