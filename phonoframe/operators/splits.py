@@ -134,6 +134,9 @@ def _first_by_hash(df: DataFrame, n: int, by: list[str], order: list[str]) -> Da
     Rows are counted by hash prefix, first of 3 and then, where the n-th one lies, of 6 digits. All rows
     below that prefix are kept by a filter; only those that share it are put in order.
     """
+    if n <= 0:
+        return df.filter(F.lit(False))
+
     def nth(rows: DataFrame, width: int, need: Column) -> DataFrame:
         counts = rows.groupBy(*by, F.substring("_h", 1, width).alias("_cut")).agg(
             F.count("*").alias("_c"), F.max(need).alias("_need"))
