@@ -184,8 +184,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def reachable_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of members (``gram``, ``node``, ``n``, ``rest``, ``label``) of one list with different labels
+def reachable_pairs(members: DataFrame, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b, na, nb and the ``carry`` columns of both, suffixed) of members (``gram``, ``node``, ``n``, ``rest``, ``label``) of one list with different labels
     whose sizes and rests can make a link at this shingle.
 
     Lists are first cut into classes by size and rest; only classes that can reach each other, at their
@@ -212,12 +212,12 @@ def reachable_pairs(members: DataFrame, percent: int) -> DataFrame:
     able = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
     near = (F.col("na") * percent <= F.col("mostb") * 100) & (F.col("nb") * percent <= F.col("mosta") * 100)
     met = a.join(b, "gram").filter(able & near & apart).select("gram", "sizea", "lefta", "sizeb", "leftb")
-    columns = ["size", "left", "node", "n", "rest", "label"]
+    columns = ["size", "left", "node", "n", "rest", "label", *carry]
     pairs = (
         met.join(named(rows, "a", columns), ["gram", "sizea", "lefta"])
         .join(named(rows, "b", columns), ["gram", "sizeb", "leftb"])
         .filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & reach("a", "b")))
-    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb")
+    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb", *[f"{c}{x}" for c in carry for x in "ab"])
 
 
 def jaccard_join(utterances: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:

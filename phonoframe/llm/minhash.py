@@ -35,7 +35,6 @@ from phonoframe.operators.storage import settle, store
 
 ROWS, BANDS, BITS = 4, 32, 2
 SIGMAS = 6.5
-FRAGMENTS = 4
 HUB_ROUNDS = 3
 _LANES = ROWS * BANDS // 64
 PLANES = [f"s{lane}_{bit}" for lane in range(_LANES) for bit in range(BITS)]
@@ -96,22 +95,19 @@ def _profiles(n: int):
     return run
 
 
-def _segments(n: int):
-    """The sets of the given transcripts, cut into ``FRAGMENTS`` by hash."""
+def _wanted_sets(n: int):
+    """The sets of the given transcripts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in WD.slices(batch.column(0)):
                 row, value, size, mark = _sets(texts, n)
-                part = ((value >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32)
-                key = row * FRAGMENTS + part.astype(np.int64)
-                at = np.flatnonzero(np.diff(key, prepend=-1))
+                at = np.flatnonzero(np.diff(row, prepend=-1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mark[row[at]]), pa.array(size[row[at]].astype(np.int64)),
-                     pa.array((key[at] % FRAGMENTS).astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)),
                                               pa.array(value.view(np.int64)))],
-                    names=["node", "n", "fragment", "shingles"])
+                    names=["node", "n", "shingles"])
 
     return run
 
@@ -154,14 +150,13 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return best.select("a", "p.*")
 
 
-def _confirmed(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that are linked by their full sets, whose common shingles are counted by fragment."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("ga"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("gb"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are linked by their full sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("gb"))
+    both = pairs.join(left, "a").join(right, "b").select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("o"))
-    total = both.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    return both.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
 def _hub_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -233,9 +228,8 @@ def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> Dat
     wanted = settle(members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select("first_id"))
     chosen = source.join(
         small_side(wanted.withColumnRenamed("first_id", "_first")), F.col("utterance_id").eqNullSafe(F.col("_first")))
-    segments = store(chosen.select("transcript").mapInArrow(
-        _segments(n), "node bigint, n bigint, fragment int, shingles array<bigint>"
-    ).dropDuplicates(["node", "fragment"]))
+    sets = store(chosen.select("transcript").mapInArrow(
+        _wanted_sets(n), "node bigint, n bigint, shingles array<bigint>").dropDuplicates(["node"]))
 
     edges = labels = None
     for turn in range(HUB_ROUNDS + 1):
@@ -244,13 +238,16 @@ def near_duplicates(utterances: DataFrame, percent: int = 85, n: int = 5) -> Dat
         else:
             marked = _labelled(members, labels)
             mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-            open_nodes = store(marked.join(mixed.select("bucket"), "bucket").select("node", "label").distinct())
-            postings = segments.join(open_nodes.select("node"), "node").select(
+            open_nodes = store(marked.join(mixed.select("bucket"), "bucket").select("node", "label").distinct().join(
+                nodes.select("node", F.struct(*PLANES).alias("planes")), "node"))
+            postings = sets.join(open_nodes.select("node"), "node").select(
                 "node", "n", F.explode("shingles").alias("gram"))
             lists = store(prefixes(postings, percent).join(open_nodes, "node"))
             several = lists.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-            pairs = _plausible(reachable_pairs(lists.join(several.select("gram"), "gram"), percent).select("a", "b"), nodes, percent)
-        found = _confirmed(pairs, segments, percent)
+            met = reachable_pairs(lists.join(several.select("gram"), "gram"), percent, ("planes",))
+            planes = [{p: F.col(f"planes{x}")[p] for p in PLANES} for x in "ab"]
+            pairs = met.filter(similarity(*planes) >= margin(percent)).select("a", "b", "na", "nb").distinct()
+        found = _confirmed(pairs, sets, percent)
         edges = store(found if edges is None else edges.union(found))
         labels = components(edges)
 
