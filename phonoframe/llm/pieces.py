@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonoframe.llm.words import slices
+from phonoframe.llm.words import mix, slices
 
 BLANK = "▁"
 _NONE = np.int64(1 << 62)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS = 96
 """Rounds of all words together; a word that is not done by then (no word of prose) goes on alone."""
 
@@ -221,19 +222,13 @@ class Pieces:
 
     def _encode_words(self, symbols, code, begin, length) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order and their number per word; equal words are merged once."""
-        raw = code.astype(np.uint32).tobytes()
-        known: dict[bytes, int] = {}
-        which = np.fromiter(
-            (known.setdefault(raw[4 * a:4 * (a + n)], len(known)) for a, n in zip(begin.tolist(), length.tolist())),
-            np.int64, len(begin))
-        sample = np.zeros(len(known), np.int64)
-        sample[which[::-1]] = np.arange(len(begin))[::-1]
+        sample, which = _distinct(code, begin, length)
         size = length[sample]
         place = np.repeat(begin[sample] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        merged, word = self.merge(symbols[place], np.repeat(np.arange(len(known)), size))
+        merged, word = self.merge(symbols[place], np.repeat(np.arange(len(sample)), size))
         if len(merged) and merged.max() >= self.piece_count:  # characters that are no piece
-            merged, word = self._fall_back(merged, word, code[place], np.repeat(np.arange(len(known)), size))
-        count = np.bincount(word, minlength=len(known))
+            merged, word = self._fall_back(merged, word, code[place], np.repeat(np.arange(len(sample)), size))
+        count = np.bincount(word, minlength=len(sample))
         first = np.cumsum(count) - count
         need = count[which]
         take = np.repeat(first[which] - (np.cumsum(need) - need), need) + np.arange(int(need.sum()))
@@ -295,6 +290,30 @@ class Pieces:
         return "".join([*parts, _characters(bytes(run))])
 
 
+def _distinct(code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one word of each kind, kind of every word) of words given as ranges of ``code``.
+
+    Words are compared by hash, and then each with the one that stands for it, so a collision cannot join two.
+    """
+    first = np.repeat(begin, length)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(int(length.max()) + 1, _STEP, np.uint64))
+        value = mix(code.astype(np.uint64)) * power[np.arange(len(code)) - first]
+        hashes = mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _STEP)
+    _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+    stands = sample[which]
+    if (length == length[stands]).all() and (code == code[np.arange(len(code)) - first + np.repeat(begin[stands], length)]).all():
+        return sample, which
+    raw = code.astype(np.uint32).tobytes()
+    known: dict[bytes, int] = {}
+    which = np.fromiter(
+        (known.setdefault(raw[4 * a:4 * (a + n)], len(known)) for a, n in zip(begin.tolist(), length.tolist())),
+        np.int64, len(begin))
+    sample = np.zeros(len(known), np.int64)
+    sample[which[::-1]] = np.arange(len(begin))[::-1]
+    return sample, which
+
+
 def _characters(run: bytes) -> str:
     try:
         return run.decode()
