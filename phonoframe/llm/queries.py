@@ -258,3 +258,33 @@ def op11_tokenizer_alignment(spark, sf):
     return shown.join(scores, "row", "left").select(
         "doc_id", *alignment.COUNTS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")],
         "groups_sha256")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, coalesce({PLAIN_WORDS}, []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS k FROM w),
+b AS (SELECT doc_id, k, CASE WHEN w[k + 1] = 'mit' AND w[k + 2] = 'license' THEN 'mit' WHEN w[k + 1] = 'apache' AND w[k + 2] = 'license' THEN 'apache'
+  WHEN w[k + 1] = 'general' AND w[k + 2] = 'public' AND w[k + 3] = 'license' THEN 'gpl' END AS label FROM p),
+g AS (SELECT doc_id, count(*) AS n, min(k) AS lo, max(k) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b WHERE label IS NOT NULL GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+""")
+def license_scan_base(spark, sf):
+    """The columns of op4 that SQL can express."""
+    return op4_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+v AS (SELECT doc_id, p, w[p] || chr(10) || w[p + 1] || chr(10) || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM
+  (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v) WHERE c > 1) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+""")
+def quality_rules_base(spark, sf):
+    """The columns of op7 that SQL can express."""
+    return op7_quality_rules(spark, sf).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
